@@ -82,3 +82,17 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)
+
+
+def hash_sample(rows: DataFrame, by: str, per: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """At most ``per`` rows of each value of ``by``, those with the least seeded digests of ``key``; the same in every run.
+
+    Counts come first, so that only a few times ``per`` rows of a value are ever ranked, however many there are.
+    """
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    drawn = rows.withColumn("u", u)
+    counts = rows.groupBy(by).agg(F.count("*").alias("in_all"))
+    from pyspark.sql import Window
+
+    near = drawn.join(counts, by).filter(F.col("u") * F.col("in_all") < 4 * per + 40)
+    return near.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("u", key))).filter(F.col("place") <= per).drop("u", "in_all", "place")

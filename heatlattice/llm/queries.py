@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatlattice.llm import bpe, mixing
+from heatlattice.llm import bpe, mixing, quality, toxicity
 from heatlattice.llm.common import read
 
 
@@ -15,6 +15,15 @@ def tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), *tokenizer())
 
@@ -23,5 +32,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
 ORACLES = {"op9_mixing": mixing.ORACLE_SQL}
