@@ -47,6 +47,9 @@ def windows(text: str | None) -> list[bytes]:
     out, now, n = [], [], 1
     for word in (text or "").lower().encode().split():
         while len(word) > 8 * WINDOW:
+            if now:
+                out.append(b" %s " % b" ".join(now))
+                now, n = [], 1
             out.append(b" " + word[: 8 * WINDOW])
             word = word[8 * WINDOW :]
         now.append(word)
