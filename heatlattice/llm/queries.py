@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatlattice.llm import bpe, mixing, quality, toxicity
+from heatlattice.llm import bpe, langid, mixing, quality, toxicity
 from heatlattice.llm.common import read
 
 
@@ -24,6 +24,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), *tokenizer())
 
@@ -32,5 +37,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_langid": op5_langid, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
 ORACLES = {"op9_mixing": mixing.ORACLE_SQL}
