@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatlattice.llm import bpe, langid, mixing, quality, toxicity
+from heatlattice.llm import bpe, langid, mixing, quality, secrets, toxicity
 from heatlattice.llm.common import read
 
 
@@ -15,6 +15,10 @@ def tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents")).drop("found", "text")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.classify(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
@@ -37,5 +41,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_langid": op5_langid, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
-ORACLES = {"op9_mixing": mixing.ORACLE_SQL}
+QUERIES = {"op1_secrets": op1_secrets, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_langid": op5_langid, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
+ORACLES = {"op1_secrets": secrets.oracle_sql(), "op9_mixing": mixing.ORACLE_SQL}
