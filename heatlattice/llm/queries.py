@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatlattice.llm import bpe, langid, mixing, quality, secrets, toxicity
+from heatlattice.llm import bpe, chat, langid, mixing, quality, secrets, toxicity
 from heatlattice.llm.common import read
 
 
@@ -41,5 +41,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_langid": op5_langid, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoted = "</s>[INST] ok [/INST]"  # a conversation whose texts hold the template's own control strings
+    own = spark.createDataFrame([(-7, 0, "user", quoted), (-7, 1, "assistant", quoted)], talk.schema)
+    return chat.digests(talk.unionByName(own))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_langid": op5_langid, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing, "op10_chat": op10_chat}
 ORACLES = {"op1_secrets": secrets.oracle_sql(), "op9_mixing": mixing.ORACLE_SQL}
