@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatlattice.llm import bpe, chat, jaccard, langid, mixing, quality, secrets, toxicity
+from heatlattice.llm import bpe, chat, hamming, jaccard, langid, mixing, quality, secrets, toxicity
 from heatlattice.llm.common import read
 
 
@@ -33,6 +33,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+def op6_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.search(read(spark, sf_dir, "embeddings"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(talk.unionByName(own))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_langid": op5_langid, "op7_jaccard": op7_jaccard, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing, "op10_chat": op10_chat}
-ORACLES = {"op1_secrets": secrets.oracle_sql(), "op9_mixing": mixing.ORACLE_SQL}
+QUERIES = {"op1_secrets": op1_secrets, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_hamming": op6_hamming, "op7_jaccard": op7_jaccard, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing, "op10_chat": op10_chat}
+ORACLES = {"op6_hamming": hamming.ORACLE_SQL, "op1_secrets": secrets.oracle_sql(), "op9_mixing": mixing.ORACLE_SQL}
