@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatlattice.llm import bpe, chat, hamming, jaccard, langid, mixing, quality, secrets, toxicity
+from heatlattice.llm import bpe, chat, hamming, jaccard, langid, licenses, mixing, quality, secrets, toxicity
 from heatlattice.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents")).drop("found", "text")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents")).drop("found")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.classify(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
@@ -56,5 +60,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(talk.unionByName(own))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_hamming": op6_hamming, "op7_jaccard": op7_jaccard, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing, "op10_chat": op10_chat}
+QUERIES = {"op1_secrets": op1_secrets, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_hamming": op6_hamming, "op7_jaccard": op7_jaccard, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing, "op10_chat": op10_chat}
 ORACLES = {"op6_hamming": hamming.ORACLE_SQL, "op1_secrets": secrets.oracle_sql(), "op9_mixing": mixing.ORACLE_SQL}
