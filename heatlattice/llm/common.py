@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +73,17 @@ def map_rows(df: DataFrame, keep: str, columns: list[T.StructField], rows: Calla
     return df.select(keep, "text").mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text_col: str, keeps: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows of df whose texts ``keeps`` accepts, with all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                yield part.filter(pa.array(keeps(part.column(text_col).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
@@ -92,7 +103,5 @@ def hash_sample(rows: DataFrame, by: str, per: int, seed: int, key: str = "doc_i
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     drawn = rows.withColumn("u", u)
     counts = rows.groupBy(by).agg(F.count("*").alias("in_all"))
-    from pyspark.sql import Window
-
     near = drawn.join(counts, by).filter(F.col("u") * F.col("in_all") < 4 * per + 40)
     return near.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("u", key))).filter(F.col("place") <= per).drop("u", "in_all", "place")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatlattice.llm.common import BROADCAST_ROWS, _arrow, id_and_text, map_rows, stored
+from heatlattice.llm.common import WORD, _arrow, checked_broadcast, id_and_text, map_rows, stored
 from heatlattice.llm.components import components
 
 WORDS, NUM, DEN = 3, 90, 100
@@ -185,6 +185,32 @@ def joined(rows: list[tuple[int, bool, int, np.ndarray]], num: int, den: int) ->
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row."""
+    light, by_set = classed(docs, id_col, text_col, words, num, den)
+    out = light.select("doc_id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(by_set, "fp", "left")
+    own = F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """docs with one row of each class: that with the least id (a null id only if there is no other), then text hash.
+
+    Rows without words are classes of their own and stay.
+    """
+    light, by_set = classed(docs, id_col, text_col, words, num, den)
+    heads = by_set.groupBy("root").agg(F.min(F.struct(F.col("head.doc_id").isNull().alias("none"), F.col("head.doc_id").alias("doc_id"), F.col("head.content").alias("content"))).alias("head"))
+    heads = stored(heads.select(F.col("head.doc_id").alias("id"), F.col("head.content").alias("hash")))
+    n = heads.count()
+    copies = light.filter("n > 0").groupBy("doc_id", "content").count().filter("count > 1").isEmpty()
+    at = docs.withColumn("__content", F.xxhash64(docs[text_col].cast("string")))
+    kept = at.join(checked_broadcast(heads, n), at[id_col].eqNullSafe(heads.id) & (at["__content"] == heads.hash), "left_semi")
+    if not copies:  # rows of one id and text: one of them stays
+        kept = kept.dropDuplicates([id_col, "__content"])
+    wordless = at.filter(F.coalesce(~docs[text_col].cast("string").rlike(WORD), F.lit(True)))
+    return kept.unionByName(wordless).drop("__content")
+
+
+def classed(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, content, n and fp of every row; and of every set fp with words: root of its class, class_id, links, head."""
     base = id_and_text(docs, id_col, text_col)
 
     def sets(texts: list) -> list[list]:
@@ -204,13 +230,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     family = stored(family.select(F.col("node").alias("fp"), F.col("root").alias("family")))
 
     # 3. all pairs of a family, block by block
-    heads = filled.groupBy("fp").agg(F.min_by(F.struct("doc_id", "content"), F.struct("doc_id", "content")).alias("head"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
+    heads = filled.groupBy("fp").agg(F.min_by(F.struct("doc_id", "content"), F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("head"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
     heads = stored(heads.select("fp", "head.doc_id", "head.content", "n", "copies", "least_id"))
     within = stored(heads.join(family, "fp"))
     sizes = within.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     within = stored(within.join(sizes, "family").select("fp", "family", "blocks", "copies", F.col("doc_id").alias("id"), F.col("content").alias("hash")))
-    n_within = within.count()
-    wanted = F.broadcast(within) if n_within <= BROADCAST_ROWS else within
+    wanted = checked_broadcast(within, within.count())
     texts = base.join(wanted, base.doc_id.eqNullSafe(wanted.id) & (F.xxhash64(base.text) == wanted.hash))
     texts = texts.select(F.struct("fp", "family", "blocks", "copies").alias("row"), base.text.alias("text"))
 
@@ -248,8 +273,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     linked = stored(linked.select(F.col("node").alias("fp"), "root"))
     ids = linked.join(heads.select("fp", "least_id"), "fp").groupBy("root").agg(F.min("least_id").alias("class_id"))
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
-    by_set = heads.select("fp", "copies", "least_id").join(linked.join(ids, "root").select("fp", "class_id"), "fp", "left").join(links, "fp", "left")
-    by_set = by_set.select("fp", F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = light.select("doc_id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(by_set, "fp", "left")
-    own = F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    of_class = linked.join(ids, "root").select("fp", "root", "class_id")
+    by_set = heads.join(of_class, "fp", "left").join(links, "fp", "left")
+    by_set = by_set.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.struct("doc_id", "content").alias("head"))
+    return light, by_set

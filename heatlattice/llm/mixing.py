@@ -17,7 +17,7 @@ columns are read, so other columns can have any name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatlattice.llm.common import checked_broadcast, n_words, stored
@@ -25,10 +25,11 @@ from heatlattice.llm.common import checked_broadcast, n_words, stored
 EPOCHS, SEED, BUCKET_DIGITS = 3, 17, 3
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """doc_id, source, size and the seeded place h of each row, stored."""
-    out = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), n_words(docs[text_col].cast("string")).alias("size"))
-    return stored(out.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))))
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> list[Column]:
+    """doc_id, source, size and the seeded place h of each row."""
+    key = docs[id_col]
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
+    return [key.alias("doc_id"), docs[source_col].alias("source"), n_words(docs[text_col].cast("string")).alias("size"), place.alias("h")]
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -59,28 +60,42 @@ def targets(sources: DataFrame, epochs: int = EPOCHS) -> tuple[DataFrame, int]:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken, repeats (how many times the mix has the document), source of each row."""
-    rows = sized(docs, id_col, text_col, source_col, seed)
+    rows = stored(docs.select(*sized(docs, id_col, text_col, source_col, seed)))
+    return decided(rows, *planned(rows, epochs)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", "source")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """docs, each row as many times as the mix has it."""
+    own = sized(docs, id_col, text_col, source_col, seed)
+    plan = planned(stored(docs.select(*own)), epochs)
+    out = decided(docs.select(*own, F.struct(*docs.columns).alias("row")), *plan)
+    return out.filter("repeats > 0").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
+
+
+def planned(rows: DataFrame, epochs: int) -> tuple[DataFrame, int]:
+    """Of each source (s): source_size, target, whole repetitions, rest, and the bucket and the words where the rest ends."""
     sources, n = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = sources.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
 
     # the one bucket of each source in which its rest ends, and the words in the buckets before it
-    bucket = F.substring("h", 1, BUCKET_DIGITS).alias("bucket")
-    buckets = rows.groupBy("source", bucket).agg(F.sum("size").alias("words"))
+    buckets = rows.groupBy("source", F.substring("h", 1, BUCKET_DIGITS).alias("bucket")).agg(F.sum("size").alias("words"))
     w = Window.partitionBy("source").orderBy("bucket")
     upto = buckets.withColumn("upto", F.sum("words").over(w)).withColumnRenamed("source", "s")
     ends = upto.join(checked_broadcast(plan.select("source", "rest"), n), upto.s.eqNullSafe(plan.source)).filter("upto > rest")
     ends = ends.groupBy("s").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("e"))
     plan = plan.join(ends, plan.source.eqNullSafe(ends.s), "left").select("source", "source_size", "target", "whole", "rest", F.col("e.bucket").alias("end"), F.col("e.before").alias("before"))
-    plan = stored(plan).withColumnRenamed("source", "s")
+    return stored(plan).withColumnRenamed("source", "s"), n
+
 
-    all_rows = rows.withColumn("bucket", bucket).join(checked_broadcast(plan, n), rows.source.eqNullSafe(F.col("s")), "left")
+def decided(rows: DataFrame, plan: DataFrame, n: int) -> DataFrame:
+    """rows with their source's plan and repeats."""
+    all_rows = rows.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)).join(checked_broadcast(plan, n), rows.source.eqNullSafe(F.col("s")), "left")
     at = Window.partitionBy("source").orderBy("h", "doc_id", "size")
     inside = all_rows.filter("bucket = end").withColumn("start", F.sum("size").over(at.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size") + F.col("before"))
     inside = inside.withColumn("more", (F.col("start") + F.col("size") / 2.0 <= F.col("rest")).cast("long")).drop("start")
     outside = all_rows.filter("end is null or bucket <> end").withColumn("more", F.when(F.col("end").isNull() | (F.col("bucket") < F.col("end")), (F.col("rest") > 0).cast("long")).otherwise(F.lit(0)).cast("long"))
-    out = inside.unionByName(outside).withColumn("repeats", F.col("whole") + F.when(F.col("size") > 0, F.col("more")).otherwise(0))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", "source")
+    return inside.unionByName(outside).withColumn("repeats", F.col("whole") + F.when(F.col("size") > 0, F.col("more")).otherwise(0))
 
 
 #: The same rows in plain SQL, with the water level found by running sums instead of rounds.

@@ -25,8 +25,6 @@ import re._parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatlattice.llm.common import id_and_text
-
 BLOCK = 256
 #: So many strings of one part of an expression are followed up at most.
 MOST = 64
@@ -178,9 +176,13 @@ def placed(sizes: str, order: int, kind: str) -> Column:
     return F.expr(f"if({sizes} is null, cast(array() as array<struct<start:int,order:int,kind:string,end:int,kept:boolean>>), filter({whole}, s -> s.kept))")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
-    """doc_id, n_<kind> of each rule, base_sha256, spans, and found (array of start, order, kind, end, kept) of every row."""
-    base = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES, carry: list[str] = ()) -> DataFrame:
+    """doc_id, n_<kind> of each rule, base_sha256, spans, and found (array of start, order, kind, end, kept) of every row.
+
+    Columns of docs named in ``carry`` follow as they are.
+    """
+    rest = [docs[c].alias(f"rest_{i}") for i, c in enumerate(carry)]
+    base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *rest)
     kinds = candidates(base, rules)
     rows = base.join(kinds, base.doc_id.eqNullSafe(kinds.id), "left")
     for rule in rules:
@@ -194,7 +196,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     in_base = F.filter("found", lambda s: s.order.isin([i for i, r in enumerate(rules) if r.base]))
     counts = [F.size(f"size_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in rules]
-    return rows.select("doc_id", *counts, F.sha2(listed(in_base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), "found", "text")
+    return rows.select("doc_id", *counts, F.sha2(listed(in_base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), "found", "text", *(F.col(f"rest_{i}").alias(c) for i, c in enumerate(carry)))
 
 
 def redacted(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
