@@ -31,11 +31,11 @@ def sampled(points: DataFrame, dem: DataFrame, x0: float, y0: float, step: float
 
 
 def profile(routes: DataFrame, spacing: float = SPACING) -> DataFrame:
-    """network_id, u, v, k, length, chainage, x, y of equally spaced points on straight routes (ax, ay) to (bx, by)."""
-    out = routes.withColumn("length", F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2)))
+    """network_id, u, v, k, length, chainage, x, y of equally spaced points on straight routes (ux, uy) to (vx, vy)."""
+    out = routes.withColumn("length", F.sqrt(F.pow(F.col("vx") - F.col("ux"), 2) + F.pow(F.col("vy") - F.col("uy"), 2)))
     out = out.withColumn("n", F.greatest(F.lit(2), F.ceil(F.col("length") / spacing).cast("int") + 1))
     out = out.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("t", F.col("k") / (F.col("n") - 1))
-    return out.select(KEY, "u", "v", "k", "length", (F.col("t") * F.col("length")).alias("chainage"), *((F.col(f"a{c}") + F.col("t") * (F.col(f"b{c}") - F.col(f"a{c}"))).alias(c) for c in "xy"))
+    return out.select(KEY, "u", "v", "k", "length", (F.col("t") * F.col("length")).alias("chainage"), *((F.col(f"u{c}") + F.col("t") * (F.col(f"v{c}") - F.col(f"u{c}"))).alias(c) for c in "xy"))
 
 
 def metrics(samples: DataFrame) -> DataFrame:
@@ -65,8 +65,8 @@ def metrics(samples: DataFrame) -> DataFrame:
 
 def all_routes(nodes: DataFrame, dem: DataFrame, grid: tuple[float, float, float, int, int], spacing: float = SPACING) -> DataFrame:
     """metrics() of the straight route between every two nodes of a network."""
-    a = nodes.select(KEY, F.col("node").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = nodes.select(KEY, F.col("node").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    a = nodes.select(KEY, F.col("node").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
+    b = nodes.select(KEY, F.col("node").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
     return metrics(sampled(profile(a.join(b, KEY).filter("u < v"), spacing), dem, *grid))
 
 

@@ -139,8 +139,8 @@ def relief(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # routes of the star of each network's sites, 25 m apart
-STAR = f"SELECT a.network_id, a.node AS u, b.node AS v, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM ({SITES}) a JOIN ({SITES}) b ON a.network_id = b.network_id AND a.node < b.node AND (b.node - a.node) % 9 = 1"
-PROFILE = f"SELECT network_id, u, v, k, t * len AS chainage, ax + t * (bx - ax) AS x, ay + t * (by - ay) AS y FROM (SELECT *, k::DOUBLE / (n - 1) AS t FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT *, greatest(2, ceil(len / 25e0)::INT + 1) AS n FROM (SELECT *, sqrt(pow(bx - ax, 2e0) + pow(by - ay, 2e0)) AS len FROM ({STAR})))))"
+STAR = f"SELECT a.network_id, a.node AS u, b.node AS v, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy FROM ({SITES}) a JOIN ({SITES}) b ON a.network_id = b.network_id AND a.node < b.node AND (b.node - a.node) % 9 = 1"
+PROFILE = f"SELECT network_id, u, v, k, t * len AS chainage, ux + t * (vx - ux) AS x, uy + t * (vy - uy) AS y FROM (SELECT *, k::DOUBLE / (n - 1) AS t FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT *, greatest(2, ceil(len / 25e0)::INT + 1) AS n FROM (SELECT *, sqrt(pow(vx - ux, 2e0) + pow(vy - uy, 2e0)) AS len FROM ({STAR})))))"
 ROUTE_SQL = f"""dem AS ({fx.DEM}), smp AS (SELECT * FROM {sampled_sql(f'({PROFILE})')}),
 st AS (SELECT *, chainage - lag(chainage) OVER w AS h, z - lag(z) OVER w AS dv, z - first(z) OVER w AS dz FROM smp WINDOW w AS (PARTITION BY network_id, u, v ORDER BY k)),
 sg AS (SELECT *, sqrt(h * h + dv * dv) AS l, CASE WHEN h > 0 THEN abs(dv) / h ELSE 0e0 END AS g FROM st),
