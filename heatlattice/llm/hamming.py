@@ -67,7 +67,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             gathered = masks.agg(F.collect_list("mask").alias("masks"))  # one row of at most C(16, 8) masks
             probes = mine.join(F.broadcast(gathered)).withColumn("mask", F.explode("masks")).drop("masks")
         probes = probes.select("query_id", "q", "bound", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-        near = index.join(probes, [index.segment == probes.segment, index.value == probes.value, distance("code", "q") <= F.col("bound")])
+        # probes are many more than their estimate says: never broadcast them
+        near = index.join(probes.hint("merge"), [index.segment == probes.segment, index.value == probes.value, distance("code", "q") <= F.col("bound")])
         near = near.select("query_id", "code", distance("code", "q").alias("distance")).distinct()
         found = near.join(entries, "code").filter("vec_id <> query_id").select("query_id", "vec_id", "distance")
         found = found if best is None else found.unionByName(best.select("query_id", "vec_id", "distance")).distinct()
