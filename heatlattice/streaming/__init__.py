@@ -1,0 +1 @@
+"""Nothing here yet: none of the models has a stream to follow. All operators take batch or static tables."""
