@@ -186,3 +186,17 @@ def digests(conversations: DataFrame, conv_col: str = "conv_id", **cols: str) ->
     out = read_back(*tree(conversations, conv_col, **cols))
     kind = conversations.schema[conv_col].dataType
     return out.select(F.when(F.col("key") != "null", F.expr("substring(key, 2)")).cast(kind).alias("conv_id"), *DIGEST.names[1:])
+
+
+def oracle_sql(extra: list[tuple[int, int, str, str]]) -> str:
+    """The digests straight from the table and ``extra`` rows: what reading back has to give."""
+    rows = " ".join(f"UNION ALL SELECT {c}, {t}, '{r}', '{x}'" for c, t, r, x in extra)
+    escaped = lambda c: f"(length({c}) + length(regexp_replace({c}, '[^<\\[|\\\\]', '', 'g')))"
+    marks = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in TEMPLATE.items())
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations {rows})),
+c AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = '{LEARNED}'), '') AS learned,
+        sum({escaped("text")} + CASE role {marks} ELSE {sum(map(len, OTHER))} + {escaped("role")} END) AS chars FROM t GROUP BY conv_id)
+SELECT conv_id, n AS n_turns, sha256(said) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256, chars::BIGINT AS formatted_chars FROM c
+"""

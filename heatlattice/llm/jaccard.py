@@ -277,3 +277,18 @@ def classed(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, d
     by_set = heads.join(of_class, "fp", "left").join(links, "fp", "left")
     by_set = by_set.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.struct("doc_id", "content").alias("head"))
     return light, by_set
+
+
+#: The same rows in SQL, every two documents that share an n-gram compared.
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, unnest(list_distinct(CASE WHEN len(w) >= {WORDS} THEN list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM d),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE {DEN} * c >= {NUM} * (x.n + y.n - c)),
+t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rid AS x, rid AS y FROM d UNION SELECT r.x, t.b FROM r JOIN t ON t.a = r.y),
+c AS (SELECT x AS rid, min(doc_id) AS component_id FROM r JOIN d ON d.rid = y GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, (SELECT count(*) FROM t WHERE t.a = d.rid) AS n_links
+FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""

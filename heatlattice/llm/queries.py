@@ -53,12 +53,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts hold the template's own control strings.
+QUOTED = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    quoted = "</s>[INST] ok [/INST]"  # a conversation whose texts hold the template's own control strings
-    own = spark.createDataFrame([(-7, 0, "user", quoted), (-7, 1, "assistant", quoted)], talk.schema)
-    return chat.digests(talk.unionByName(own))
+    return chat.digests(talk.unionByName(spark.createDataFrame(QUOTED, talk.schema)))
 
 
 QUERIES = {"op1_secrets": op1_secrets, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_hamming": op6_hamming, "op7_jaccard": op7_jaccard, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing, "op10_chat": op10_chat}
-ORACLES = {"op6_hamming": hamming.ORACLE_SQL, "op1_secrets": secrets.oracle_sql(), "op9_mixing": mixing.ORACLE_SQL}
+ORACLES = {"op6_hamming": hamming.ORACLE_SQL, "op1_secrets": secrets.oracle_sql(), "op7_jaccard": jaccard.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_chat": chat.oracle_sql(QUOTED)}
