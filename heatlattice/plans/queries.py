@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heatlattice.functions import physics as p
-from heatlattice.functions.params import CATALOGUE, ECONOMICS, FAILURES, OXYGEN, PUBLISHED, STEAM, WATER
+from heatlattice.functions.params import CATALOGUE, ECONOMICS, OXYGEN, PUBLISHED
 from heatlattice.operators import graph, netsci, network, nodes, steiner, terrain
 from heatlattice.plans import fixtures as fx
 from heatlattice.plans.fixtures import duck_text, frame

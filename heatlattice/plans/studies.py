@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from heatlattice.functions import physics as p
 from heatlattice.functions.params import FAILURES, PUBLISHED
-from heatlattice.operators import centrality, graph, netsci, network, search, terrain
+from heatlattice.operators import centrality, graph, netsci, search, terrain
 from heatlattice.plans import fixtures as fx
 from heatlattice.plans.fixtures import duck_text, frame
-from heatlattice.plans.queries import ABOVE, COVER, FLOW, K, PAIRS, SITES, X0, Y0, cover_of, design_of, grid  # noqa: F401
+from heatlattice.plans.queries import ABOVE, COVER, FLOW, SITES, K, cover_of, design_of, grid
 from heatlattice.plans.registry import query
 
 
