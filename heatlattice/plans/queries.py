@@ -414,9 +414,9 @@ def chord_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_of(spark, sf_dir)[0]
 
 
-@query(duck_text(f"WITH RECURSIVE {ABOVE}, {FLOW}, {COVER} SELECT network_id, k, u1, v1, u2, v2, covered, cost FROM sc"))
+@query(duck_text(f"WITH RECURSIVE {ABOVE}, {FLOW}, {COVER} SELECT network_id, k, u1, v1, coalesce(u2, -1) AS u2, coalesce(v2, -1) AS v2, covered, cost FROM sc"))
 def chord_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.best_sets(*cover_of(spark, sf_dir))
+    return network.best_sets(*cover_of(spark, sf_dir)).fillna(-1, ["u2", "v2"])
 
 
 @query(duck_text(f"""WITH RECURSIVE {ABOVE}, {FLOW}, {COVER}, bn AS (SELECT network_id, least(3999, floor(cost / max(cost) OVER (PARTITION BY network_id) * 4000))::INT AS bin, covered FROM sc), bb AS (SELECT network_id, bin, max(covered) AS covered FROM bn GROUP BY 1, 2),
