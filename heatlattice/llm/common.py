@@ -102,6 +102,6 @@ def hash_sample(rows: DataFrame, by: str, per: int, seed: int, key: str = "doc_i
     """
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     drawn = rows.withColumn("u", u)
-    counts = rows.groupBy(by).agg(F.count("*").alias("in_all"))
-    near = drawn.join(counts, by).filter(F.col("u") * F.col("in_all") < 4 * per + 40)
+    counts = stored(rows.groupBy(by).agg(F.count("*").alias("in_all")))
+    near = drawn.join(checked_broadcast(counts, counts.count()), by).filter(F.col("u") * F.col("in_all") < 4 * per + 40)
     return near.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("u", key))).filter(F.col("place") <= per).drop("u", "in_all", "place")
