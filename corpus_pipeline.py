@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatlattice.llm import bpe, jaccard, langid, mixing, secrets
-from heatlattice.llm.common import keep_rows, read, stored
+from heatlattice.llm.common import keep_rows, read
 from heatlattice.llm.queries import tokenizer
+from heatlattice.storage import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatlattice.llm.common import _arrow, _slices, stored
+from heatlattice.llm.common import _arrow, _slices
+from heatlattice.storage import stored
 
 #: Control strings before and after the text of a turn, by role; other roles are named in OTHER.
 TEMPLATE = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}

@@ -1,10 +1,7 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, mapping texts in Arrow batches."""
+"""What the operators of this subpackage share: reading tables, counting words, sampling, mapping texts in Arrow batches."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heatlattice.storage import stored
+
 #: A word, as all operators of this subpackage count them.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,23 +22,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a local one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = os.path.join(tempfile.gettempdir(), "checkpoints")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or own)
-    return sc.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as a Parquet table in the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are few."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

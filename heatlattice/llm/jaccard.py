@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatlattice.llm.common import WORD, _arrow, checked_broadcast, id_and_text, map_rows, stored
+from heatlattice.llm.common import WORD, _arrow, checked_broadcast, id_and_text, map_rows
 from heatlattice.llm.components import components
+from heatlattice.storage import stored
 
 WORDS, NUM, DEN = 3, 90, 100
 #: A block holds about so many sets and n-grams at most.

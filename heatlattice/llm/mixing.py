@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heatlattice.llm.common import checked_broadcast, n_words, stored
+from heatlattice.llm.common import checked_broadcast, n_words
+from heatlattice.storage import stored
 
 EPOCHS, SEED, BUCKET_DIGITS = 3, 17, 3
 
