@@ -198,16 +198,18 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows without words are classes of their own and stay.
     """
     light, by_set = classed(docs, id_col, text_col, words, num, den)
-    heads = by_set.groupBy("root").agg(F.min(F.struct(F.col("head.doc_id").isNull().alias("none"), F.col("head.doc_id").alias("doc_id"), F.col("head.content").alias("content"))).alias("head"))
-    heads = stored(heads.select(F.col("head.doc_id").alias("id"), F.col("head.content").alias("hash")))
-    n = heads.count()
-    copies = light.filter("n > 0").groupBy("doc_id", "content").count().filter("count > 1").isEmpty()
+    first = F.min(F.struct(F.col("head.doc_id").isNull().alias("none"), F.col("head.doc_id").alias("id"), F.col("head.content").alias("hash"))).alias("first")
+    linked = by_set.filter("links > 0")  # sets without links have one row, which stays
+    firsts = linked.join(linked.groupBy("root").agg(first), "root").select("fp", "first.id", "first.hash")
+    rows = light.filter("n > 0").select("fp", "doc_id", "content").join(firsts, "fp")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("hash"))
+    losers = stored(rows.filter(~same).select(F.col("doc_id").alias("loser"), F.col("content").alias("hash")).distinct())
     at = docs.withColumn("__content", F.xxhash64(docs[text_col].cast("string")))
-    kept = at.join(checked_broadcast(heads, n), at[id_col].eqNullSafe(heads.id) & (at["__content"] == heads.hash), "left_semi")
-    if not copies:  # rows of one id and text: one of them stays
-        kept = kept.dropDuplicates([id_col, "__content"])
-    wordless = at.filter(F.coalesce(~docs[text_col].cast("string").rlike(WORD), F.lit(True)))
-    return kept.unionByName(wordless).drop("__content")
+    kept = at.join(checked_broadcast(losers, losers.count()), at[id_col].eqNullSafe(losers.loser) & (at["__content"] == losers.hash), "left_anti")
+    if not rows.filter(same).groupBy("doc_id", "content").count().filter("count > 1").isEmpty():  # rows of one id and text
+        worded = F.coalesce(docs[text_col].cast("string").rlike(WORD), F.lit(False))
+        kept = kept.filter(worded).dropDuplicates([id_col, "__content"]).unionByName(kept.filter(~worded))
+    return kept.drop("__content")
 
 
 def classed(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:

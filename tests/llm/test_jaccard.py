@@ -98,3 +98,14 @@ def test_components(spark):
             for k in x | y:
                 root[k] = x | y
     assert out == {k: min(v) for k, v in root.items()}
+
+
+def test_deduplicated_keeps_one_row_of_each_class(docs):
+    text = " ".join(f"w{i}" for i in range(40))
+    near = text + " more"
+    rows = [(5, text), (5, text), (3, near), (7, text), (None, text), (8, "other words here"), (9, None), (9, None), (10, " "), (None, "lone text of its own"), (11, "other words HERE")]
+    out = jaccard.deduplicated(docs(rows))
+    assert out.columns == docs(rows).columns
+    assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, [(3, near), (8, "other words here"), (9, None), (9, None), (10, " "), (None, "lone text of its own")]))
+    twice = [(1, text), (1, text), (2, None), (2, None)]
+    assert sorted(str((r.doc_id, r.text)) for r in jaccard.deduplicated(docs(twice)).collect()) == sorted(map(str, [(1, text), (2, None), (2, None)]))
