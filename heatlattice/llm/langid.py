@@ -114,15 +114,15 @@ def train(samples: list[tuple[str, str]]) -> Model:
                 seen[lang] += 1
             texts.append(part)
             ys.append(langs.index(lang))
-    x = normed(presence(texts)[0]).astype(np.float64)
-    land = x[marks]
-    values, vectors = np.linalg.eigh(land @ land.T)
+    land = normed(presence([texts[i] for i in marks])[0])
+    values, vectors = np.linalg.eigh((land @ land.T).astype(float))
     good = values > 1e-6 * values.max()
     half = vectors[:, good] / np.sqrt(values[good])  # the landmarks' kernel matrix to the power of -1/2
-    phi = x @ land.T @ half
+    parts = (normed(presence(texts[at : at + BATCH])[0]) @ land.T for at in range(0, len(texts), BATCH))
+    phi = np.concatenate([part.astype(float) @ half for part in parts])  # a batch at a time: the driver holds no n x bins matrix
     y = np.where(np.array(ys)[:, None] == np.arange(len(langs)), 1.0, -1.0)
-    w = np.linalg.solve(phi.T @ phi + RIDGE * len(x) * np.eye(phi.shape[1]), phi.T @ y)
-    return Model(langs, (land.T @ (half @ w)).astype(np.float32))
+    w = np.linalg.solve(phi.T @ phi + RIDGE * len(phi) * np.eye(phi.shape[1]), phi.T @ y)
+    return Model(langs, (land.T.astype(float) @ (half @ w)).astype(np.float32))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:
