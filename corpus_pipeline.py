@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: five stages, each written as Parquet and read again as the next one's input.
 
 1. language_id: documents without a recognised language (no letter, or no text) go.
-2. near_duplicates: one document of each class of n-gram Jaccard links stays.
+2. near_duplicates: one document of each class of 5-word Jaccard links (0.8 or more) stays.
 3. secret_scan: every span that a rule finds is replaced by a mark; n_chars follows the text.
 4. mixing: each document as many times as its source's target weight takes it.
 5. bpe: token count and digests of every document of the mix.
@@ -19,6 +19,9 @@ from heatlattice.llm.common import keep_rows, read
 from heatlattice.llm.queries import tokenizer
 from heatlattice.storage import stored
 
+#: The n-grams and the least similarity of near duplicates here; op7_jaccard has its own.
+WORDS, NUM, DEN = 5, 80, 100
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn(docs)
@@ -28,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.deduplicated(docs).select(docs.columns)
+    return jaccard.deduplicated(docs, words=WORDS, num=NUM, den=DEN).select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

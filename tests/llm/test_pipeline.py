@@ -63,3 +63,14 @@ def test_stages_against_plain_python(spark, folder):
         if name == "bpe":
             assert sorted(map(tuple, after)) == sorted((r.doc_id, *encoded(r.text)) for r in before)
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, seen["bpe"]))
+
+
+def test_near_duplicates_by_five_words_and_four_fifths(spark, docs):
+    words = [f"w{i}" for i in range(100)]
+    two, three = list(words), list(words)
+    for at in (30, 60):  # 86 of 106 five-word n-grams stay, 92 of 104 three-word ones
+        two[at] = f"x{at}"
+    for at in (20, 45, 70):  # 81 of 111: under 0.8
+        three[at] = f"y{at}"
+    table = docs([(1, " ".join(words)), (2, " ".join(two)), (3, " ".join(three))])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, "").collect()) == [1, 3]
