@@ -2,8 +2,9 @@
 
 A text is compressed whole and in fixed chunks of ``CHUNK`` bytes with zstandard. Its ratio (raw bytes by compressed
 bytes) has to lie between a lower and an upper limit that depend on its length: above, it is repetitive; below, it
-looks random. A short last chunk is judged only if it is the only one; a text fails by its chunks if more than a fifth
-of them lie outside the limits of their size. The limits leave room on both sides of ordinary prose, which compresses
+looks random. Bytes left over by whole chunks are judged in one more chunk, which ends at the text's end; a text under
+``CHUNK`` bytes is its only chunk. A text fails by its chunks if more than a fifth of them lie outside the limits of
+their size. The limits leave room on both sides of ordinary prose, which compresses
 about 1.3 (a few hundred bytes) to 3.5 fold (long texts); texts under 256 bytes have no limits.
 
 Null counts as the empty text: no words, base_failed, not kept, ratio null. Every input row gives one row; an empty
@@ -74,6 +75,8 @@ def verdict(raw: bytes, chunk: int, level: int, bands: list[tuple[int, float, fl
         return False, None, 0, 0
     size = lambda part: len(part) / len(compressor(level).compress(part))
     parts = [raw[at : at + chunk] for at in range(0, max(1, len(raw) - chunk + 1), chunk)]
+    if len(raw) > chunk and len(raw) % chunk:
+        parts.append(raw[-chunk:])
     ratio = size(raw)
     bad = sum(outside(len(part), ratio if len(parts) == 1 and len(part) == len(raw) else size(part), bands) for part in parts)
     return not outside(len(raw), ratio, bands) and bad <= BAD_SHARE * len(parts), ratio, len(parts), bad

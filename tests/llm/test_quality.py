@@ -37,3 +37,14 @@ def test_verdicts(docs):
     out = {r.doc_id: r for r in quality.judge(docs([*enumerate(texts), (0, texts[0])])).collect()}
     assert [out[i].kept for i in range(7)] == [True, True, False, False, False, False, False]
     assert out[3].base_failed is False and out[4].n_bad_chunks > 0 and out[6].ratio is None
+
+
+def test_the_rest_after_whole_chunks_is_judged():
+    random.seed(5)
+    fine = prose(2000, 4).encode()
+    tail = "".join(random.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=2047)).encode()
+    judged = lambda raw: quality.verdict(raw, quality.CHUNK, quality.LEVEL, quality.BANDS)
+    assert judged(fine[:4095])[0] and judged(fine[:4095])[2:] == (2, 0)
+    whole = judged(fine[:2048] + tail)
+    assert not quality.outside(4095, whole[1], quality.BANDS) and not whole[0] and whole[2:] == (2, 1)
+    assert [judged(fine[:n])[2] for n in (300, 2048, 2049, 4096, 4097)] == [1, 1, 2, 2, 3]
