@@ -38,6 +38,8 @@ from heatlattice.storage import stored
 WORDS, NUM, DEN = 3, 90, 100
 #: A block holds about so many sets and n-grams at most.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
+#: (1 - 1/e) ** ENOUGH < 2 ** -64
+ENOUGH = 97
 #: Columns of a fragment when overlaps are counted.
 FRAGMENT = 4096
 
@@ -90,7 +92,12 @@ def classes(num: int, den: int, upto: int) -> list[int]:
 
 
 def signatures(grams: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """A number for each fragment of a set, cut for its own size class and for the next."""
+    """A number for each filled fragment of a set, cut for its own size class and for the next.
+
+    Linked sets may share only empty fragments, which say nothing. So while a cut has any, the set is cut again by
+    another order. Fewer differences than fragments hit all of m filled ones with a chance under (1 - 1/e) ** m, and
+    orders are independent: ENOUGH filled fragments in all make that less than two equal 64-bit hashes.
+    """
     n = len(grams)
     if not n:
         return np.zeros(0, dtype=U)
@@ -100,13 +107,16 @@ def signatures(grams: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     with np.errstate(over="ignore"):
         for cls in (own, own + 1):
             k = (den - num) * 2 * ends[cls] // (den + num) + 1
-            out.append(cut(grams, k, cls * 2 + 1))
-            sizes = np.bincount(((grams >> U(32)) * U(k) >> U(32)).astype(np.int64), minlength=k)
-            for empty in np.flatnonzero(sizes == 0):  # too common a fragment: say more about the set
-                out.append(cut(mixed(grams + U(empty + 1)), k, (cls * 2 + 2) * 1_000_003 + int(empty)))
-                out[0 if cls == own else -2][empty] = 0
-    merged = np.concatenate(out)
-    return np.unique(merged[merged != 0])
+            order, met, level = grams, 0, 0
+            while True:
+                sizes = np.bincount(((order >> U(32)) * U(k) >> U(32)).astype(np.int64), minlength=k)
+                out.append(cut(order, k, cls * 1_000_003 + level + 1)[sizes > 0])
+                met += np.count_nonzero(sizes)
+                if sizes.all() or met >= ENOUGH:
+                    break
+                level += 1
+                order = mixed(grams + U(level))
+    return np.unique(np.concatenate(out))
 
 
 def cut(grams: np.ndarray, k: int, salt: int) -> np.ndarray:

@@ -109,3 +109,11 @@ def test_deduplicated_keeps_one_row_of_each_class(docs):
     assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, [(3, near), (8, "other words here"), (9, None), (9, None), (10, " "), (None, "lone text of its own")]))
     twice = [(1, text), (1, text), (2, None), (2, None)]
     assert sorted(str((r.doc_id, r.text)) for r in jaccard.deduplicated(docs(twice)).collect()) == sorted(map(str, [(1, text), (2, None), (2, None)]))
+
+
+def test_signatures_grow_as_the_set():
+    rng = np.random.default_rng(8)
+    for n in (1, 10, 100, 1000, 20_000):
+        for _ in range(5):
+            found = jaccard.signatures(np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)), 80, 100)
+            assert len(found) < 0.7 * n + 2 * jaccard.ENOUGH
