@@ -512,8 +512,8 @@ def steiner_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def steiner_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to 3 points a network; the whole tables' points are terminals."""
-    return steiner.steiner_trees(frame(spark, sf_dir, fx.POINTS), points=3)
+    """The whole tables' points are terminals; points go in until none helps."""
+    return steiner.steiner_trees(frame(spark, sf_dir, fx.POINTS))
 
 
 # --- studies

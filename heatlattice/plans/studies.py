@@ -53,7 +53,7 @@ def edge_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local search from the map's spanning tree, priced over terrain."""
     sites, routes = routed(spark, sf_dir)
     demand = sites.select(K, "node", F.when(F.col("node") > 0, 100.0 + F.col("node") % 7 * 50.0).otherwise(0.0).alias("demand_kw"))
-    return search.swapped(routes, graph.spanning_tree_of_points(sites), demand, knn=4, sweeps=2)
+    return search.swapped(routes, graph.spanning_tree_of_points(sites), demand)
 
 
 @query()
