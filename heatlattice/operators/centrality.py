@@ -159,6 +159,16 @@ def communities(edges: DataFrame) -> DataFrame:
     return edges.groupBy(KEY).applyInPandas(run, f"{KEY} {dict(edges.dtypes)[KEY]}, node long, community long, modularity double")
 
 
+def _trial(rng: np.random.Generator, n: int, m: int) -> tuple[int, int, float]:
+    """er_max, tree_max, tree_var of a random graph of n nodes and m edges and of a random labelled tree."""
+    picks = rng.choice(n * (n - 1) // 2, m, replace=False)
+    first = (np.floor((2 * n - 1 - np.sqrt((2 * n - 1) ** 2 - 8.0 * picks)) / 2)).astype(int)
+    second = picks - first * (2 * n - first - 1) // 2 + first + 1
+    er = np.bincount(np.concatenate([first, second]), minlength=n)
+    tree = min(1, n - 1) + np.bincount(rng.integers(0, n, max(0, n - 2)), minlength=n)
+    return int(er.max()), int(tree.max()), float(tree.var())
+
+
 def null_models(spark: SparkSession, n: int, m: int, trials: int = 200, seed: int = 0) -> DataFrame:
     """trial, er_max, tree_max, tree_var: degrees of a random graph of n nodes and m edges, and of a random labelled tree.
 
@@ -168,22 +178,28 @@ def null_models(spark: SparkSession, n: int, m: int, trials: int = 200, seed: in
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for trial in pdf.trial:
-                rng = np.random.default_rng([seed, trial])
-                picks = rng.choice(n * (n - 1) // 2, m, replace=False)
-                first = (np.floor((2 * n - 1 - np.sqrt((2 * n - 1) ** 2 - 8.0 * picks)) / 2)).astype(int)
-                second = picks - first * (2 * n - first - 1) // 2 + first + 1
-                er = np.bincount(np.concatenate([first, second]), minlength=n)
-                tree = 1 + np.bincount(rng.integers(0, n, max(0, n - 2)), minlength=n)
-                rows.append((trial, int(er.max()), int(tree.max()), float(tree.var())))
+            rows = [(trial, *_trial(np.random.default_rng([seed, trial]), n, m)) for trial in pdf.trial]
             yield pd.DataFrame(rows, columns=["trial", "er_max", "tree_max", "tree_var"])
 
     return spark.range(trials).withColumnRenamed("id", "trial").mapInPandas(run, "trial long, er_max int, tree_max int, tree_var double")
 
 
+def null_models_of(degrees: DataFrame, trials: int = 200, seed: int = 0) -> DataFrame:
+    """null_models() of each network's own numbers of nodes and edges, with its network_id. degrees: network_id, node, degree."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(key, trial, *_trial(np.random.default_rng([seed, own, trial]), n, min(m, n * (n - 1) // 2))) for key, own, n, m, trial in pdf.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=[KEY, "trial", "er_max", "tree_max", "tree_var"])
+
+    sizes = degrees.groupBy(KEY).agg(F.count("*").alias("n"), F.expr("sum(degree) div 2").alias("m"))
+    each = sizes.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    each = each.select(KEY, F.xxhash64(KEY).bitwiseAND(F.lit((1 << 63) - 1)).alias("own"), "n", "m", "trial")
+    return each.mapInPandas(run, f"{KEY} {dict(degrees.dtypes)[KEY]}, trial long, er_max int, tree_max int, tree_var double")
+
+
 def degree_ratio(degrees: DataFrame, trials: DataFrame) -> DataFrame:
-    """Observed degree variance of each network against that of random trees. degrees: network_id, node, degree."""
-    means = trials.agg(*(F.avg(c).alias(c) for c in ("er_max", "tree_max", "tree_var")))
+    """Observed degree variance of each network against that of its random trees. degrees: network_id, node, degree."""
+    means = trials.groupBy(KEY).agg(*(F.avg(c).alias(c) for c in ("er_max", "tree_max", "tree_var")))
     seen = degrees.groupBy(KEY).agg(F.max("degree").alias("max_degree"), F.var_pop("degree").alias("var_degree"))
-    return seen.join(F.broadcast(means)).withColumn("ratio", F.when(F.col("tree_var") > 0, F.col("var_degree") / F.col("tree_var")))
+    return seen.join(means, KEY).withColumn("ratio", F.when(F.col("tree_var") > 0, F.col("var_degree") / F.col("tree_var")))

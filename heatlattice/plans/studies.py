@@ -93,4 +93,4 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def null_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     deg = netsci.degrees(frame(spark, sf_dir, fx.TREE_NODES), frame(spark, sf_dir, fx.TREE_EDGES))
-    return centrality.degree_ratio(deg, centrality.null_models(spark, 26, 25))
+    return centrality.degree_ratio(deg, centrality.null_models_of(deg))

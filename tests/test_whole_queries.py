@@ -2,6 +2,7 @@
 
 import math
 
+from heatlattice.operators import centrality, netsci
 from heatlattice.plans import queries, studies
 
 NODES = "network_id long, node long, x double, y double"
@@ -19,3 +20,17 @@ def test_edge_swaps_has_the_operators_limits(spark, monkeypatch):
     monkeypatch.setattr(studies, "routed", lambda *_: (sites, None))
     monkeypatch.setattr(studies.search, "swapped", lambda routes, trees, demand, knn=8, sweeps=30: (knn, sweeps))
     assert studies.edge_swaps(spark, "") == (8, 30)
+
+
+def test_null_models_have_each_networks_size(spark, monkeypatch):
+    edges = [(1, 0, i) for i in range(1, 4)] + [(2, i, i + 1) for i in range(79)] + [(3, 0, 1)]
+    nodes = [(k, i) for k, n in ((1, 4), (2, 80), (3, 2)) for i in range(n)]
+    e, nd = spark.createDataFrame(edges, "network_id long, u long, v long"), spark.createDataFrame(nodes, "network_id long, node long")
+    monkeypatch.setattr(studies, "frame", lambda spark, sf_dir, text: nd if text == studies.fx.TREE_NODES else e)
+    out = {r.network_id: r for r in studies.null_models(spark, "").collect()}
+    # a node's degree in a random tree of n nodes has variance (n - 2)(1 - 1 / n) / n; within a tree, n - 1 of n of it is left
+    for k, n in ((1, 4), (2, 80), (3, 2)):
+        assert abs(out[k].tree_var - (n - 2) * (n - 1) / n**2) < 0.08, k
+    trials = centrality.null_models_of(netsci.degrees(nd, e))
+    assert sorted(map(tuple, trials.collect())) == sorted(map(tuple, centrality.null_models_of(netsci.degrees(nd.repartition(3), e)).collect()))
+    assert trials.count() == 600
