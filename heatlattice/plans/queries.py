@@ -156,6 +156,14 @@ def route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, l2d=5, l3d=5, w=4, dz=5, climb=5, max_slope=6, mean_slope=6, z_low=5, z_high=5)
 
 
+@query()
+def all_route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two sites of a network; route_metrics has a ninth of them, as its SQL."""
+    out = terrain.all_routes(frame(spark, sf_dir, SITES), grid(spark, sf_dir), fx.GRID)
+    out = out.withColumn("w", F.when(F.col("feasible"), F.col("w")))
+    return rounded(out, l2d=5, l3d=5, w=4, dz=5, climb=5, max_slope=6, mean_slope=6, z_low=5, z_high=5)
+
+
 @query(duck_text(f"WITH dem AS ({fx.DEM}) SELECT f AS factor, i, j, round(m + f * (z - m), 6) AS z FROM dem, (SELECT avg(z) AS m FROM dem), (SELECT unnest([0e0, 0.5e0, 1e0, 2e0]) AS f)"))
 def relief_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(terrain.scaled(grid(spark, sf_dir), [0.0, 0.5, 1.0, 2.0]), z=6)
