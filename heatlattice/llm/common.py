@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,12 +78,18 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 
 def hash_sample(rows: DataFrame, by: str, per: int, seed: int, key: str = "doc_id") -> DataFrame:
-    """At most ``per`` rows of each value of ``by``, those with the least seeded digests of ``key``; the same in every run.
+    """At most ``per`` rows of each value of ``by``, those with the least seeded ``digest`` (0 to 1) of ``key``; the same in every run.
 
-    Counts come first, so that only a few times ``per`` rows of a value are ever ranked, however many there are.
+    Counts come first, so that of a value with n rows only those under about per / n are ranked, hardly more than ``per``.
     """
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    drawn = rows.withColumn("u", u)
+    digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     counts = stored(rows.groupBy(by).agg(F.count("*").alias("in_all")))
-    near = drawn.join(checked_broadcast(counts, counts.count()), by).filter(F.col("u") * F.col("in_all") < 4 * per + 40)
-    return near.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("u", key))).filter(F.col("place") <= per).drop("u", "in_all", "place")
+    drawn = rows.withColumn("digest", digest).join(checked_broadcast(counts, counts.count()), by)
+    near = drawn.filter(F.col("digest") * F.col("in_all") < per + 8 * per**0.5 + 40)
+    return near.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("digest", key))).filter(F.col("place") <= per).drop("in_all", "place")
+
+
+def whole_texts(sample: DataFrame, by: str, chars: int, ties: list[str]) -> list[Row]:
+    """The rows of a hash_sample() with their whole texts: of each value of ``by``, by digest, as many as have ``chars`` code points together."""
+    upto = F.sum(F.char_length("text").cast("long")).over(Window.partitionBy(by).orderBy("digest", *ties))  # over the sample only
+    return stored(sample).withColumn("upto", upto).filter(F.col("upto") <= chars).drop("upto").orderBy("digest", *ties).collect()

@@ -11,9 +11,10 @@ matrix product. Whole texts are scored.
 The score is the logistic function of ``SHARPNESS`` times the lead of the best language over the next one; with a
 single learned language, over 0. A text without a letter, or null, is ``und`` with score 0, as is every text when
 nothing could be learned. Ties go to the first language in code point order. Rows with a null or empty lang are not
-learned from. Learning uses at most ``PER_LANG`` texts of a language, chosen by a seeded digest of the id among the
-rows that may be learned from, and of these up to ``TRAIN_CHARS`` code points. Every input row gives one row; an empty
-table gives an empty result. Only the named columns are read, so other columns can have any name.
+learned from. Learning uses whole texts: at most ``PER_LANG`` texts of a language, those with the least seeded digests
+of id and text among the rows that may be learned from, and of these, in that order, as many as have ``TRAIN_CHARS``
+code points together. Every input row gives one row; an empty table gives an empty result. Only the named columns are
+read, so other columns can have any name.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatlattice.llm.common import hash_sample, id_and_text, map_rows
+from heatlattice.llm.common import hash_sample, id_and_text, map_rows, whole_texts
 
-PER_LANG, LANDMARKS, TRAIN_CHARS, SHORT_CHARS, SEED = 250, 50, 20_000, 120, 23
+PER_LANG, LANDMARKS, TRAIN_CHARS, SHORT_CHARS, SEED = 250, 50, 4_000_000, 120, 23
 BINS, RIDGE, SHARPNESS = 1 << 14, 1e-3, 4.0
 UNKNOWN = "und"
 #: Texts are hashed in blocks of so many code points, and scored so many at a time.
@@ -127,9 +128,11 @@ def train(samples: list[tuple[str, str]]) -> Model:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:
     """A model from a bounded sample of each language's rows that are not held out."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[lang_col].alias("lang"), F.substring(docs[text_col].cast("string"), 1, TRAIN_CHARS).alias("text"))
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[lang_col].alias("lang"), docs[text_col].cast("string").alias("text"))
     rows = rows.filter("doc_id is not null and lang is not null and lang <> '' and text is not null").filter(~held_out(F.col("doc_id")))
-    picked = hash_sample(rows, "lang", per_lang, SEED).orderBy("lang", "doc_id", "text").collect()  # bounded by the sample
+    keyed = rows.withColumn("key", F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text")))
+    sample = hash_sample(keyed, "lang", per_lang, SEED, "key").distinct()  # rows repeated count once
+    picked = sorted(whole_texts(sample, "lang", TRAIN_CHARS, ["doc_id", "text"]), key=lambda r: (r.lang, r.doc_id, r.text))
     return train([(r.text, r.lang) for r in picked])
 
 

@@ -2,18 +2,21 @@
 
 Both dictionaries are trained by zstandard's trainer on labelled texts. The ordinary one is trained on ordinary texts
 as they are. The toxic one is trained on those words of toxic texts that are, or whose first ``STEM`` bytes are, at
-least ``RATIO`` times as frequent among toxic texts as among ordinary ones, and stands behind the ordinary one, so that the two agree on everything but toxic passages. Every whole text is cut into windows
-of ``WINDOW`` bytes and more, at blanks; a window speaks for toxicity by the bytes that the toxic dictionary saves on
-it. The mean saving, the greatest one and the share of windows that save a lot are calibrated to a score by a logistic
-fit on labelled texts that trained no dictionary; 0.5 is the threshold.
+least ``RATIO`` times as frequent among toxic texts as among ordinary ones, and stands behind the ordinary one, so that
+the two agree on everything but toxic passages. (Two dictionaries trained apart on raw text mostly differ in which
+ordinary words they happen to hold; the README has the figures.) Every whole text is cut into windows of ``WINDOW``
+bytes and more, at blanks; a window speaks for toxicity by the bytes that the toxic dictionary saves on it. The mean
+saving, the greatest one and the share of windows that save a lot are calibrated to a score by a logistic fit on
+labelled texts that trained no dictionary; 0.5 is the threshold.
 
-Learning uses at most ``PER_LABEL`` labelled texts of each label, of up to ``TRAIN_CHARS`` code points each, chosen by
-a seeded digest of the id among the rows that may be learned from; scoring uses all of every text.
+Learning uses whole texts: at most ``PER_LABEL`` labelled texts of each label, those with the least seeded digests of
+their ids among the rows that may be learned from, and of these, in that order, as many as have ``TRAIN_CHARS`` code
+points together. Scoring uses all of every text.
 
 A null or empty text has one empty window and gets the score of no evidence. A label other than 0 and 1, or null, is
-not learned from; if an id has several label rows, the greatest label counts. Without both labels to learn from, every
-score is 0. Every input row gives one row; rows repeated give equal rows; an empty table gives an empty result. Only
-the named columns are read, so other columns can have any name.
+not learned from; if an id has several label rows, the greatest label counts, if it has several texts, the least.
+Without both labels to learn from, every score is 0. Every input row gives one row; rows repeated give equal rows; an
+empty table gives an empty result. Only the named columns are read, so other columns can have any name.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatlattice.llm.common import hash_sample, id_and_text, map_rows
+from heatlattice.llm.common import hash_sample, id_and_text, map_rows, whole_texts
 
-PER_LABEL, TRAIN_CHARS, SEED = 3000, 20_000, 11
+PER_LABEL, TRAIN_CHARS, SEED = 3000, 32_000_000, 11
 WINDOW, LEVEL, STEM, RATIO, LEAST_SHARE = 32, 3, 4, 10.0, 0.015
-ORDINARY_BYTES, TOXIC_BYTES = 12_000, 4_096
+ORDINARY_BYTES, TOXIC_BYTES = 12_000, 2_048
 #: A window that saves so many bytes counts as a toxic one.
 STRONG = 3
 
@@ -127,8 +130,8 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     seen = [Counter(g for ws in kind for g in set().union(*map(marks_of, ws))) for kind in of]
     marks = {g for g, n in seen[0].items() if n >= max(3, LEAST_SHARE * len(of[0])) and n / len(of[0]) >= RATIO * (seen[1][g] + 1) / (len(of[1]) + 1)}
     marked = [b" %s " % b" ".join(sorted(w for w in ws if marks_of(w) & marks)) for ws in of[0]]
-    plain = trained(ORDINARY_BYTES, [t.lower().encode()[:2000] for t in ordinary[::2]])[-ORDINARY_BYTES:]
-    model = Model(plain, trained(TOXIC_BYTES, marked)[-TOXIC_BYTES // 2 :])
+    plain = trained(ORDINARY_BYTES, [t.lower().encode() for t in ordinary[::2]])
+    model = Model(plain, trained(TOXIC_BYTES, marked))
     rest = [toxic[1::2] or toxic, ordinary[1::2] or ordinary]
     x = np.array([model.features(t) for kind in rest for t in kind])
     y = np.array([1.0] * len(rest[0]) + [0.0] * len(rest[1]))
@@ -154,9 +157,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     base = id_and_text(docs, id_col, text_col)
     known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    picked = hash_sample(known, "label", per_label, SEED)  # at most 2 * per_label rows
-    texts = base.filter("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "label", F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    rows = texts.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # bounded by the sample
+    picked = hash_sample(known, "label", per_label, SEED)
+    texts = base.filter("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "digest").agg(F.min("text").alias("text"))
+    rows = whole_texts(texts, "label", TRAIN_CHARS, ["doc_id"])
     kinds = [[r.text for r in rows if r.label == kind] for kind in (1, 0)]
     return train(*kinds)
 

@@ -48,3 +48,22 @@ def test_scores_equal_the_kernel_form():
     model = langid.train(samples)
     x = langid.normed(langid.presence([t for t, _ in samples])[0]).astype(float)
     assert (x @ model.matrix).argmax(1).tolist() == [model.langs.index(lang) for _, lang in samples]
+
+
+def test_scores_against_kernels_made_pair_by_pair():
+    samples = [(t, lang) for _, t, lang in corpus(60)]
+    model = langid.train(samples)
+    bins = lambda text: set(np.flatnonzero(langid.presence([text])[0][0]).tolist())
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    first = {lang: [t for t, x in samples if x == lang][: langid.LANDMARKS] for lang in model.langs}
+    marks = [bins(t) for t, lang in samples if t in first[lang]]
+    parts = [(bins(p), lang) for t, lang in samples for p in (t, t[: langid.SHORT_CHARS])]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    good = values > 1e-6 * values.max()
+    nystrom = vectors[:, good] / np.sqrt(values[good])
+    features = np.array([[kernel(a, b) for b in marks] for a, _ in parts]) @ nystrom
+    for k, lang in enumerate(model.langs):  # one language against the rest
+        y = np.array([1.0 if x == lang else -1.0 for _, x in parts])
+        w = np.linalg.solve(features.T @ features + langid.RIDGE * len(parts) * np.eye(features.shape[1]), features.T @ y)
+        folded = langid.normed(langid.presence([t for t, _ in samples])[0]).astype(float) @ model.matrix[:, k]
+        assert np.allclose(features[::2] @ w, folded, atol=2e-3)

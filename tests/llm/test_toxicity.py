@@ -1,7 +1,9 @@
+import math
 import random
-
 import zlib
 
+import zstandard
+
 from heatlattice.llm import toxicity
 from heatlattice.llm.common import hash_sample
 
@@ -63,3 +65,39 @@ def test_sample_is_bounded_and_stable(spark):
 def test_windows_cover_the_whole_text():
     text = "One two  three\n" * 50 + "z" * 1000
     assert b"".join(toxicity.windows(text)).replace(b" ", b"") == text.lower().replace(" ", "").replace("\n", "").encode()
+
+
+def test_scores_against_a_plain_scorer(docs):
+    rows = corpus(300)
+    model = toxicity.train([t for _, t, x in rows if x], [t for _, t, x in rows if not x])
+    texts = [t for _, t, _ in rows[:40]] + ["", "vilegrub", "x" * 700 + " vilegrub y"]
+
+    def size(window, content):
+        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    def plain(text):
+        cut, now = [], []
+        for word in text.lower().encode().split():
+            while len(word) > 256:
+                cut, now = cut + ([b" " + b" ".join(now) + b" "] if now else []) + [b" " + word[:256]], []
+                word = word[256:]
+            now.append(word)
+            if 1 + sum(len(w) + 1 for w in now) >= 32:
+                cut, now = [*cut, b" " + b" ".join(now) + b" "], []
+        if now or not cut:
+            cut.append(b" " + b" ".join(now) + b" ")
+        saved = [size(w, model.ordinary) - size(w, model.ordinary + model.toxic) for w in cut]
+        strong = sum(s >= 3 for s in saved)
+        features = [sum(max(s, 0) for s in saved) / len(saved), min(max(saved), 12), strong / len(saved), math.log(1 + strong)]
+        return 1 / (1 + math.exp(-model.intercept - sum(w * (f - c) / s for w, f, c, s in zip(model.weights, features, model.center, model.scale, strict=True))))
+
+    out = {r.doc_id: r.score for r in toxicity.classify(docs(list(enumerate(texts))), model).collect()}
+    assert all(abs(out[i] - plain(t)) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_repeated_ids_learn_the_same(spark, docs):
+    rows = corpus(120)
+    table = docs([(i, t) for i, t, _ in rows] + [(i, "muckhead other text " * 9) for i, _, _ in rows[:60]])
+    labels = spark.createDataFrame([(i, 1, x) for i, _, x in rows], "doc_id long, quality int, toxic int")
+    assert toxicity.learn(table, labels) == toxicity.learn(table.repartition(5), labels.repartition(3))
