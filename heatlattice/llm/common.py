@@ -32,6 +32,14 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    low = {c.lower() for c in taken}
+    while name in low:
+        name = f"_{name}"
+    return name
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -9,9 +9,11 @@ class and by that for the next, and any two sets that can link share a cut.
 1. Each text gives its set's size, a digest of the set, and a signature of each fragment. Equal sets are one from here.
 2. Sets with an equal signature stand in one family (components of the table signature - least set). Only these can
    link. No pairs are made here.
-3. Within a family, sets are dealt to blocks of bounded size, and each two blocks meet in a group. There, the order of
-   the n-grams is cut into fragments again, the overlaps of all pairs are counted fragment by fragment as a matrix
-   product, and summed. What leaves a group is a row for each set: its links, and its root in the group.
+3. The order of the n-grams of a family is cut into fragments again, each of bounded size, and a fragment is what a task
+   counts: the overlaps, within it, of all pairs of two blocks of sets, as a matrix product. A block holds a bounded
+   number of sets; a family of more than one block has blocks by size class, and only those of equal and neighbouring
+   classes meet. Another step sums the partial overlaps of two blocks over the fragments and tests every pair. What
+   leaves it is a row for each set: its links, and its root among the two blocks.
 4. Components over these roots give the classes; no pair is ever written.
 
 Two texts link when den * intersection >= num * union. A set's links are counted exactly, copies included. Texts
@@ -23,25 +25,25 @@ other columns can have any name. Sets and n-grams are told apart by 64-bit hashe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatlattice.llm.common import WORD, _arrow, checked_broadcast, id_and_text, map_rows
+from heatlattice.llm.common import WORD, _arrow, checked_broadcast, free_name, id_and_text, map_rows
 from heatlattice.llm.components import components
 from heatlattice.storage import stored
 
 WORDS, NUM, DEN = 3, 90, 100
-#: A block holds about so many sets and n-grams at most.
-BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
+#: A block holds about so many sets, and a fragment about so many n-grams of it.
+BLOCK_SETS, FRAGMENT_GRAMS = 1024, 1 << 18
 #: (1 - 1/e) ** ENOUGH < 2 ** -64
 ENOUGH = 97
-#: Columns of a fragment when overlaps are counted.
-FRAGMENT = 4096
+#: Columns of one matrix product.
+COLUMNS = 4096
 
 U = np.uint64
 
@@ -91,6 +93,11 @@ def classes(num: int, den: int, upto: int) -> list[int]:
     return out
 
 
+def size_class(n: int, num: int, den: int) -> int:
+    """The class of a size; linked sets are of the same class or of neighbouring ones."""
+    return next(i for i, end in enumerate(classes(num, den, n)) if n <= end)
+
+
 def signatures(grams: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """A number for each filled fragment of a set, cut for its own size class and for the next.
 
@@ -101,9 +108,7 @@ def signatures(grams: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     n = len(grams)
     if not n:
         return np.zeros(0, dtype=U)
-    ends = classes(num, den, n)
-    own = next(i for i, end in enumerate(ends) if n <= end)
-    out = []
+    ends, own, out = classes(num, den, n), size_class(n, num, den), []
     with np.errstate(over="ignore"):
         for cls in (own, own + 1):
             k = (den - num) * 2 * ends[cls] // (den + num) + 1
@@ -138,7 +143,7 @@ def signed(x: np.ndarray) -> list[int]:
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, counted fragment by fragment."""
+    """Sizes of all intersections."""
     total = np.zeros((len(left), len(right)), dtype=np.float32)
     where = np.concatenate([np.full(len(g), i) for i, g in enumerate([*left, *right])] or [np.zeros(0)]).astype(np.int64)
     grams, column, counts = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
@@ -148,9 +153,9 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     where, column = where[keep], place[column[keep]]
     order = np.argsort(column, kind="stable")
     where, column = where[order], column[order]
-    for first in range(0, int(shared.sum()), FRAGMENT):
-        a, b = np.searchsorted(column, (first, first + FRAGMENT))
-        width = min(FRAGMENT, int(shared.sum()) - first)
+    for first in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        width = min(COLUMNS, int(shared.sum()) - first)
         rows = np.zeros((len(left) + len(right), width), dtype=np.float32)
         rows[where[a:b], column[a:b] - first] = 1
         total += rows[: len(left)] @ rows[len(left) :].T
@@ -170,28 +175,83 @@ def roots(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-MEMBER = T.StructType([T.StructField(n, T.LongType()) for n in ("fp", "root", "links")])
+KINDS = {"int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+
+
+def fields(text: str) -> T.StructType:
+    """A schema from "name type, ..."; types are KINDS or arrays of them."""
+    kind = lambda t: T.ArrayType(KINDS[t[6:-1]]) if t.startswith("array") else KINDS[t]
+    return T.StructType([T.StructField(name, kind(t)) for name, t in (x.split() for x in text.split(","))])
+
 
+#: Two blocks of a family: by size class and number; the second one is the first one again, or of the next class or number.
+PAIR = "family long, c long, i int, d long, j int"
+MEMBER = fields("fp long, root long, links long")
+SEGMENT = fields(f"{PAIR}, fragment int, second boolean, fp long, n long, copies long, grams binary")
+PARTIAL = fields(f"{PAIR}, fragment int, fps array<long>, ns array<long>, copies array<long>, seconds array<boolean>, counts binary")
 
-def joined(rows: list[tuple[int, bool, int, np.ndarray]], num: int, den: int) -> list[tuple[int, int, int]]:
-    """fp, root and links of the sets of one group. rows: fp, whether it is of the second block, copies, n-grams."""
-    left, right = [r for r in rows if not r[1]], [r for r in rows if r[1]]
-    one = not right
-    right = left if one else right
-    sizes = [np.array([len(r[3]) for r in side], dtype=np.int64) for side in (left, right)]
-    both = overlaps([r[3] for r in left], [r[3] for r in right]).astype(np.int64)
-    link = den * both >= num * (sizes[0][:, None] + sizes[1][None] - both)
+
+def grouped(keys: list[str], of: T.StructType, work: Callable[[list[dict]], list[dict]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over Arrow batches sorted by ``keys`` that calls ``work`` on the rows of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in of])
+        key, now = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (at := tuple(row[k] for k in keys)) != key:
+                    if now:
+                        yield pa.RecordBatch.from_pylist(work(now), schema)
+                    key, now = at, []
+                now.append(row)
+        if now:
+            yield pa.RecordBatch.from_pylist(work(now), schema)
+
+    return run
+
+
+def counted(rows: list[dict]) -> list[dict]:
+    """The partial overlaps of two blocks in one fragment: a packed matrix, first block by second one."""
+    import zstandard
+
+    rows = sorted(rows, key=lambda r: (r["second"], r["fp"]))
+    grams = [np.frombuffer(r["grams"], dtype=U) for r in rows]
+    split = sum(not r["second"] for r in rows)
+    left, right = grams[:split], grams[split:]
+    both = overlaps(left, left if alone(rows[0]) else right).astype(np.uint32)
+    own = {k: rows[0][k] for k in ("family", "c", "i", "d", "j", "fragment")}
+    lists = {"fps": "fp", "ns": "n", "copies": "copies", "seconds": "second"}
+    return [own | {k: [r[v] for r in rows] for k, v in lists.items()} | {"counts": zstandard.compress(both.tobytes(), 1)}]
+
+
+def alone(row: dict) -> bool:
+    """Whether the two blocks are one."""
+    return (row["c"], row["i"]) == (row["d"], row["j"])
+
+
+def summed(parts: list[dict], num: int, den: int) -> list[dict]:
+    """fp, root and links of the sets of two blocks, from their partial overlaps in all fragments."""
+    import zstandard
+
+    sets = sorted({x for p in parts for x in zip(p["seconds"], p["fps"], p["ns"], p["copies"], strict=True)})
+    place = {(second, fp): at for at, (second, fp, _, _) in enumerate(sets)}
+    split, n, copies = sum(not x[0] for x in sets), np.array([x[2] for x in sets]), np.array([x[3] for x in sets])
+    one = alone(parts[0])
+    both = np.zeros((split, split if one else len(sets) - split), dtype=np.int64)
+    for p in parts:
+        at = np.array([place[x] for x in zip(p["seconds"], p["fps"], strict=True)], dtype=np.int64)
+        rows = at[at < split]
+        columns = rows if one else at[at >= split] - split
+        both[np.ix_(rows, columns)] += np.frombuffer(zstandard.decompress(p["counts"]), dtype=np.uint32).reshape(len(rows), len(columns))
+    sizes = n[:split][:, None] + (n[:split] if one else n[split:])[None]
+    link = den * both >= num * (sizes - both)
     if one:
         np.fill_diagonal(link, False)
-        root = roots(link)
-        links = link @ np.array([r[2] for r in left])
-        return [(r[0], left[k][0], int(n)) for r, k, n in zip(left, root, links, strict=True)]
-    n = len(left)
-    square = np.zeros((n + len(right), n + len(right)), dtype=bool)
-    square[:n, n:], square[n:, :n] = link, link.T
-    every = [*left, *right]
-    links = square @ np.array([r[2] for r in every])
-    return [(r[0], every[k][0], int(m)) for r, k, m in zip(every, roots(square), links, strict=True)]
+    else:
+        square = np.zeros((len(sets), len(sets)), dtype=bool)
+        square[:split, split:], square[split:, :split] = link, link.T
+        link = square
+    return [{"fp": x[1], "root": sets[k][1], "links": int(m)} for x, k, m in zip(sets, roots(link), link @ copies, strict=True)]
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -214,12 +274,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = light.filter("n > 0").select("fp", "doc_id", "content").join(firsts, "fp")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("hash"))
     losers = stored(rows.filter(~same).select(F.col("doc_id").alias("loser"), F.col("content").alias("hash")).distinct())
-    at = docs.withColumn("__content", F.xxhash64(docs[text_col].cast("string")))
-    kept = at.join(checked_broadcast(losers, losers.count()), at[id_col].eqNullSafe(losers.loser) & (at["__content"] == losers.hash), "left_anti")
+    content = free_name("content", docs.columns)
+    at = docs.withColumn(content, F.xxhash64(docs[text_col].cast("string")))
+    kept = at.join(checked_broadcast(losers, losers.count()), at[id_col].eqNullSafe(losers.loser) & (at[content] == losers.hash), "left_anti")
     if not rows.filter(same).groupBy("doc_id", "content").count().filter("count > 1").isEmpty():  # rows of one id and text
         worded = F.coalesce(docs[text_col].cast("string").rlike(WORD), F.lit(False))
-        kept = kept.filter(worded).dropDuplicates([id_col, "__content"]).unionByName(kept.filter(~worded))
-    return kept.drop("__content")
+        kept = kept.filter(worded).dropDuplicates([id_col, content]).unionByName(kept.filter(~worded))
+    return kept.drop(content)
 
 
 def classed(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -228,58 +289,62 @@ def classed(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, d
 
     def sets(texts: list) -> list[list]:
         grams = [shingles(t, words) for t in texts]
-        return [[len(g) for g in grams], [digest(g) for g in grams], [signed(signatures(g, num, den)) for g in grams]]
+        return [[len(g) for g in grams], [digest(g) for g in grams], [size_class(len(g), num, den) if len(g) else None for g in grams], [signed(signatures(g, num, den)) for g in grams]]
 
-    fields = [T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("sigs", T.ArrayType(T.LongType()))]
+    made = list(fields("n long, fp long, c long, sigs array<long>"))
     keyed = base.select(F.struct("doc_id", F.xxhash64("text").alias("content")).alias("row"), "text")
-    light = stored(map_rows(keyed, "row", fields, sets).select("row.doc_id", "row.content", "n", "fp", "sigs"))
+    light = stored(map_rows(keyed, "row", made, sets).select("row.doc_id", "row.content", "n", "fp", "c", "sigs"))
     filled = light.filter("n > 0")
 
-    # 2. families of sets with equal signatures
+    # 2. families of sets with equal signatures; a frequent one is summed up before it is shuffled
     distinct = filled.groupBy("fp").agg(F.first("sigs").alias("sigs"))
     rows = distinct.select("fp", F.explode("sigs").alias("sig"))
-    least = F.first("fp").over(Window.partitionBy("sig").orderBy("fp"))
-    family = components(rows.withColumn("b", least).filter("fp <> b").select(F.col("fp").alias("a"), "b"))
+    least = stored(rows.groupBy("sig").agg(F.min("fp").alias("b"), F.count("*").alias("sets")).filter("sets > 1").select("sig", "b"))
+    family = components(rows.join(checked_broadcast(least, least.count()), "sig").filter("fp <> b").select(F.col("fp").alias("a"), "b"))
     family = stored(family.select(F.col("node").alias("fp"), F.col("root").alias("family")))
 
-    # 3. all pairs of a family, block by block
-    heads = filled.groupBy("fp").agg(F.min_by(F.struct("doc_id", "content"), F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("head"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
-    heads = stored(heads.select("fp", "head.doc_id", "head.content", "n", "copies", "least_id"))
-    within = stored(heads.join(family, "fp"))
-    sizes = within.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    within = stored(within.join(sizes, "family").select("fp", "family", "blocks", "copies", F.col("doc_id").alias("id"), F.col("content").alias("hash")))
+    # 3. overlaps by fragment, of all pairs of blocks of a family that can link
+    heads = filled.groupBy("fp").agg(F.min_by(F.struct("doc_id", "content"), F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("head"), F.first("n").alias("n"), F.first("c").alias("c"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
+    heads = stored(heads.select("fp", "head.doc_id", "head.content", "n", "c", "copies", "least_id"))
+    within = stored(heads.join(checked_broadcast(family, family.count()), "fp"))
+    by_class = within.groupBy("family", "c").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
+    in_all = by_class.groupBy("family").agg(F.sum("sets").alias("sets"), F.sum("grams").alias("grams"), F.map_from_entries(F.collect_list(F.struct("c", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks")))).alias("blocks"))  # an entry a size class
+    whole = F.col("sets") <= BLOCK_SETS
+    in_block = F.least(F.lit(1.0), F.lit(BLOCK_SETS) / F.col("sets")) * F.col("grams")
+    sizes = stored(in_all.select("family", F.when(~whole, F.col("blocks")).alias("blocks"), F.ceil(in_block / FRAGMENT_GRAMS).cast("int").alias("fragments")))
+    within = within.join(checked_broadcast(sizes, sizes.count()), "family")
+    at = F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.element_at("blocks", F.col("c")))).cast("int")
+    within = stored(within.select("fp", "family", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.col("c")).cast("long").alias("c"), at.alias("block"), "blocks", "fragments", "n", "copies", F.col("doc_id").alias("id"), F.col("content").alias("hash")))
     wanted = checked_broadcast(within, within.count())
-    texts = base.join(wanted, base.doc_id.eqNullSafe(wanted.id) & (F.xxhash64(base.text) == wanted.hash))
-    texts = texts.select(F.struct("fp", "family", "blocks", "copies").alias("row"), base.text.alias("text"))
-
-    def tokens(batch: list) -> list[list]:
-        return [[shingles(t, words).tobytes() for t in batch]]
-
-    tokened = map_rows(texts, "row", [T.StructField("grams", T.BinaryType())], tokens).select("row.*", "grams").dropDuplicates(["fp"])
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = tokened.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), "fp", "copies", "grams")
-    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [_arrow(f.dataType) for f in MEMBER]
-        key, now = None, []
-
-        def done() -> pa.RecordBatch:
-            out = joined(now, num, den)
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(map(list, zip(*out, strict=True)), kinds, strict=True)], names=MEMBER.names)
+    texts = base.join(wanted, base.doc_id.eqNullSafe(wanted.id) & (F.xxhash64(base.text) == wanted.hash)).dropDuplicates(["fp"])
+    texts = texts.select(F.struct("fp", "family", "c", "block", "blocks", "fragments", "n", "copies").alias("row"), base.text.alias("text"))
 
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("row", _arrow(texts_row)), ("segments", pa.list_(pa.struct([("fragment", pa.int32()), ("grams", pa.binary())])))])
         for batch in batches:
-            for f, i, j, second, fp, copies, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (f, i, j) != key:
-                    if now:
-                        yield done()
-                    key, now = (f, i, j), []
-                now.append((fp, second, copies, np.frombuffer(grams, dtype=U)))
-        if now:
-            yield done()
-
-    found = stored(dealt.mapInArrow(groups, MEMBER))
+            for part in range(0, batch.num_rows, 256):
+                piece, out = batch.slice(part, 256), []
+                for count, text in zip(piece.column("row").field("fragments").to_pylist(), piece.column("text").to_pylist(), strict=True):
+                    grams = shingles(text, words)
+                    ends = np.searchsorted(((grams >> U(32)) * U(count) >> U(32)).astype(np.int64), np.arange(count + 1))
+                    out.append([{"fragment": f, "grams": grams[a:b].tobytes()} for f, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b])
+                yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(out, schema.field(1).type)], schema=schema)
+
+    texts_row = texts.schema["row"].dataType
+    cut_schema = T.StructType([texts.schema["row"], T.StructField("segments", T.ArrayType(fields("fragment int, grams binary")))])
+    segments = texts.mapInArrow(cut_up, cut_schema).select("row.*", F.explode("segments").alias("s")).select("*", "s.fragment", "s.grams")
+    # the blocks that a block meets: the rest of its class, and those of the class before and behind
+    own = F.expr("if(blocks is null, array(0), sequence(0, element_at(blocks, c) - 1))")
+    other = lambda c: F.expr(f"if(coalesce(try_element_at(blocks, {c}), 0) = 0, cast(array() as array<int>), sequence(0, try_element_at(blocks, {c}) - 1))")
+    one = F.transform(own, lambda x: F.struct(F.col("c").alias("c"), F.least("block", x).alias("i"), F.col("c").alias("d"), F.greatest("block", x).alias("j"), (F.col("block") > x).alias("second")))
+    behind = F.transform(other("c + 1"), lambda x: F.struct(F.col("c").alias("c"), F.col("block").alias("i"), (F.col("c") + 1).alias("d"), x.alias("j"), F.lit(False).alias("second")))
+    before = F.transform(other("c - 1"), lambda x: F.struct((F.col("c") - 1).alias("c"), x.alias("i"), F.col("c").alias("d"), F.col("block").alias("j"), F.lit(True).alias("second")))
+    dealt = segments.select("family", F.explode(F.concat(one, behind, before)).alias("p"), "fragment", "fp", "n", "copies", "grams")
+    dealt = dealt.select("family", "p.c", "p.i", "p.d", "p.j", "fragment", "p.second", "fp", "n", "copies", "grams")
+    pair = [f.name for f in fields(PAIR)]
+    dealt = dealt.repartition(*pair, "fragment").sortWithinPartitions(*pair, "fragment")
+    partial = dealt.mapInArrow(grouped([*pair, "fragment"], PARTIAL, counted), PARTIAL).repartition(*pair).sortWithinPartitions(*pair)
+    found = stored(partial.mapInArrow(grouped(pair, MEMBER, lambda parts: summed(parts, num, den)), MEMBER))
 
     # 4. classes, and what every row gets of its set
     linked = components(found.filter("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b")))
@@ -289,7 +354,7 @@ def classed(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, d
     of_class = linked.join(ids, "root").select("fp", "root", "class_id")
     by_set = heads.join(of_class, "fp", "left").join(links, "fp", "left")
     by_set = by_set.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.struct("doc_id", "content").alias("head"))
-    return light, by_set
+    return light, stored(by_set)  # as a table, so that joins with it can split a frequent set
 
 
 #: The same rows in SQL, every two documents that share an n-gram compared.

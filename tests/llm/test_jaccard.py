@@ -64,6 +64,23 @@ def test_many_blocks_equal_one(docs, monkeypatch):
     assert sorted(map(str, map(tuple, jaccard.join(docs(rows)).collect()))) == brute(rows)
 
 
+def test_many_fragments_equal_one(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    monkeypatch.setattr(jaccard, "FRAGMENT_GRAMS", 50)
+    rows = list(enumerate(corpus(5, families=3, members=40, size=100)))
+    assert sorted(map(str, map(tuple, jaccard.join(docs(rows), words=2, num=60).collect()))) == brute(rows, 2, 60)
+
+
+def test_sets_with_several_empty_fragments():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        low = lambda n: np.unique(rng.integers(0, 1 << 61, n, dtype=np.uint64))  # noqa: E731  the upper 7/8 of the order is empty
+        a, c = low(60), low(60)
+        b = np.unique(np.concatenate([a[2:], low(1)]))
+        assert len(np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)))
+        assert not len(np.intersect1d(jaccard.signatures(a), jaccard.signatures(c)))
+
+
 @pytest.mark.parametrize(("num", "den"), [(9, 10), (8, 10), (1, 2)])
 def test_linked_sets_share_a_signature(num, den):
     rng = np.random.default_rng(3)
@@ -81,7 +98,7 @@ def test_linked_sets_share_a_signature(num, den):
 
 
 def test_overlaps_by_fragments(monkeypatch):
-    monkeypatch.setattr(jaccard, "FRAGMENT", 7)
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 90, 40).astype(np.uint64)) for _ in range(12)]
     assert jaccard.overlaps(sets[:5], sets[5:]).tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
@@ -111,6 +128,11 @@ def test_deduplicated_keeps_one_row_of_each_class(docs):
     assert sorted(str((r.doc_id, r.text)) for r in jaccard.deduplicated(docs(twice)).collect()) == sorted(map(str, [(1, text), (2, None), (2, None)]))
 
 
+def test_deduplicated_takes_any_column_name(docs):
+    table = docs([(1, "a b c d"), (2, "a b c d"), (3, "e")]).withColumnRenamed("key", "content").withColumnRenamed("component", "_content").withColumnRenamed("n", "__content")
+    assert sorted(r.doc_id for r in jaccard.deduplicated(table).collect()) == [1, 3]
+
+
 def test_signatures_grow_as_the_set():
     rng = np.random.default_rng(8)
     for n in (1, 10, 100, 1000, 20_000):
