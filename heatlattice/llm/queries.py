@@ -16,7 +16,7 @@ def tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(read(spark, sf_dir, "documents")).drop("found", "text")
+    return secrets.scan(read(spark, sf_dir, "documents")).drop("found")
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,27 @@
 """Secret scans by a trigram inverted index; DataFrame functions only.
 
 A Boolean trigram query is derived from each rule's regular expression: an OR of sets of trigrams (of the expression in
-lower case), one of which any match must contain whole. The index holds a posting (trigram, doc_id) for every trigram
-that some query names and every text that contains it; postings of other trigrams would never be read and are not
-written. For each rule the postings of each set are intersected (as bits, summed before the shuffle), and only the
-candidates are verified by the expression itself. A rule without mandatory trigrams scans every text. All of this
-is a filter in front of the exact search, so it loses nothing.
+lower case), one of which any match must contain whole. A text is a candidate of a rule if the trigrams of one set all
+occur in it, and only candidates are verified by the expression itself. A rule without mandatory trigrams scans every
+text. All of this is a filter in front of the exact search, so it loses nothing.
+
+``index`` writes the postings (trigram, doc_id) of the trigrams that some query names, and ``candidates`` intersects
+them (as bits, summed before the shuffle): that is for a corpus that is scanned again and again. A scan that reads every
+text anyway, as ``scan`` does, takes each text's part of the postings where it is: the sets are intersected in its row,
+trigram by trigram until one is missing, and the text is verified at once, so that no text is shuffled.
 
 Spans are counted in code points, end exclusive, found leftmost and without overlap for each rule, and listed by start,
 then by the rules' order. They follow from the lengths of the matches and of the gaps that the expression splits off,
 by running sums in blocks of ``BLOCK`` matches, so that many matches in one text do not cost their square.
 
-Null counts as the empty text: no spans, the digest of nothing. Rows of one id (null too) are candidates together and
-are verified each by its own text; every input row gives one row; an empty table gives an empty result. Only the id
-and text columns are read, so other columns can have any name.
+Null counts as the empty text: no spans, the digest of nothing. Every input row gives one row; an empty table gives an
+empty result. Only the id and text columns are read, so other columns can have any name.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import functools
 import itertools
 import re._parser as parser
 
@@ -132,33 +135,47 @@ def derived(rule: Rule) -> list[frozenset]:
     return [] if frozenset() in sets else sets
 
 
-def candidates(texts: DataFrame, rules: list[Rule]) -> DataFrame:
-    """id and kinds: the rules whose trigram query the postings of an id satisfy."""
-    clauses = [(r.kind, n, sorted(s)) for r in rules for n, s in enumerate(derived(r))]
-    named = sorted({g for _, _, s in clauses for g in s})
-    low = F.lower("text")
-    present = F.array_compact(F.array(*(F.when(low.contains(g), F.lit(g)) for g in named)))
-    postings = texts.select(F.col("doc_id").alias("id"), F.explode(present).alias("gram"))
-    spark = texts.sparkSession
-    rows = [(g, k, n, 1 << i, (1 << len(s)) - 1) for k, n, s in clauses for i, g in enumerate(s)]  # as many as the rules have trigrams
-    wanted = spark.createDataFrame(rows, "gram string, kind string, clause int, bit long, every long")
+def clauses(rules: list[Rule]) -> list[tuple[str, int, list[str]]]:
+    """kind, number and trigrams of every set of the rules' queries."""
+    return [(r.kind, n, sorted(s)) for r in rules for n, s in enumerate(derived(r))]
+
+
+def index(texts: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """The postings: gram and id of every trigram that a rule's query names and every text (doc_id, text) with it."""
+    named = sorted({g for _, _, s in clauses(rules) for g in s})
+    low = texts.select("doc_id", F.lower("text").alias("low"))  # apart, or it is worked out for each trigram
+    present = low.select(F.col("doc_id").alias("id"), F.array_compact(F.array(*(F.when(F.col("low").contains(g), F.lit(g)) for g in named))).alias("grams"))
+    return present.select(F.explode("grams").alias("gram"), "id")
+
+
+def candidates(postings: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """id and kinds: the rules whose trigram query the postings of an id satisfy; rules without one are not listed."""
+    rows = [(g, k, n, 1 << i, (1 << len(s)) - 1) for k, n, s in clauses(rules) for i, g in enumerate(s)]  # as many as the rules have trigrams
+    wanted = postings.sparkSession.createDataFrame(rows, "gram string, kind string, clause int, bit long, every long")
     found = postings.join(F.broadcast(wanted), "gram").groupBy("id", "kind", "clause", "every").agg(F.bit_or("bit").alias("bits")).filter("bits = every")
     return found.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
 
-def spans(rule: Rule, text: Column, wanted: Column) -> Column:
-    """array<struct<start, order, kind, end>> of one rule's spans in a text, unordered rules apart."""
-    all_of = lambda group: F.regexp_extract_all(text, F.lit(rule.regex), F.lit(group))
+def candidate(rule: Rule, low: Column) -> Column:
+    """Whether a text in lower case has all trigrams of one of the rule's sets."""
+    sets = derived(rule)
+    in_all = lambda s: functools.reduce(Column.__and__, (low.contains(g) for g in sorted(s)))
+    return functools.reduce(Column.__or__, map(in_all, sets)) if sets else F.lit(True)
+
+
+def spans(rule: Rule, text: Column) -> Column:
+    """array<struct<gap, own, kept>> of one rule's matches in a text, null without any, or of a null text."""
+    regex, kept = rule.regex, None
     if rule.group == 0 and rule.least:  # dropped matches cannot hide a longer one here: a run is taken whole or not at all
-        run = rule.regex.removesuffix("+")
         fixed = len(rule.regex.split("[")[0])
-        regex = f"{run}{{{rule.least - fixed},}}"
-        matches, gaps, kept = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1), None
-    else:
-        matches, gaps = all_of(0), F.split(text, rule.regex, -1)
-        kept = F.transform(all_of(rule.group), lambda x: F.char_length(x) >= rule.least) if rule.least else None
-    size = F.transform(F.sequence(F.lit(1), F.size(matches)), lambda i: F.struct(F.char_length(F.get(gaps, i - 1)).alias("gap"), F.char_length(F.get(matches, i - 1)).alias("own"), (F.get(kept, i - 1) if kept is not None else F.lit(True)).alias("kept")))
-    return F.when(wanted & (F.size(matches) > 0), size).otherwise(F.lit(None))
+        regex = f"{rule.regex.removesuffix('+')}{{{rule.least - fixed},}}"
+    matches = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    if rule.group and rule.least:
+        kept = F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(rule.group)), lambda x: F.char_length(x) >= rule.least)
+    found = F.when(F.size(matches) > 0, matches)
+    gaps = F.split(F.when(found.isNotNull(), text), regex, -1)
+    size = F.transform(found, lambda x, i: F.struct(F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(x).alias("own"), (F.get(kept, i) if kept is not None else F.lit(True)).alias("kept")))
+    return size
 
 
 def placed(sizes: str, order: int, kind: str) -> Column:
@@ -176,31 +193,32 @@ def placed(sizes: str, order: int, kind: str) -> Column:
     return F.expr(f"if({sizes} is null, cast(array() as array<struct<start:int,order:int,kind:string,end:int,kept:boolean>>), filter({whole}, s -> s.kept))")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES, carry: list[str] = ()) -> DataFrame:
-    """doc_id, n_<kind> of each rule, base_sha256, spans, and found (array of start, order, kind, end, kept) of every row.
-
-    Columns of docs named in ``carry`` follow as they are.
-    """
-    rest = [docs[c].alias(f"rest_{i}") for i, c in enumerate(carry)]
-    base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *rest)
-    kinds = candidates(base, rules)
-    rows = base.join(kinds, base.doc_id.eqNullSafe(kinds.id), "left")
-    for rule in rules:
-        wanted = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) if derived(rule) else F.lit(True)
-        rows = rows.withColumn(f"size_{rule.kind}", spans(rule, F.col("text"), wanted))
-    rows = rows.drop("id", "kinds")
-    for order, rule in enumerate(rules):
-        rows = rows.withColumn(f"size_{rule.kind}", placed(f"size_{rule.kind}", order, rule.kind))
-    each = [f"size_{r.kind}" for r in rules]
-    rows = rows.withColumn("found", F.array_sort(F.concat(*each)))
+def located(base: DataFrame, rules: list[Rule]) -> DataFrame:
+    """base (with text, never null, and no other column called low, text_*, size_* or found) and found: its spans by start."""
+    rows = base.withColumn("low", F.lower("text"))
+    # one step after the other, so that nothing is worked out twice and only candidates meet an expression
+    rows = rows.withColumns({f"text_{r.kind}": F.when(candidate(r, F.col("low")), F.col("text")) for r in rules}).drop("low")
+    rows = rows.withColumns({f"size_{r.kind}": spans(r, F.col(f"text_{r.kind}")) for r in rules}).drop(*(f"text_{r.kind}" for r in rules))
+    each = [placed(f"size_{r.kind}", order, r.kind) for order, r in enumerate(rules)]
+    none = functools.reduce(Column.__and__, (F.col(f"size_{r.kind}").isNull() for r in rules))
+    found = F.when(~none, F.array_sort(F.concat(*each)))
+    rows = rows.withColumn("found", F.coalesce(found, F.expr("cast(array() as array<struct<start:int,order:int,kind:string,end:int,kept:boolean>>)")))
+    return rows.drop(*(f"size_{r.kind}" for r in rules))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
+    """doc_id, n_<kind> of the base rules, base_sha256, spans, n_<kind> of the others, and found (array of start, order, kind, end, kept) of every row."""
+    rows = located(docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")), rules)
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     in_base = F.filter("found", lambda s: s.order.isin([i for i, r in enumerate(rules) if r.base]))
-    counts = [F.size(f"size_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in rules]
-    return rows.select("doc_id", *counts, F.sha2(listed(in_base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), "found", "text", *(F.col(f"rest_{i}").alias(c) for i, c in enumerate(carry)))
+    counts = lambda base: [F.expr(f"cast(size(filter(found, s -> s.order = {i})) AS long)").alias(f"n_{r.kind}") for i, r in enumerate(rules) if r.base == base]
+    return rows.select("doc_id", *counts(True), F.sha2(listed(in_base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), *counts(False), "found")
 
 
-def redacted(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """doc_id and text of the rows of scan(), each maximal stretch of spans replaced by ``mark``."""
+def redacted(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES, mark: str = "[SECRET]") -> DataFrame:
+    """docs with each maximal stretch of spans in its texts replaced by ``mark``; a null text becomes the empty one."""
+    # all columns in one, so that none can clash with an own one
+    rows = located(docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")), rules)
     # spans come by start; the running greatest end tells where a stretch ends
     pieces = F.expr(
         f"""aggregate(found, named_struct('at', 0, 'out', cast(array() as array<string>)),
@@ -208,7 +226,8 @@ def redacted(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 array(if(s.start >= a.at, concat(substring(text, a.at + 1, s.start - a.at), '{mark}'), ''))))),
               a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))"""
     )
-    return found.withColumn("text", F.when(F.size("found") > 0, pieces).otherwise(F.col("text")))
+    clean = rows.select("row", F.when(F.size("found") > 0, pieces).otherwise(F.col("text")).alias("text"))
+    return clean.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def oracle_sql(rules: list[Rule] = RULES) -> str:

@@ -33,14 +33,29 @@ def test_against_brute_force(docs):
 
 def test_added_kinds_and_redaction(docs):
     text = "a ghp_" + "A1b2" * 9 + " b -----BEGIN RSA PRIVATE KEY----- token=ghp_" + "c" * 40 + " end"
-    found = secrets.scan(docs([(1, text), (2, "plain"), (3, None)]))
-    rows = {r.doc_id: r for r in found.collect()}
+    table = docs([(1, text), (2, "plain"), (3, None)])
+    rows = {r.doc_id: r for r in secrets.scan(table).collect()}
     assert (rows[1].n_github, rows[1].n_private_key, rows[1].n_assign) == (2, 1, 1)
     assert rows[1].spans.startswith("github:2:42,private_key:45:") and rows[2].spans == ""
-    clean = {r.doc_id: r.text for r in secrets.redacted(found).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redacted(table).collect()}
     assert clean == {1: "a [SECRET] b [SECRET] [SECRET] end", 2: "plain", 3: ""}
 
 
+def test_any_column_name_goes_through(docs):
+    table = docs([(1, "token=abcdefgh"), (None, None)]).withColumnsRenamed({"key": "found", "component": "spans", "n": "low", "lang": "row", "source": "size_hex"})
+    out = secrets.redacted(table)
+    assert out.columns == table.columns and sorted(map(tuple, out.collect()), key=str) == sorted([(1, "[SECRET]", None, None, 1, "x", 2), (None, "", None, None, 1, "x", 2)], key=str)
+    assert sorted(r.spans for r in secrets.scan(table).collect()) == ["", "assign:0:14"]
+
+
+def test_index_and_row_agree(docs):
+    table = docs(list(enumerate(texts()))).select("doc_id", "text")
+    kinds = {r.id: set(r.kinds) for r in secrets.candidates(secrets.index(table)).collect()}
+    for rule in (r for r in secrets.RULES if secrets.derived(r)):
+        rows = table.select("doc_id", secrets.candidate(rule, secrets.F.lower("text")).alias("is")).collect()
+        assert {r.doc_id for r in rows if r["is"]} == {i for i, k in kinds.items() if rule.kind in k}, rule.kind
+
+
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
 def test_every_match_satisfies_its_trigram_query(rule):
     sets = secrets.derived(rule)
