@@ -35,9 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    clean = secrets.redacted(secrets.scan(docs, carry=others))
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    return secrets.redacted(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
