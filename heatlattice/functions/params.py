@@ -56,6 +56,10 @@ class Water:
     D_O2: float = 6.9e-9
 
 
+#: Water of the cooler regime, 90 degC supply and 45 degC return.
+WATER_90 = Water(supply_C=90.0, return_C=45.0, rho=965.3, cp=4205.0, mu=3.15e-4, p_sat=0.701e5)
+
+
 @dataclass(frozen=True)
 class Economics:
     """Trench, energy and pressure-class data of buried networks (30 years at 4 %)."""

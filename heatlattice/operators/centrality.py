@@ -102,7 +102,10 @@ def _max_flow(caps: dict[int, dict[int, int]], source: int, sink: int, most: int
 
 
 def connectivity(edges: DataFrame) -> DataFrame:
-    """network_id, edge and node connectivity, bridges, bridge_fraction, cycle_rank, two_edge_connected; 0 if not connected."""
+    """network_id, edge and node connectivity, bridges, bridge_fraction, cycle_rank, two_edge_connected.
+
+    A network that is not connected has connectivity 0 and counts no bridges; its cycle rank is that of all its parts.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, near = _adjacency(pdf)
@@ -120,10 +123,17 @@ def connectivity(edges: DataFrame) -> DataFrame:
         far = [(first, t) for t in names if t != first and t not in near[first]]
         far += [(a, b) for a in near[first] for b in near[first] if a < b and b not in near[a]]
         node = min([least, *(_max_flow(split, (s, 1), (t, 0), least) for s, t in far)]) if edge else 0
-        bridges = 0
-        for u, v in {(min(u, v), max(u, v)) for u in names for v in near[u]}:
+        bridges = parts = 0
+        left = set(names)
+        while left:
+            parts += 1
+            reach = [left.pop()]
+            for u in reach:
+                reach += [v for v in near[u] if v in left]
+                left -= set(near[u])
+        for u, v in {(min(u, v), max(u, v)) for u in names for v in near[u]} if edge else ():
             bridges += _max_flow(arcs, u, v, 2) < 2
-        return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "edge_connectivity": [edge], "node_connectivity": [node], "bridges": [bridges], "bridge_fraction": [bridges / m], "cycle_rank": [m - n + 1 if edge else 0], "two_edge_connected": [edge >= 2]})
+        return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "edge_connectivity": [edge], "node_connectivity": [node], "bridges": [bridges], "bridge_fraction": [bridges / m], "cycle_rank": [m - n + parts], "two_edge_connected": [edge >= 2]})
 
     return edges.groupBy(KEY).applyInPandas(run, f"{KEY} {dict(edges.dtypes)[KEY]}, edge_connectivity int, node_connectivity int, bridges int, bridge_fraction double, cycle_rank int, two_edge_connected boolean")
 

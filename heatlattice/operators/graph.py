@@ -102,8 +102,10 @@ MOST_POINTS = 4096
 def spanning_tree_of_points(nodes: DataFrame, metric: str = "euclidean") -> DataFrame:
     """The same of the complete graph on points (network_id, node, x, y), without making its edges.
 
-    Networks of up to MOST_POINTS points take Prim's rounds in one task each, in O(points) memory; larger ones have
-    their edges made and go through Boruvka's rounds.
+    Networks of up to MOST_POINTS points take Prim's rounds in one task each, in O(points) memory. The points of larger
+    ones are dealt to blocks, and every two blocks have their own tree made so, all in parallel: an edge that is not in
+    the tree of the two blocks of its ends closes a cycle of smaller edges, so it is not in the whole tree either. That
+    leaves points x blocks edges for Boruvka's rounds.
     """
     sized = nodes.join(nodes.groupBy(KEY).agg(F.count("*").alias("points")), KEY)
     types = dict(nodes.dtypes)
@@ -133,7 +135,14 @@ def spanning_tree_of_points(nodes: DataFrame, metric: str = "euclidean") -> Data
 
     small = sized.filter(F.col("points") <= MOST_POINTS).drop("points").select(KEY, "node", "x", "y").groupBy(KEY).applyInPandas(prim, schema)
     large = sized.filter(F.col("points") > MOST_POINTS)
-    return small if large.isEmpty() else small.unionByName(spanning_tree(pairs(large, metric)))
+    if large.isEmpty():
+        return small
+    blocks = F.ceil(F.col("points") / (MOST_POINTS // 2)).cast("int")
+    own = large.select(KEY, "node", "x", "y", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b <> own)")))
+    met = met.select(KEY, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "x", "y")
+    of_two = met.groupBy(KEY, "i", "j").applyInPandas(lambda pdf: prim(pdf.drop(columns=["i", "j"])), schema)
+    return small.unionByName(spanning_tree(of_two.distinct()))
 
 
 def rooted(edges: DataFrame, root: int = 0) -> DataFrame:

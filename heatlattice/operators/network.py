@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatlattice.functions import physics as p
-from heatlattice.functions.params import CATALOGUE, ECONOMICS, FAILURES, R_MAX, ROUGHNESS, STEAM, U_MAX, WATER, Economics
+from heatlattice.functions.params import CATALOGUE, ECONOMICS, FAILURES, R_MAX, ROUGHNESS, STEAM, U_MAX, WATER, Economics, Water
 from heatlattice.operators import graph
 from heatlattice.operators.graph import KEY
 
@@ -26,7 +26,8 @@ def tree_flow(tree: DataFrame, above: DataFrame, demand: DataFrame, consumers_on
 def routed_flow(edges: DataFrame, demand: DataFrame, keys: tuple[str, ...] = (KEY,)) -> DataFrame:
     """keys, u < v, flow: each demand along its cheapest path, the optimum of the uncapacitated single-source flow.
 
-    ``infeasible`` marks scenarios in which a positive demand is not reached; edges without flow have no row.
+    ``infeasible`` marks scenarios in which a positive demand is not reached; edges without flow have no row, so without
+    any positive demand, or any edge, there are none.
     """
     best = graph.stored(graph.shortest(edges, keys))
     keys = list(keys)
@@ -41,6 +42,8 @@ def routed_flow(edges: DataFrame, demand: DataFrame, keys: tuple[str, ...] = (KE
         moved = step.select(*keys, F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"), F.col("demand_kw").alias("flow"))
         total = moved if total is None else total.unionByName(moved)
         at = graph.stored(step.groupBy(*keys, F.col("parent").alias("node")).agg(F.sum("demand_kw").alias("demand_kw")))
+    if total is None:  # no positive demand that can be reached
+        total = edges.limit(0).select(*keys, "u", "v", F.lit(0.0).alias("flow"))
     flows = total.groupBy(*keys, "u", "v").agg(F.sum("flow").alias("flow"))
     return flows.join(lost, keys, "left").withColumn("infeasible", F.coalesce("infeasible", F.lit(False)))
 
@@ -72,12 +75,12 @@ def _friction(re: float, d: float) -> float:
 
 
 @functools.cache
-def capacities(u_max: float = U_MAX, r_max: float = R_MAX) -> list[tuple[int, float]]:
+def capacities(u_max: float = U_MAX, r_max: float = R_MAX, water: Water = WATER) -> list[tuple[int, float]]:
     """dn and the greatest mass flow it carries within both limits; both grow with the flow, so bisection finds it."""
     out = []
     for dn, d, _, _ in CATALOGUE:
-        low, high = 1e-9, u_max * WATER.rho * math.pi * d * d / 4
-        fine = lambda m, d=d: _friction(4 * m / (math.pi * d * WATER.mu), d) / d * WATER.rho * (4 * m / (WATER.rho * math.pi * d * d)) ** 2 / 2 <= r_max
+        low, high = 1e-9, u_max * water.rho * math.pi * d * d / 4
+        fine = lambda m, d=d: _friction(4 * m / (math.pi * d * water.mu), d) / d * water.rho * (4 * m / (water.rho * math.pi * d * d)) ** 2 / 2 <= r_max
         if not fine(high):
             for _ in range(100):
                 mid = (low + high) / 2
@@ -87,29 +90,29 @@ def capacities(u_max: float = U_MAX, r_max: float = R_MAX) -> list[tuple[int, fl
     return out
 
 
-def pipe(mass_flow: Column) -> Column:
+def pipe(mass_flow: Column, water: Water = WATER) -> Column:
     """struct(dn, d_in, d_steel, d_casing) of the smallest fitting pipe, the largest if none fits; a CASE of 22 limits."""
     sizes = {dn: F.struct(F.lit(dn).alias("dn"), *(F.lit(x).alias(c) for c, x in zip(("d_in", "d_steel", "d_casing"), dims, strict=True))) for dn, *dims in CATALOGUE}
-    limits = capacities()
+    limits = capacities(water=water)
     out = F.when(mass_flow <= limits[0][1], sizes[limits[0][0]])
     for dn, most in limits[1:-1]:
         out = out.when(mass_flow <= most, sizes[dn])
     return F.when(mass_flow.isNotNull(), out.otherwise(sizes[CATALOGUE[-1][0]]))
 
 
-def designed(edges: DataFrame, flow: str = "flow") -> DataFrame:
+def designed(edges: DataFrame, flow: str = "flow", water: Water = WATER) -> DataFrame:
     """edges (l2d, l3d, w, flow in kW) with mdot, dn, d_in, d_steel, d_casing, u_mps, dp, q_per_m, lw.
 
     An infeasible route (w null or infinite) is priced at ten times its length.
     """
-    out = edges.withColumn("mdot", p.column(p.mass_flow(flow))).withColumn("pipe", pipe(F.col("mdot")))
+    out = edges.withColumn("mdot", p.column(p.mass_flow(flow, water))).withColumn("pipe", pipe(F.col("mdot"), water))
     out = out.select(*edges.columns, "mdot", "pipe.*")
     finite = F.col("w").isNotNull() & (F.col("w") < F.lit(math.inf))
     return out.withColumns(
         {
-            "u_mps": F.when((F.col("mdot") > 0) & (F.col("l3d") > 0), p.column(p.velocity("mdot", "d_in"))).otherwise(0.0),
-            "dp": p.column(p.pressure_drop("mdot", "d_in", "l3d")),
-            "q_per_m": p.column(p.loss_buried("d_steel", "d_casing")),
+            "u_mps": F.when((F.col("mdot") > 0) & (F.col("l3d") > 0), p.column(p.velocity("mdot", "d_in", water))).otherwise(0.0),
+            "dp": p.column(p.pressure_drop("mdot", "d_in", "l3d", water=water)),
+            "q_per_m": p.column(p.loss_buried("d_steel", "d_casing", p.n(water.supply_C), p.n(water.return_C))),
             "lw": F.when(finite, F.col("w")).otherwise(F.col("l3d") * 10),
         }
     )
@@ -123,7 +126,7 @@ def worst_path(design: DataFrame, above: DataFrame, demand: DataFrame, keys: tup
     return sums.groupBy(*keys).agg(F.max("path").alias("worst"))
 
 
-def annual_cost(design: DataFrame, above: DataFrame, demand: DataFrame, relief: DataFrame, e: Economics = ECONOMICS) -> DataFrame:
+def annual_cost(design: DataFrame, above: DataFrame, demand: DataFrame, relief: DataFrame, e: Economics = ECONOMICS, water: Water = WATER) -> DataFrame:
     """A row a network: capital, pumping, heat loss, zones, total, specific cost and what they come from.
 
     relief: network_id, relief_m (greatest less least elevation along all routes).
@@ -136,11 +139,11 @@ def annual_cost(design: DataFrame, above: DataFrame, demand: DataFrame, relief:
     )
     loads = demand.filter("demand_kw > 0").groupBy(KEY).agg(F.sum("demand_kw").alias("load_kw"))
     out = sums.join(loads, KEY).join(worst_path(design, above, demand), KEY, "left").join(relief, KEY, "left").fillna(0.0, ["worst", "relief_m"])
-    out = out.withColumn("pump_dp", p.column(p.closed_loop("worst", "worst"))).withColumn("n_zones", p.column(p.zones("relief_m", p.n(e.pressure_class))))
+    out = out.withColumn("pump_dp", p.column(p.closed_loop("worst", "worst"))).withColumn("n_zones", p.column(p.zones("relief_m", p.n(e.pressure_class), water)))
     out = out.withColumns(
         {
             "capital": F.expr(f"trench * {crf}"),
-            "pumping": F.expr(f"{p.pump_power(p.mass_flow('load_kw'), 'pump_dp', e.eta)} / 1000e0 * {p.n(e.pump_hours * e.power_price)}"),
+            "pumping": F.expr(f"{p.pump_power(p.mass_flow('load_kw', water), 'pump_dp', e.eta, water)} / 1000e0 * {p.n(e.pump_hours * e.power_price)}"),
             "heat_loss_mwh": F.expr("loss_w / 1e6 * 8760e0"),
             "zones": F.expr(f"(n_zones - 1) * {p.n(e.station)} * {crf}"),
             "delivered_mwh": F.expr(f"load_kw * {p.n(e.full_load_hours)} / 1000e0"),
@@ -150,7 +153,7 @@ def annual_cost(design: DataFrame, above: DataFrame, demand: DataFrame, relief:
     return out.withColumn("specific", F.expr("total / greatest(delivered_mwh, 1e-9)"))
 
 
-def steam_cost(edges: DataFrame, tree: DataFrame, mode: str | None = None) -> DataFrame:
+def steam_cost(edges: DataFrame, mode: str | None = None) -> DataFrame:
     """pipe, pressure, heat, total and length of each network by the published steam model.
 
     edges: network_id, u (parent), v, length, flow (kg/s). The parent branch comes by a join on its lower node.

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatlattice.functions import physics as p
-from heatlattice.functions.params import GROUND
-from heatlattice.operators.graph import KEY
+from heatlattice.functions.params import GROUND, Ground
+from heatlattice.operators.graph import KEY, canonical
 
 SPACING = 25.0
 
@@ -38,9 +38,10 @@ def profile(routes: DataFrame, spacing: float = SPACING) -> DataFrame:
     return out.select(KEY, "u", "v", "k", "length", (F.col("t") * F.col("length")).alias("chainage"), *((F.col(f"u{c}") + F.col("t") * (F.col(f"v{c}") - F.col(f"u{c}"))).alias(c) for c in "xy"))
 
 
-def metrics(samples: DataFrame) -> DataFrame:
+def metrics(samples: DataFrame, grounds: dict[str, Ground] | None = None) -> DataFrame:
     """l2d, l3d, w, dz, climb, max_slope, mean_slope, feasible, z_low, z_high of every route from its samples with z.
 
+    ``grounds`` names further weights, of other slope factors; like w they are infinite where a route is infeasible.
     Samples of a route are gathered as one sorted array (its length bounds it), so that no window is needed.
     """
     at = F.array_sort(F.collect_list(F.struct("k", "chainage", "z"))).alias("s")
@@ -54,20 +55,33 @@ def metrics(samples: DataFrame) -> DataFrame:
         F.expr("s[size(s) - 1].chainage").alias("l2d"),
         total("x.l").alias("l3d"),
         total(f"x.l * {p.slope_factor('x.g')}").alias("weight"),
+        *(total(f"x.l * {p.slope_factor('x.g', g)}").alias(c) for c, g in (grounds or {}).items()),
         F.expr("s[size(s) - 1].z - s[0].z").alias("dz"),
         total("greatest(x.v, 0e0)").alias("climb"),
         F.expr("aggregate(g, 0e0, (a, x) -> greatest(a, x.g))").alias("max_slope"),
         total("x.g * x.l").alias("slope_sum"),
     )
     out = out.withColumn("mean_slope", F.col("slope_sum") / F.greatest("l3d", F.lit(1e-9))).withColumn("feasible", F.col("max_slope") <= GROUND.steepest)
-    return out.withColumn("w", F.when(F.col("feasible"), F.col("weight")).otherwise(F.lit(float("inf")))).drop("slope_sum", "weight")
+    finite = lambda c: F.when(F.col("feasible"), F.col(c)).otherwise(F.lit(float("inf")))
+    return out.withColumns({"w": finite("weight")} | {c: finite(c) for c in grounds or {}}).drop("slope_sum", "weight")
 
 
-def all_routes(nodes: DataFrame, dem: DataFrame, grid: tuple[float, float, float, int, int], spacing: float = SPACING) -> DataFrame:
+def all_routes(nodes: DataFrame, dem: DataFrame, grid: tuple[float, float, float, int, int], spacing: float = SPACING, grounds: dict[str, Ground] | None = None) -> DataFrame:
     """metrics() of the straight route between every two nodes of a network."""
-    a = nodes.select(KEY, F.col("node").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
-    b = nodes.select(KEY, F.col("node").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
-    return metrics(sampled(profile(a.join(b, KEY).filter("u < v"), spacing), dem, *grid))
+    a, b = ends(nodes)
+    return metrics(sampled(profile(a.join(b, KEY).filter("u < v"), spacing), dem, *grid), grounds)
+
+
+def routes_of(edges: DataFrame, nodes: DataFrame, dem: DataFrame, grid: tuple[float, float, float, int, int], spacing: float = SPACING) -> DataFrame:
+    """metrics() of the straight routes of edges (network_id, u, v), named u < v."""
+    a, b = ends(nodes)
+    rows = canonical(edges).select(KEY, "u", "v").distinct().join(a, [KEY, "u"]).join(b, [KEY, "v"])
+    return metrics(sampled(profile(rows, spacing), dem, *grid))
+
+
+def ends(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    a, b = (nodes.select(KEY, F.col("node").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y")) for c in "uv")
+    return a, b
 
 
 def relief(elevations: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ CHORDS = """
 SELECT CAST(a.n_regionkey AS BIGINT) AS network_id, CAST(1 + a.n_nationkey AS BIGINT) AS u, CAST(1 + b.n_nationkey AS BIGINT) AS v, 300e0 + 11 * (a.n_nationkey + b.n_nationkey) AS l3d
 FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"""
 
-LOOPED = f"""SELECT network_id, u, v, l3d AS length FROM ({TREE_EDGES}) te UNION ALL SELECT network_id, u, v, l3d FROM ({CHORDS}) ch WHERE (u + v) % 3 = 0"""
+LOOPED = f"""SELECT network_id, u, v, l3d AS length FROM ({TREE_EDGES}) te UNION ALL SELECT network_id, u, v, l3d FROM ({CHORDS}) ch"""
 
 POINTS = """
 SELECT CAST(label AS BIGINT) AS network_id, CAST(vec_id AS BIGINT) AS node, CAST(embedding[{one}] AS DOUBLE) * 1000e0 AS x, CAST(embedding[{two}] AS DOUBLE) * 1000e0 AS y FROM {embeddings}"""

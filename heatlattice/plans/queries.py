@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heatlattice.functions import physics as p
-from heatlattice.functions.params import CATALOGUE, ECONOMICS, OXYGEN, PUBLISHED
+from heatlattice.functions.params import CATALOGUE, ECONOMICS, OXYGEN, WATER, WATER_90, Ground, Water
 from heatlattice.operators import graph, netsci, network, nodes, steiner, terrain
 from heatlattice.plans import fixtures as fx
 from heatlattice.plans.fixtures import duck_text, frame
@@ -94,15 +94,15 @@ _CATALOGUE = ", ".join(f"({dn}, {a!r}e0, {b!r}e0, {c!r}e0)" for dn, a, b, c in C
 CATALOGUE_SQL = f"(SELECT * FROM (VALUES {_CATALOGUE}) c(dn, d_in, d_steel, d_casing))"
 
 
-def picked_sql(rows: str, keys: str) -> str:
+def picked_sql(rows: str, water: Water = WATER) -> str:
     """The catalogue rule in SQL: every size tested, the least fitting one taken, else the largest."""
-    fits = f"{p.velocity('m.mdot', 'c.d_in')} <= 3e0 AND {p.pressure_drop('m.mdot', 'c.d_in', '1e0', p.Duck)} <= 100e0"
+    fits = f"{p.velocity('m.mdot', 'c.d_in', water)} <= 3e0 AND {p.pressure_drop('m.mdot', 'c.d_in', '1e0', p.Duck, water)} <= 100e0"
     return f"""(SELECT m.*, s.dn, s.d_in, s.d_steel, s.d_casing FROM {rows} m
       JOIN (SELECT mdot, coalesce(min(dn) FILTER (ok), 1000) AS dn FROM (SELECT m.mdot, c.dn, {fits} AS ok FROM (SELECT DISTINCT mdot FROM {rows}) m, {CATALOGUE_SQL} c) GROUP BY mdot) b USING (mdot)
       JOIN {CATALOGUE_SQL} s ON s.dn = b.dn)"""
 
 
-@query(duck_text(f"SELECT l_orderkey, l_linenumber, dn, d_in, d_casing FROM {picked_sql(f'(SELECT l_orderkey, l_linenumber, load_kw, {p.mass_flow("load_kw")} AS mdot FROM ({fx.PIPES}) x)', '')}"))
+@query(duck_text(f"SELECT l_orderkey, l_linenumber, dn, d_in, d_casing FROM {picked_sql(f'(SELECT l_orderkey, l_linenumber, load_kw, {p.mass_flow("load_kw")} AS mdot FROM ({fx.PIPES}) x)')}"))
 def pipe_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frame(spark, sf_dir, fx.PIPES).withColumn("pipe", network.pipe(p.column(p.mass_flow("load_kw"))))
     return rows.select("l_orderkey", "l_linenumber", "pipe.dn", "pipe.d_in", "pipe.d_casing")
@@ -138,27 +138,26 @@ def relief(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, z_min=6, z_max=6, relief_m=6, z_std=6)
 
 
-# routes of the star of each network's sites, 25 m apart
-STAR = f"SELECT a.network_id, a.node AS u, b.node AS v, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy FROM ({SITES}) a JOIN ({SITES}) b ON a.network_id = b.network_id AND a.node < b.node AND (b.node - a.node) % 9 = 1"
-PROFILE = f"SELECT network_id, u, v, k, t * len AS chainage, ux + t * (vx - ux) AS x, uy + t * (vy - uy) AS y FROM (SELECT *, k::DOUBLE / (n - 1) AS t FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT *, greatest(2, ceil(len / 25e0)::INT + 1) AS n FROM (SELECT *, sqrt(pow(vx - ux, 2e0) + pow(vy - uy, 2e0)) AS len FROM ({STAR})))))"
-ROUTE_SQL = f"""dem AS ({fx.DEM}), smp AS (SELECT * FROM {sampled_sql(f'({PROFILE})')}),
-st AS (SELECT *, chainage - lag(chainage) OVER w AS h, z - lag(z) OVER w AS dv, z - first(z) OVER w AS dz FROM smp WINDOW w AS (PARTITION BY network_id, u, v ORDER BY k)),
-sg AS (SELECT *, sqrt(h * h + dv * dv) AS l, CASE WHEN h > 0 THEN abs(dv) / h ELSE 0e0 END AS g FROM st),
-routes AS (SELECT network_id, u, v, max(chainage) AS l2d, sum(l) AS l3d, sum(l * {p.slope_factor('g')}) AS wt, arg_max(dz, k) AS dz, sum(greatest(dv, 0e0)) AS climb, max(g) AS max_slope,
+# routes of all pairs of a network's sites, sampled 25 m apart
+def route_sql(sites: str, grounds: dict[str, Ground] | None = None) -> str:
+    """CTEs dem and routes: the metrics of the routes between all pairs of sites."""
+    pairs = f"SELECT a.network_id, a.node AS u, b.node AS v, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy FROM ({sites}) a JOIN ({sites}) b ON a.network_id = b.network_id AND a.node < b.node"
+    profile = f"SELECT network_id, u, v, k, t * len AS chainage, ux + t * (vx - ux) AS x, uy + t * (vy - uy) AS y FROM (SELECT *, k::DOUBLE / (n - 1) AS t FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT *, greatest(2, ceil(len / 25e0)::INT + 1) AS n FROM (SELECT *, sqrt(pow(vx - ux, 2e0) + pow(vy - uy, 2e0)) AS len FROM ({pairs})))))"
+    more = "".join(f", sum(l * {p.slope_factor('g', g)}) AS {c}" for c, g in (grounds or {}).items())
+    return f"""dem AS ({fx.DEM}), smp AS (SELECT * FROM {sampled_sql(f'({profile})')}),
+stp AS (SELECT *, chainage - lag(chainage) OVER w AS h, z - lag(z) OVER w AS dv, z - first(z) OVER w AS dz FROM smp WINDOW w AS (PARTITION BY network_id, u, v ORDER BY k)),
+sg AS (SELECT *, sqrt(h * h + dv * dv) AS l, CASE WHEN h > 0 THEN abs(dv) / h ELSE 0e0 END AS g FROM stp),
+routes AS (SELECT network_id, u, v, max(chainage) AS l2d, sum(l) AS l3d, sum(l * {p.slope_factor('g')}) AS wt{more}, arg_max(dz, k) AS dz, sum(greatest(dv, 0e0)) AS climb, max(g) AS max_slope,
   sum(g * l) / greatest(sum(l), 1e-9) AS mean_slope, max(g) <= 0.6e0 AS feasible, min(z) AS z_low, max(z) AS z_high FROM sg GROUP BY 1, 2, 3)"""
 
 
+ROUTE_SQL = route_sql(SITES)
+
+
 @query(duck_text(f"""WITH {ROUTE_SQL} SELECT network_id, u, v, round(l2d, 5) AS l2d, round(l3d, 5) AS l3d, CASE WHEN feasible THEN round(wt, 4) END AS w, round(dz, 5) AS dz, round(climb, 5) AS climb,
   round(max_slope, 6) AS max_slope, round(mean_slope, 6) AS mean_slope, feasible, round(z_low, 5) AS z_low, round(z_high, 5) AS z_high FROM routes"""))
 def route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = terrain.sampled(terrain.profile(frame(spark, sf_dir, STAR)), grid(spark, sf_dir), *fx.GRID)
-    out = terrain.metrics(samples).withColumn("w", F.when(F.col("feasible"), F.col("w")))
-    return rounded(out, l2d=5, l3d=5, w=4, dz=5, climb=5, max_slope=6, mean_slope=6, z_low=5, z_high=5)
-
-
-@query()
-def all_route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every two sites of a network; route_metrics has a ninth of them, as its SQL."""
+    """Every two sites of a network."""
     out = terrain.all_routes(frame(spark, sf_dir, SITES), grid(spark, sf_dir), fx.GRID)
     out = out.withColumn("w", F.when(F.col("feasible"), F.col("w")))
     return rounded(out, l2d=5, l3d=5, w=4, dz=5, climb=5, max_slope=6, mean_slope=6, z_low=5, z_high=5)
@@ -220,8 +219,9 @@ def knn_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.nearest(graph.pairs(frame(spark, sf_dir, fx.POINTS))), w=6)
 
 
-#: An edge is in the tree iff its ends are not joined by smaller edges; with the order as a rank, by the least bottleneck.
-MST_SQL = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY network_id ORDER BY w, u, v) AS r FROM ({PAIRS})),
+# An edge is in the tree iff its ends are not joined by smaller edges; with the order as a rank, by the least bottleneck.
+def mst_sql(pairs: str) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY network_id ORDER BY w, u, v) AS r FROM ({pairs})),
   b AS (SELECT network_id, u AS a, v AS b, r FROM e UNION ALL SELECT network_id, v, u, r FROM e),
   near AS (SELECT network_id, u, v, r FROM e WHERE NOT EXISTS (SELECT 1 FROM b x JOIN b y ON x.network_id = y.network_id AND x.b = y.a WHERE x.network_id = e.network_id AND x.a = e.u AND y.b = e.v AND x.r < e.r AND y.r < e.r)),
   f AS (SELECT network_id, u AS a, v AS b, r FROM near UNION ALL SELECT network_id, v, u, r FROM near),
@@ -229,6 +229,9 @@ MST_SQL = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY net
   SELECT e.network_id, e.u, e.v, round(e.w, 6) AS w, e.r::BIGINT AS r FROM e JOIN near n ON n.network_id = e.network_id AND n.r = e.r WHERE NOT EXISTS (SELECT 1 FROM go WHERE go.network_id = n.network_id AND go.edge = n.r AND go.node = n.v)"""
 
 
+MST_SQL = mst_sql(PAIRS)
+
+
 @query(duck_text(f"SELECT network_id, u, v, w FROM ({MST_SQL})"))
 def mst_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boruvka's rounds over the pair table."""
@@ -294,14 +297,18 @@ def tree_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.tree_flow(tree, above, demand)
 
 
-def design_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def design_of(spark: SparkSession, sf_dir: str, water: Water = WATER) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     edges, demand, tree, above = supply(spark, sf_dir)
     flows = network.tree_flow(tree, above, demand)
-    return network.designed(edges.join(flows, [K, "u", "v"])), demand, tree, above
+    return network.designed(edges.join(flows, [K, "u", "v"]), water=water), demand, tree, above
+
+
+def design_sql(water: Water = WATER) -> str:
+    return f"""{FLOW}, ds AS (SELECT *, {p.mass_flow('flow', water)} AS mdot FROM fl),
+  pk AS (SELECT *, CASE WHEN mdot > 0 AND l3d > 0 THEN {p.velocity('mdot', 'd_in', water)} ELSE 0e0 END AS u_mps, {p.pressure_drop('mdot', 'd_in', 'l3d', p.Duck, water)} AS dp, {p.loss_buried('d_steel', 'd_casing', p.n(water.supply_C), p.n(water.return_C))} AS q_per_m, coalesce(w, l3d * 10e0) AS lw FROM {picked_sql('ds', water)})"""
 
 
-DESIGN = f"""{FLOW}, ds AS (SELECT *, {p.mass_flow('flow')} AS mdot FROM fl),
-  pk AS (SELECT *, CASE WHEN mdot > 0 AND l3d > 0 THEN {p.velocity('mdot', 'd_in')} ELSE 0e0 END AS u_mps, {p.pressure_drop('mdot', 'd_in', 'l3d', p.Duck)} AS dp, {p.loss_buried('d_steel', 'd_casing')} AS q_per_m, coalesce(w, l3d * 10e0) AS lw FROM {picked_sql('ds', '')})"""
+DESIGN = design_sql()
 
 
 @query(duck_text(f"WITH RECURSIVE {ABOVE}, {DESIGN} SELECT network_id, u, v, flow, dn, d_in, d_casing, round(mdot, 6) AS mdot, round(u_mps, 6) AS u_mps, round(dp, 3) AS dp, round(q_per_m, 6) AS q_per_m, round(lw, 6) AS lw FROM pk"))
@@ -311,11 +318,18 @@ def edge_design(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 E = ECONOMICS
-COST = f"""{DESIGN}, rl AS (SELECT network_id, max(z) - min(z) AS relief_m FROM nd GROUP BY 1), ld AS (SELECT network_id, sum(demand_kw) AS load_kw FROM nd GROUP BY 1),
+RELIEF = "SELECT network_id, max(z) - min(z) AS relief_m FROM nd GROUP BY 1"
+
+
+def cost_sql(relief: str = RELIEF, water: Water = WATER) -> str:
+    return f"""{design_sql(water)}, rl AS ({relief}), ld AS (SELECT network_id, sum(demand_kw) AS load_kw FROM nd GROUP BY 1),
   ps AS (SELECT network_id, max(s) AS worst FROM (SELECT up.network_id, up.node, sum(pk.dp) AS s FROM up JOIN nd USING (network_id, node) JOIN pk ON pk.network_id = up.network_id AND pk.v = up.ancestor WHERE demand_kw > 0 GROUP BY 1, 2) GROUP BY 1),
   c0 AS (SELECT network_id, sum(({E.C1}e0 + {E.C2}e0 * d_casing) * lw) * {p.n(p.CRF)} AS capital, sum(q_per_m * l3d) / 1e6 * 8760e0 AS heat_loss_mwh, sum(l2d) AS length_l2d, sum(l3d) AS length_l3d, sum(lw) AS length_lw FROM pk GROUP BY 1),
-  c1 AS (SELECT *, {p.pump_power(p.mass_flow('load_kw'), '(2e0 * worst)')} / 1000e0 * {E.pump_hours}e0 * {E.power_price}e0 AS pumping, heat_loss_mwh * 1000e0 * {E.heat_price}e0 AS heat_loss, {p.zones('relief_m')} AS n_zones, load_kw * 1.8e0 AS delivered_mwh FROM c0 JOIN rl USING (network_id) JOIN ld USING (network_id) JOIN ps USING (network_id)),
+  c1 AS (SELECT *, {p.pump_power(p.mass_flow('load_kw', water), '(2e0 * worst)', water=water)} / 1000e0 * {E.pump_hours}e0 * {E.power_price}e0 AS pumping, heat_loss_mwh * 1000e0 * {E.heat_price}e0 AS heat_loss, {p.zones('relief_m', water=water)} AS n_zones, load_kw * 1.8e0 AS delivered_mwh FROM c0 JOIN rl USING (network_id) JOIN ld USING (network_id) JOIN ps USING (network_id)),
   c2 AS (SELECT *, (n_zones - 1) * 250000e0 * {p.n(p.CRF)} AS zones FROM c1), cost AS (SELECT *, capital + pumping + heat_loss + zones AS total FROM c2)"""
+
+
+COST = cost_sql()
 COST_COLUMNS = {"capital": 2, "pumping": 2, "heat_loss": 2, "zones": 4, "total": 2, "heat_loss_mwh": 4, "delivered_mwh": 4, "specific": 5, "length_l2d": 4, "length_l3d": 4, "length_lw": 4}
 
 
@@ -338,7 +352,7 @@ def annual_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 def steam_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, demand, tree, above = supply(spark, sf_dir)
     flows = network.tree_flow(tree, above, demand).withColumn("flow", F.col("flow") / 1000)
-    out = network.steam_cost(edges.join(flows, [K, "u", "v"]).select(K, "u", "v", F.col("l3d").alias("length"), "flow"), tree)
+    out = network.steam_cost(edges.join(flows, [K, "u", "v"]).select(K, "u", "v", F.col("l3d").alias("length"), "flow"))
     return rounded(out.drop("total"), pipe=2, pressure=2, heat=2, length=4)
 
 
@@ -469,15 +483,16 @@ def clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(netsci.triangles(pts, e).join(netsci.assortativity(pts, e), K), transitivity=8, avg_clustering=8, assortativity=8)
 
 
-RANKS = "rk AS (SELECT network_id, trial, edge, row_number() OVER (PARTITION BY network_id, trial ORDER BY md5('0:' || trial || ':' || edge), edge) AS rank FROM (SELECT network_id, v AS edge, unnest(range(20)) AS trial FROM e))"
+TRIALS = 60
+RANKS = f"rk AS (SELECT network_id, trial, edge, row_number() OVER (PARTITION BY network_id, trial ORDER BY md5('0:' || trial || ':' || edge), edge) AS rank FROM (SELECT network_id, v AS edge, unnest(range({TRIALS})) AS trial FROM e))"
 
 
 @query(duck_text(f"""WITH RECURSIVE {ABOVE}, {RANKS}, ct AS (SELECT up.network_id, trial, up.node, min(rank) AS cut FROM up JOIN rk ON rk.network_id = up.network_id AND rk.edge = up.ancestor GROUP BY 1, 2, 3),
   ls AS (SELECT network_id, cut, sum(demand_kw) AS lost FROM ct JOIN nd USING (network_id, node) WHERE demand_kw > 0 GROUP BY 1, 2), sz AS (SELECT network_id, max(rank) AS m FROM rk GROUP BY 1), tt AS (SELECT network_id, sum(demand_kw) AS total FROM nd WHERE demand_kw > 0 GROUP BY 1), ks AS (SELECT *, unnest(range(m)) AS k FROM sz JOIN tt USING (network_id))
-  SELECT ks.network_id, k::INT AS k, round(k / m::DOUBLE, 8) AS removed, round(1 - coalesce((SELECT sum(lost) FROM ls WHERE ls.network_id = ks.network_id AND cut <= k), 0) / 20 / total, 8) AS served FROM ks"""))
+  SELECT ks.network_id, k::INT AS k, round(k / m::DOUBLE, 8) AS removed, round(1 - coalesce((SELECT sum(lost) FROM ls WHERE ls.network_id = ks.network_id AND cut <= k), 0) / {TRIALS} / total, 8) AS served FROM ks"""))
 def percolation_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, demand, tree, above = supply(spark, sf_dir)
-    ranks = netsci.random_orders(edges.select(K, F.col("v").alias("edge")), 20)
+    ranks = netsci.random_orders(edges.select(K, F.col("v").alias("edge")), TRIALS)
     return rounded(netsci.percolation(above, tree, demand, ranks), removed=8, served=8)
 
 
@@ -526,36 +541,44 @@ def steiner_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- studies
 
-SCENARIOS = [("base", 110.0, 50.0, 16e5, 0.1922, 0.04), ("cool", 90.0, 50.0, 16e5, 0.1922, 0.04), ("pn10", 110.0, 50.0, 10e5, 0.1922, 0.04), ("pn25", 110.0, 50.0, 25e5, 0.1922, 0.04), ("power", 110.0, 50.0, 16e5, 0.3844, 0.04), ("rate", 110.0, 50.0, 16e5, 0.1922, 0.08)]
+REGIMES = {"110/50": WATER, "90/45": WATER_90}
+#: name, regime, pressure class, price of power, price of heat, rate
+SCENARIOS = [
+    ("base", "110/50", 16e5, 0.1922, 0.055, 0.04),
+    ("cool", "90/45", 16e5, 0.1922, 0.055, 0.04),
+    *((f"pn{n}{c}", r, n * 1e5, 0.1922, 0.055, 0.04) for n in (10, 25) for c, r in (("", "110/50"), ("_cool", "90/45"))),
+    *((f"power_{n}", "110/50", 16e5, 0.1922 * f, 0.055, 0.04) for n, f in (("half", 0.5), ("more", 1.5))),
+    *((f"heat_{n}", "110/50", 16e5, 0.1922, 0.055 * f, 0.04) for n, f in (("half", 0.5), ("more", 1.5))),
+    *((f"rate_{n}", "110/50", 16e5, 0.1922, 0.055, n / 100) for n in (2, 6, 8)),
+]
+_REGIMES = " UNION ALL ".join(f"SELECT network_id, '{r}' AS regime, capital, pumping, heat_loss, relief_m, delivered_mwh, {p.n(w.p_sat)} AS p_sat, {p.n(w.rho)} AS rho FROM (WITH RECURSIVE {ABOVE}, {cost_sql(water=w)} SELECT * FROM cost)" for r, w in REGIMES.items())
+_SWEEP = ", ".join(f"('{name}', '{r}', {p.n(pn)}, {p.n(power)}, {p.n(heat)}, {p.n(p.capital_recovery(rate, 30))})" for name, r, pn, power, heat, rate in SCENARIOS)
 
 
 @query(
-    duck_text(f"""WITH RECURSIVE {ABOVE}, {COST}, sn(name, pn, price, crf) AS (VALUES {', '.join(f"('{s[0]}', {p.n(s[3])}, {p.n(s[4])}, {p.n(p.capital_recovery(s[5], 30))})" for s in SCENARIOS if s[0] != 'cool')}),
-  x AS (SELECT network_id, name, capital / {p.n(p.CRF)} * sn.crf + pumping / 0.1922e0 * price + heat_loss + ({p.zones('relief_m', 'pn')} - 1) * 250000e0 * sn.crf AS total, delivered_mwh FROM cost, sn)
-  SELECT network_id, name, round(total / delivered_mwh, 5) AS specific, row_number() OVER (PARTITION BY network_id ORDER BY round(total / delivered_mwh, 5), name) AS place FROM x""")
+    duck_text(f"""WITH rg AS ({_REGIMES}), sn(name, regime, pn, power, heat, crf) AS (VALUES {_SWEEP}),
+  us AS (SELECT *, pn - p_sat - 0.5e5 AS usable FROM rg JOIN sn USING (regime)),
+  x AS (SELECT *, CASE WHEN usable <= 0 THEN 99 ELSE greatest(1, ceil(rho * 9.80665e0 * relief_m / usable)::INT) END AS n FROM us),
+  t AS (SELECT network_id, name, n, capital / {p.n(p.CRF)} * crf + pumping / 0.1922e0 * power + heat_loss / 0.055e0 * heat + (n - 1) * 250000e0 * crf AS total, delivered_mwh FROM x)
+  SELECT network_id, name, n AS n_zones, round(total / delivered_mwh, 5) AS specific, row_number() OVER (PARTITION BY network_id ORDER BY round(total / delivered_mwh, 5), name) AS place FROM t""")
 )
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenarios of prices, rate and pressure class over one design, ranked by specific cost."""
-    design, demand, _, above = design_of(spark, sf_dir)
-    base = network.annual_cost(graph.stored(design), above, demand, tree_relief(demand))
-    rows = [(s[0], s[3], s[4], p.capital_recovery(s[5], 30)) for s in SCENARIOS if s[0] != "cool"]
-    sweep = F.broadcast(spark.createDataFrame(rows, "name string, pn double, price double, crf double"))  # a row a scenario
-    out = base.join(sweep).withColumn("n", p.column(p.zones("relief_m", "pn")))
-    total = F.expr(f"trench * crf + pumping / {p.n(ECONOMICS.power_price)} * price + heat_loss + (n - 1) * {p.n(ECONOMICS.station)} * crf")
-    out = out.select(K, "name", F.round(total / F.col("delivered_mwh"), 5).alias("specific"))
+    """Scenarios of water regime, pressure class, prices and rate, ranked by specific cost; each regime has its own design."""
+    bases = None
+    for name, water in REGIMES.items():
+        design, demand, _, above = design_of(spark, sf_dir, water)
+        one = network.annual_cost(graph.stored(design), above, demand, tree_relief(demand), water=water)
+        one = one.withColumns({"regime": F.lit(name), **{c: F.lit(getattr(water, c)) for c in ("p_sat", "rho")}})
+        bases = one if bases is None else bases.unionByName(one)
+    rows = [(*s[:5], p.capital_recovery(s[5], 30)) for s in SCENARIOS]
+    sweep = F.broadcast(spark.createDataFrame(rows, "name string, regime string, pn double, power double, heat double, crf double"))  # a row a scenario
+    out = bases.join(sweep, "regime").withColumn("usable", F.expr(f"pn - p_sat - {p.n(ECONOMICS.margin)}"))
+    out = out.withColumn("n_zones", F.expr(f"CASE WHEN usable <= 0 THEN 99 ELSE greatest(1, cast(ceil(rho * {p.n(p.GRAVITY)} * relief_m / usable) AS int)) END"))
+    total = F.expr(f"trench * crf + pumping / {p.n(ECONOMICS.power_price)} * power + heat_loss / {p.n(ECONOMICS.heat_price)} * heat + (n_zones - 1) * {p.n(ECONOMICS.station)} * crf")
+    out = out.select(K, "name", "n_zones", F.round(total / F.col("delivered_mwh"), 5).alias("specific"))
     return out.withColumn("place", F.row_number().over(Window.partitionBy(K).orderBy("specific", "name")))
 
 
-_PUBLISHED = ", ".join(f"('{m}', '{t}', {v!r}e0)" for m, ts in PUBLISHED.items() for t, v in ts.items())
-
-
-@query(duck_text(f"SELECT metric, topology, published, round(100e0 * (ours - published) / published, 6) AS error_pct FROM (SELECT *, published * (1 + length(metric) / 100e0) AS ours FROM (VALUES {_PUBLISHED}) t(metric, topology, published))"))
-def published_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(m, t, v) for m, ts in PUBLISHED.items() for t, v in ts.items()], "metric string, topology string, published double")
-    ours = rows.withColumn("ours", F.col("published") * (1 + F.length("metric") / 100))
-    return ours.select("metric", "topology", "published", F.round(100 * (F.col("ours") - F.col("published")) / F.col("published"), 6).alias("error_pct"))
-
-
 @query(duck_text(f"WITH t AS ({PAIRS}) SELECT network_id, round(corr(w, l1), 8) AS r, round(regr_r2(w, l1), 8) AS r2, round(regr_slope(ln(w), ln(l1)), 8) AS exponent, round(median(w), 5) AS median FROM t WHERE w > 0 GROUP BY 1"))
 def study_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = frame(spark, sf_dir, fx.POINTS)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatlattice.functions import physics as p
-from heatlattice.functions.params import FAILURES, PUBLISHED
-from heatlattice.operators import centrality, graph, netsci, search, terrain
+from heatlattice.functions.params import FAILURES, GROUND, PUBLISHED, Ground
+from heatlattice.operators import centrality, designs, graph, netsci, search, terrain
 from heatlattice.plans import fixtures as fx
 from heatlattice.plans.fixtures import duck_text, frame
-from heatlattice.plans.queries import ABOVE, COVER, FLOW, SITES, K, cover_of, design_of, grid
-from heatlattice.plans.registry import query
+from heatlattice.plans.queries import ABOVE, COST_COLUMNS, COVER, FLOW, SITES, K, cost_sql, cover_of, design_of, grid, mst_sql, route_sql
+from heatlattice.plans.registry import query, rounded
 
 
 @query()
@@ -39,21 +41,24 @@ def augmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.augmented(bridges, graph.path_edges(above, chords.select(K, "u", "v")), chords, 3)
 
 
-def routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Terrain routes between the sites of each network, a spanning tree by them, node ids from 0."""
+def hubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sites of each network, node ids from 0, which is the hub."""
     sites = frame(spark, sf_dir, SITES)
     place = F.row_number().over(graph.Window.partitionBy(K).orderBy("node")) - 1
-    sites = graph.stored(sites.withColumn("node", place.cast("long")))
-    routes = graph.stored(terrain.all_routes(sites, grid(spark, sf_dir), fx.GRID, 100.0))
-    return sites, routes
+    return graph.stored(sites.withColumn("node", place.cast("long")))
+
+
+def routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """hubbed(), and the terrain routes between all pairs of sites."""
+    sites = hubbed(spark, sf_dir)
+    return sites, graph.stored(terrain.all_routes(sites, grid(spark, sf_dir), fx.GRID))
 
 
 @query()
 def edge_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local search from the map's spanning tree, priced over terrain."""
     sites, routes = routed(spark, sf_dir)
-    demand = sites.select(K, "node", F.when(F.col("node") > 0, 100.0 + F.col("node") % 7 * 50.0).otherwise(0.0).alias("demand_kw"))
-    return search.swapped(routes, graph.spanning_tree_of_points(sites), demand)
+    return search.swapped(routes, graph.spanning_tree_of_points(sites), loads(sites))
 
 
 @query()
@@ -94,3 +99,121 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def null_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     deg = netsci.degrees(frame(spark, sf_dir, fx.TREE_NODES), frame(spark, sf_dir, fx.TREE_EDGES))
     return centrality.degree_ratio(deg, centrality.null_models_of(deg))
+
+
+@query()
+def published_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published figures against the calibrated model."""
+    best = layout_fit(spark, sf_dir).first()  # one row
+    rows = search.compared_with(PUBLISHED, best.users, best.seed, best.scale)
+    return spark.createDataFrame(rows, "metric string, topology string, published double, ours double, error_pct double")
+
+
+# --- topologies side by side
+
+#: The sites with node ids from 0, the hub, and the loads of the others.
+HUBBED = f"SELECT network_id, row_number() OVER (PARTITION BY network_id ORDER BY node) - 1 AS node, x, y FROM ({SITES}) sites"
+LOAD = "CASE WHEN node > 0 THEN 100e0 + node % 7 * 50e0 ELSE 0e0 END"
+TOPOLOGIES = ["star", "mst_map", "mst_terrain", "steiner", "steiner_rectilinear"]
+
+
+def loads(sites: DataFrame) -> DataFrame:
+    return sites.select(K, "node", F.expr(LOAD).alias("demand_kw"))
+
+
+def trees_sql(variants: list[str]) -> str:
+    """CTEs e and nd of several trees of the sites' networks, network_id * 100 + number, rooted; ``variants`` select u, v."""
+    undirected = " UNION ALL ".join(f"SELECT network_id * 100 + {i} AS network_id, u, v FROM ({t}) t{i}" for i, t in enumerate(variants))
+    return f"""sites AS ({HUBBED}), ve AS ({undirected}), vb AS (SELECT network_id, u AS a, v AS b FROM ve UNION ALL SELECT network_id, v, u FROM ve),
+  rt AS (SELECT DISTINCT network_id, 0::BIGINT AS node, -1::BIGINT AS parent FROM ve UNION ALL SELECT rt.network_id, vb.b, rt.node FROM rt JOIN vb ON vb.network_id = rt.network_id AND vb.a = rt.node AND vb.b <> rt.parent),
+  nd AS (SELECT rt.network_id, rt.node, {LOAD.replace('node', 'rt.node')} AS demand_kw, 0e0 AS z FROM rt)"""
+
+
+EDGES_ROUTED = """e AS (SELECT rt.network_id, rt.parent AS u, rt.node AS v, r.l2d, r.l3d, CASE WHEN r.feasible THEN r.wt END AS w, r.z_low, r.z_high FROM rt JOIN routes r ON r.network_id = rt.network_id // 100 AND r.u = least(rt.parent, rt.node) AND r.v = greatest(rt.parent, rt.node) WHERE rt.parent >= 0),
+  up AS (SELECT network_id, node, node AS ancestor, 0 AS hops FROM nd UNION ALL SELECT up.network_id, up.node, e.u, up.hops + 1 FROM up JOIN e ON e.network_id = up.network_id AND e.v = up.ancestor)"""
+ROUTE_RELIEF = "SELECT network_id, max(z_high) - min(z_low) AS relief_m FROM e GROUP BY 1"
+STAR_SQL = "SELECT network_id, 0::BIGINT AS u, node AS v FROM sites WHERE node > 0"
+MAP_SQL = mst_sql("SELECT a.network_id, a.node AS u, b.node AS v, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS w FROM sites a JOIN sites b ON a.network_id = b.network_id AND a.node < b.node")
+TERRAIN_SQL = mst_sql("SELECT network_id, u, v, CASE WHEN feasible THEN wt ELSE 'infinity'::DOUBLE END AS w FROM routes")
+SPANNING_SQL = f"{trees_sql([STAR_SQL, MAP_SQL, TERRAIN_SQL])}, {EDGES_ROUTED}, {cost_sql(ROUTE_RELIEF)}"
+_COSTS = ", ".join(f"round({'total / greatest(delivered_mwh, 1e-9)' if c == 'specific' else c}, {n}) AS {c}" for c, n in COST_COLUMNS.items())
+
+
+@query(duck_text(f"WITH RECURSIVE {route_sql(HUBBED)}, {SPANNING_SQL} SELECT network_id // 100 AS network_id, ['star', 'mst_map', 'mst_terrain'][network_id % 100 + 1] AS topology, n_zones, round(relief_m, 5) AS relief_m, {_COSTS} FROM cost"))
+def topology_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Star, map tree and terrain tree of every network, priced in one plan over their routes."""
+    sites, routes = routed(spark, sf_dir)
+    cost, _ = side_by_side(designs.spanning(sites, routes), routes, loads(sites))
+    return rounded(cost.select(K, "topology", "n_zones", "relief_m", *COST_COLUMNS), relief_m=5, **COST_COLUMNS)
+
+
+def side_by_side(trees: list[tuple[str, DataFrame]], routes: DataFrame, demand: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cost and reliability of several trees of each network, by topology; routes and demand are those of the networks."""
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    edges = union([designs.keyed(t.select(K, "u", "v"), i) for i, (_, t) in enumerate(trees)])
+    both = [graph.stored(union([designs.keyed(x, i) for i in range(len(trees))])) for x in (routes.select(K, "u", "v", "l2d", "l3d", "w", "z_low", "z_high"), demand)]
+    names = [name for name, _ in trees]
+    cost, lost = designs.assessed(edges, *both)
+    return designs.named(cost, names), designs.named(lost, names)
+
+
+@query()
+def topology_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five topologies with cost, reliability and structure; Steiner points have routes of their own."""
+    sites, routes = routed(spark, sf_dir)
+    demand, dem = loads(sites), grid(spark, sf_dir)
+    parts = [(designs.keyed(sites.select(K, "node", "x", "y"), i), designs.keyed(t.select(K, "u", "v"), i), designs.keyed(demand, i)) for i, (_, t) in enumerate(designs.spanning(sites, routes))]
+    for i, metric in ((3, "euclidean"), (4, "rectilinear")):
+        parts.append(tuple(designs.keyed(x, i) for x in designs.with_points(sites, demand, metric)))
+    nodes, edges, wanted = (graph.stored(functools.reduce(DataFrame.unionByName, x)) for x in zip(*parts, strict=True))
+    own = graph.stored(terrain.routes_of(edges, nodes, dem, fx.GRID))
+    cost, lost = designs.assessed(edges, own, wanted)
+    shape = netsci.structure(wanted, graph.canonical(edges).join(own.select(K, "u", "v", "l3d"), [K, "u", "v"]))
+    out = designs.named(cost.join(lost.drop("rate"), K).join(shape, K), TOPOLOGIES)
+    return out.withColumn("place", F.row_number().over(graph.Window.partitionBy(K).orderBy("specific", "topology")))
+
+
+_SAVING = ", ".join(f"round(CASE WHEN abs(a.{c} - b.{c}) < 1e-9 * a.total THEN 0e0 ELSE 100e0 * (a.{c} - b.{c}) / a.total END, 6) AS {n}" for c, n in (("total", "saving_pct"), ("capital", "d_capital_pct"), ("pumping", "d_pumping_pct"), ("heat_loss", "d_heat_loss_pct"), ("zones", "d_zones_pct")))
+
+
+@query(duck_text(f"WITH RECURSIVE {route_sql(HUBBED)}, {SPANNING_SQL} SELECT a.network_id // 100 AS network_id, {_SAVING} FROM cost a JOIN cost b ON a.network_id + 1 = b.network_id AND a.network_id % 100 = 1"))
+def terrain_saving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What planning over terrain saves against planning on the map, and by which part of the cost."""
+    sites, routes = routed(spark, sf_dir)
+    cost, _ = side_by_side(designs.spanning(sites, routes)[1:], routes, loads(sites))
+    out = designs.saving(cost, "mst_map", "mst_terrain")
+    return rounded(out, **{c: 6 for c in out.columns[1:]})
+
+
+#: Strengths of the slope factor, and the weights of routes by them.
+STRENGTHS = [0.0, 0.5, 1.0, 1.5, 2.0]
+GROUNDS = {f"w_{i}": Ground(a1=GROUND.a1 * f, a2=GROUND.a2 * f) for i, f in enumerate(STRENGTHS)}
+_SLOPED = [mst_sql(f"SELECT network_id, u, v, CASE WHEN feasible THEN {c} ELSE 'infinity'::DOUBLE END AS w FROM routes") for c in GROUNDS]
+_WEIGHT = "CASE rt.network_id % 100 // 2 " + " ".join(f"WHEN {i} THEN r.{c}" for i, c in enumerate(GROUNDS)) + " END"
+
+
+@query(
+    duck_text(
+        f"WITH RECURSIVE {route_sql(HUBBED, GROUNDS)}, {trees_sql([x for t in _SLOPED for x in (MAP_SQL, t)])}, {EDGES_ROUTED.replace('THEN r.wt END', f'THEN {_WEIGHT} END')}, {cost_sql(ROUTE_RELIEF)}, "
+        f"df AS (SELECT network_id - network_id % 2 AS network_id, count(*) // 2 AS n_diff FROM (SELECT network_id - network_id % 2 AS network_id, least(u, v) AS u, greatest(u, v) AS v FROM ve GROUP BY ALL HAVING count(*) = 1) GROUP BY 1) "
+        f"SELECT a.network_id // 100 AS network_id, {STRENGTHS}[a.network_id % 100 // 2 + 1]::DOUBLE AS strength, coalesce(n_diff, 0)::BIGINT AS n_diff, {_SAVING} FROM cost a JOIN cost b ON a.network_id + 1 = b.network_id AND a.network_id % 2 = 0 LEFT JOIN df ON df.network_id = a.network_id"
+    )
+)
+def slope_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The saving of terrain trees as the slope factor grows from none to twice its strength; trees are built anew for each."""
+    sites = hubbed(spark, sf_dir)
+    routes = graph.stored(terrain.all_routes(sites, grid(spark, sf_dir), fx.GRID, grounds=GROUNDS))
+    plain = graph.stored(graph.spanning_tree_of_points(sites))
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    weighed = [routes.select(K, "u", "v", "l2d", "l3d", F.col(c).alias("w"), "z_low", "z_high") for c in GROUNDS]
+    every = graph.stored(union([designs.keyed(r, 2 * i + 1) for i, r in enumerate(weighed)]))
+    sloped = graph.stored(graph.spanning_tree(every.select(K, "u", "v", "w")).select(K, "u", "v"))
+    flat = union([designs.keyed(plain.select(K, "u", "v"), 2 * i) for i in range(len(STRENGTHS))])
+    twin = lambda df, by: df.withColumn(K, F.col(K) + by)
+    demand = union([designs.keyed(loads(sites), i) for i in range(2 * len(STRENGTHS))])
+    cost, _ = designs.assessed(flat.unionByName(sloped), every.unionByName(twin(every, -1)), graph.stored(demand))
+    by = cost.withColumn("topology", F.when(F.col(K) % 2 == 0, "map").otherwise("terrain")).withColumn(K, F.col(K) - F.col(K) % 2)
+    out = designs.saving(by, "map", "terrain").join(graph.compared(flat, twin(sloped, -1)).select(K, F.col("swaps").alias("n_diff")), K)
+    strength = F.element_at(F.array(*map(F.lit, STRENGTHS)), (F.col(K) % designs.VARIANTS / 2 + 1).cast("int"))
+    out = out.withColumn("strength", strength).withColumn(K, F.floor(F.col(K) / designs.VARIANTS))
+    return rounded(out, **{c: 6 for c in out.columns if c.endswith("_pct")})

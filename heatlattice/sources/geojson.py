@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def cells(rows: DataFrame) -> DataFrame:
 def grid(spark: SparkSession, x: tuple[float, float], y: tuple[float, float], step: float = 100.0, margin: float = 500.0) -> DataFrame:
     """i, j, x, y of the elevation grid around an extent; its z comes by a join with a table of elevations."""
     x0, y0 = x[0] - margin, y[0] - margin
-    nx, ny = (int((high - low + 2 * margin) // step) + 2 for low, high in (x, y))
+    nx, ny = (math.ceil((high - low + 2 * margin) / step) + 1 for low, high in (x, y))
     return spark.range(nx * ny).select((F.col("id") % nx).cast("int").alias("i"), F.floor(F.col("id") / nx).cast("int").alias("j")).withColumn("x", x0 + F.col("i") * step).withColumn("y", y0 + F.col("j") * step)
 
 

@@ -36,7 +36,7 @@ def test_null_models_have_each_networks_size(spark, monkeypatch):
     assert trials.count() == 600
 
 
-def test_all_route_metrics_against_brute_force(spark, monkeypatch):
+def test_route_metrics_against_brute_force(spark, monkeypatch):
     sites = [(k, i, 2000.0 + 90 * i + 7 * k, 1500.0 + 40 * i * (i % 3) - 11 * k) for k in (1, 2) for i in range(5)]
     nx, ny = queries.NX, queries.NY
     dem = [(i, j, 100 + 40 * math.sin(i / 5) + 25 * math.cos(j / 4) + (i * 7 + j * 3) % 11) for i in range(nx) for j in range(ny)]
@@ -59,5 +59,5 @@ def test_all_route_metrics_against_brute_force(spark, monkeypatch):
                 hs = [height(ux + t / (n - 1) * (vx - ux), uy + t / (n - 1) * (vy - uy)) for t in range(n)]
                 rises = [b - a for a, b in zip(hs, hs[1:], strict=False)]
                 want[k, u, v] = flat, sum(math.hypot(flat / (n - 1), r) for r in rises), sum(max(r, 0) for r in rises)
-    got = {(r.network_id, r.u, r.v): (r.l2d, r.l3d, r.climb) for r in queries.all_route_metrics(spark, "").collect()}
+    got = {(r.network_id, r.u, r.v): (r.l2d, r.l3d, r.climb) for r in queries.route_metrics(spark, "").collect()}
     assert set(got) == set(want) and all(abs(a - b) < 1e-4 for key in want for a, b in zip(got[key], want[key], strict=True))
