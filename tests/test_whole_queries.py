@@ -2,7 +2,7 @@
 
 import math
 
-from heatlattice.operators import centrality, netsci
+from heatlattice.operators import centrality, graph, netsci, network, search
 from heatlattice.plans import queries, studies
 
 NODES = "network_id long, node long, x double, y double"
@@ -61,3 +61,52 @@ def test_route_metrics_against_brute_force(spark, monkeypatch):
                 want[k, u, v] = flat, sum(math.hypot(flat / (n - 1), r) for r in rises), sum(max(r, 0) for r in rises)
     got = {(r.network_id, r.u, r.v): (r.l2d, r.l3d, r.climb) for r in queries.route_metrics(spark, "").collect()}
     assert set(got) == set(want) and all(abs(a - b) < 1e-4 for key in want for a, b in zip(got[key], want[key], strict=True))
+
+
+def test_published_comparison_gives_the_known_errors(spark):
+    out = {(r.metric, r.topology): r.error_pct for r in studies.published_comparison(spark, "").collect()}
+    # known results: the star's column is held out of the calibration
+    known = {"length_1e4_m": 0.0, "pipe_1e7": 28.4565, "pressure_1e7": 112.9636, "heat_1e7": -34.5558, "total_1e7": 7.5419}
+    assert all(abs(out[m, "Star"] - x) < 1e-3 for m, x in known.items())
+    assert all(abs(out[m, "MST"] - x) < 1e-3 for m, x in (known | {"length_1e4_m": 0.003646, "pipe_1e7": 0, "pressure_1e7": 0, "heat_1e7": 0, "total_1e7": -0.137618}).items())
+
+
+def test_topologies_side_by_side(spark, monkeypatch):
+    sites = [(k, i, 2000.0 + 90 * i * (1 + i % 2) + 7 * k, 1500.0 + 40 * i * (i % 3) - 11 * k) for k in (1, 2) for i in range(7)]
+    dem = spark.createDataFrame([(i, j, 100 + 40 * math.sin(i / 5) + 25 * math.cos(j / 4)) for i in range(queries.NX) for j in range(queries.NY)], "i int, j int, z double")
+    monkeypatch.setattr(studies, "frame", lambda *_: spark.createDataFrame(sites, NODES))
+    monkeypatch.setattr(studies, "grid", lambda *_: dem)
+    out = {(r.network_id, r.topology): r for r in studies.topology_study(spark, "").collect()}
+    assert set(out) == {(k, t) for k in (1, 2) for t in studies.TOPOLOGIES}
+    for k in (1, 2):
+        one = {t: out[k, t] for t in studies.TOPOLOGIES}
+        assert all(abs(r.total - r.capital - r.pumping - r.heat_loss - r.zones) < 1e-6 * r.total and r.delivered_mwh == one["star"].delivered_mwh for r in one.values())
+        assert one["star"].length_l2d > one["mst_map"].length_l2d >= one["steiner"].length_l2d - 1e-6
+        assert one["mst_terrain"].length_lw <= one["mst_map"].length_lw + 1e-6 and one["star"].max_hops == 1
+        assert sorted(r.place for r in one.values()) == [1, 2, 3, 4, 5]
+    sweep = studies.slope_sweep(spark, "").collect()
+    assert len(sweep) == 10 and all(abs(r.saving_pct - r.d_capital_pct - r.d_pumping_pct - r.d_heat_loss_pct - r.d_zones_pct) < 1e-5 for r in sweep)
+
+
+def test_large_point_sets_make_no_pairs(spark, monkeypatch):
+    import random
+
+    random.seed(3)
+    rows = [(k, i, float(random.randint(0, 30)), float(random.randint(0, 30))) for k, n in ((1, 90), (2, 12)) for i in range(n)]  # with ties
+    nodes = spark.createDataFrame(rows, NODES)
+    whole = sorted(map(tuple, graph.spanning_tree_of_points(nodes).collect()))
+    monkeypatch.setattr(graph, "MOST_POINTS", 16)
+    monkeypatch.setattr(graph, "pairs", None)
+    assert sorted(map(tuple, graph.spanning_tree_of_points(nodes).collect())) == whole
+
+
+def test_networks_without_demand_edges_or_connection(spark):
+    edges = spark.createDataFrame([(1, 0, 1, 5.0), (1, 2, 3, 1.0)], "network_id long, u long, v long, length double")
+    demand = spark.createDataFrame([(1, 1, 0.0)], "network_id long, node long, demand_kw double")
+    for e in (edges, edges.limit(0)):
+        out = network.routed_flow(e, demand)
+        assert out.columns == ["network_id", "u", "v", "flow", "infeasible"] and out.collect() == []
+    none = search.augmented(*(spark.createDataFrame([], x) for x in ("network_id long, edge long, eud double, stranded_kw double", "network_id long, u long, v long, edge long", "network_id long, u long, v long, lw double")), 2)
+    assert none.columns == ["network_id", "u", "v", "cost", "eud_after", "worst_after", "step"] and none.collect() == []
+    c = centrality.connectivity(edges).first()
+    assert (c.edge_connectivity, c.bridges, c.bridge_fraction, c.cycle_rank, c.two_edge_connected) == (0, 0, 0.0, 0, False)
