@@ -1,13 +1,15 @@
 """License scans: winnowed fingerprints of templates pick candidates, banded alignment confirms them.
 
-Templates are cut into words (letters and digits, lower case); of the 3-word grams, winnowing keeps the least hash of
-every window of ``WINDOW``, so that any ``WINDOW + 2`` words in a row that a text shares with a template include a kept
-one. The kept grams make an inverted index gram -> (template, place), which is as small as the templates are. Every
-gram of every whole text is looked up in it. Hits of one template whose diagonals lie within its band make a candidate,
-which is aligned with the words around it (match 2, mismatch and gap -1, local) within the band. Reported are the share
-of the template's words that the best alignment matches, if it is ``LEAST`` or more, and the span it covers in the text
-(code points, end exclusive). Of overlapping spans the one with more matched words stays (then the earlier, then the
-first name).
+Templates are cut into words (letters and digits, lower case). Of the ``GRAM``-word grams of a text of ``LONG`` words or
+more, winnowing keeps the least hash of every window of ``WINDOW``, so that any ``GRAM + WINDOW - 1`` words in a row that
+a text shares with it include a kept one. Notices shorter than that keep all their grams of ``SHORT_GRAM`` words (of two,
+if they have five words or fewer): any text that has ``LEAST`` of their words in place shares one. The kept grams make an
+inverted index gram -> (template, place), which is as small as the templates are. Every gram of every whole text is
+looked up in it. Hits of one template whose diagonals lie within its band make a candidate, which is aligned with the
+words around it (match 2, mismatch and gap -1, local) within the band. Reported are the share of the template's words
+that the best alignment matches, if it is ``LEAST`` or more, and the span it covers in the text (code points, end
+exclusive). Of overlapping spans the one with more matched words stays, then the one with the greater share (so that a
+license that holds another one and the one that is held are told apart), then the earlier, then the first name.
 
 Null and empty texts have no licenses. Every input row gives one row; rows repeated give equal rows; an empty table
 gives an empty result. Only the id and text columns are read, so other columns can have any name.
@@ -22,22 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from heatlattice.llm.common import id_and_text, map_rows
+from heatlattice.llm.license_texts import TEMPLATES
 
-GRAM, WINDOW, LEAST = 3, 2, 0.8
-
-# Notices of public licenses.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "Licensed under a Creative Commons Attribution 4.0 International License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
-    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-}
+GRAM, WINDOW, LONG, SHORT_GRAM, LEAST = 5, 4, 64, 3, 0.8
 
 WORDS = re.compile(r"[A-Za-z0-9]+")
 FIELDS = [
@@ -53,23 +42,31 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORDS.findall(text)]
 
 
-def grams(words: list[str]) -> list[tuple[str, ...]]:
-    return list(zip(*(words[i:] for i in range(GRAM)), strict=False))
+def grams(words: list[str], size: int) -> list[tuple[str, ...]]:
+    return list(zip(*(words[i:] for i in range(size)), strict=False))
+
+
+def gram_of(words: list[str]) -> int:
+    """Words of a template's grams."""
+    return GRAM if len(words) >= LONG else SHORT_GRAM if len(words) > 5 else 2
 
 
 def winnowed(words: list[str]) -> dict[int, tuple[str, ...]]:
-    """Places and grams that winnowing keeps: the least hash of every window, the last one on ties."""
-    all_grams = grams(words)
+    """Places and grams that are kept: the least hash of every window, the last one on ties; all of a short template."""
+    all_grams = grams(words, gram_of(words))
+    if len(words) < LONG:
+        return dict(enumerate(all_grams))
     rank = [(zlib.crc32(" ".join(g).encode()), -i) for i, g in enumerate(all_grams)]
-    kept = {min(range(at, min(at + WINDOW, len(rank))), key=rank.__getitem__) for at in range(max(1, len(rank) - WINDOW + 1)) if rank}
+    kept = {min(range(at, at + WINDOW), key=rank.__getitem__) for at in range(len(rank) - WINDOW + 1)}
     return {i: all_grams[i] for i in sorted(kept)}
 
 
-def index_of(templates: dict[str, list[str]]) -> dict[tuple[str, ...], list[tuple[str, int]]]:
+def index_of(templates: dict[str, list[str]]) -> dict[int, dict[tuple[str, ...], list[tuple[str, int]]]]:
+    """By gram size: the templates and places of every kept gram."""
     out: dict = {}
     for name, words in templates.items():
         for place, gram in winnowed(words).items():
-            out.setdefault(gram, []).append((name, place))
+            out.setdefault(len(gram), {}).setdefault(gram, []).append((name, place))
     return out
 
 
@@ -110,9 +107,11 @@ def scan_text(text: str | None, templates: dict[str, list[str]], index: dict, le
     """(license, start, end, matched words, coverage) of a text, by start."""
     words = words_of(text or "")
     hits: dict[str, set[int]] = {}
-    for at, gram in enumerate(zip(*(words[i:] for i in range(GRAM)), strict=False)):
-        for name, place in index.get(gram, ()):
-            hits.setdefault(name, set()).add(at - place)
+    for size, of_size in index.items():
+        for at, gram in enumerate(zip(*(words[i:] for i in range(size)), strict=False)):
+            if gram in of_size:
+                for name, place in of_size[gram]:
+                    hits.setdefault(name, set()).add(at - place)
     if not hits:
         return []
     ends = [m.span() for m in WORDS.finditer(text)]
@@ -132,7 +131,7 @@ def scan_text(text: str | None, templates: dict[str, list[str]], index: dict, le
                 if n >= least * len(template):
                     found.append((name, ends[first][0], ends[last][1], n, n / len(template)))
     kept: list[Match] = []
-    for m in sorted(set(found), key=lambda m: (-m[3], m[1], m[0], m[2])):
+    for m in sorted(set(found), key=lambda m: (-m[3], -m[4], m[1], m[0], m[2])):
         if all(m[2] <= k[1] or k[2] <= m[1] for k in kept):
             kept.append(m)
     return sorted(kept, key=lambda m: (m[1], m[0]))
