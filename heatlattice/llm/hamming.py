@@ -1,6 +1,6 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code has a bit for each of its first 64 elements: whether it is above 0. Codes are cut into ``SEGMENTS``
+A vector's code has a bit for each of its elements, at most 64: whether it is above 0. A longer vector is an error. Codes are cut into ``SEGMENTS``
 segments, and an index lists the distinct codes by each segment's value. Round r probes, for every query that is not
 settled, all segment values at exactly r flipped bits. A code within m * (r + 1) - 1 bits of the query has some segment
 within r, so after round r all codes up to that distance have been verified, and a query whose kth verified distance
@@ -27,7 +27,7 @@ WIDTH = BITS // SEGMENTS
 
 
 def codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    bits = f"aggregate(sequence(0, {BITS - 1}), 0L, (a, i) -> a | if(get(v, i) > 0, shiftleft(1L, i), 0L))"
+    bits = f"if(size(v) > {BITS}, cast(raise_error('a vector has more than {BITS} elements') as bigint), aggregate(sequence(0, {BITS - 1}), 0L, (a, i) -> a | if(get(v, i) > 0, shiftleft(1L, i), 0L)))"
     own = vectors.select(vectors[id_col].alias("vec_id"), vectors[vector_col].alias("v")).filter("vec_id is not null and v is not null")
     return own.select("vec_id", F.expr(bits).alias("code")).distinct()
 
