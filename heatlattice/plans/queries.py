@@ -410,7 +410,15 @@ def routed_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.routed_flow(frame(spark, sf_dir, fx.LOOPED), frame(spark, sf_dir, fx.TREE_NODES))
 
 
-@query()
+@query(duck_text(f"""WITH RECURSIVE lp AS ({fx.LOOPED}), nd AS ({fx.TREE_NODES}), ar AS (SELECT network_id, u AS a, v AS b, length, least(u, v) AS lo, greatest(u, v) AS hi FROM lp UNION ALL SELECT network_id, v, u, length, least(u, v), greatest(u, v) FROM lp),
+  sc AS (SELECT network_id, least(u, v) AS fu, greatest(u, v) AS fv FROM lp UNION SELECT DISTINCT network_id, -1, -1 FROM lp),
+  go AS (SELECT network_id, fu, fv, 0::BIGINT AS node, 0e0 AS cost, [0::BIGINT] AS path FROM sc UNION ALL SELECT go.network_id, fu, fv, ar.b, go.cost + ar.length, list_append(path, ar.b) FROM go JOIN ar ON ar.network_id = go.network_id AND ar.a = go.node AND NOT (lo = fu AND hi = fv) WHERE NOT list_contains(path, ar.b) AND len(path) < 5),
+  bs AS (SELECT network_id, fu, fv, node, arg_min(path, (cost, len(path), list_reverse(path))) AS path FROM go GROUP BY 1, 2, 3, 4), dm AS (SELECT * FROM nd WHERE demand_kw > 0 AND node <> 0),
+  bad AS (SELECT DISTINCT sc.* FROM sc JOIN dm USING (network_id) ANTI JOIN bs ON bs.network_id = sc.network_id AND bs.fu = sc.fu AND bs.fv = sc.fv AND bs.node = dm.node),
+  hp AS (SELECT network_id, fu, fv, demand_kw, path, unnest(range(1, len(path))) AS i FROM bs JOIN dm USING (network_id, node) ANTI JOIN bad USING (network_id, fu, fv)),
+  fl AS (SELECT network_id, fu, fv, least(path[i], path[i + 1]) AS u, greatest(path[i], path[i + 1]) AS v, sum(demand_kw) AS flow FROM hp GROUP BY ALL),
+  mx AS (SELECT network_id, u, v, max(flow) AS flow FROM fl GROUP BY 1, 2, 3)
+  SELECT l.network_id, least(l.u, l.v) AS u, greatest(l.u, l.v) AS v, coalesce(flow, 0e0) AS flow FROM lp l LEFT JOIN mx ON mx.network_id = l.network_id AND mx.u = least(l.u, l.v) AND mx.v = greatest(l.u, l.v)"""))
 def design_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.design_flow(frame(spark, sf_dir, fx.LOOPED), frame(spark, sf_dir, fx.TREE_NODES))
 
@@ -487,9 +495,15 @@ TRIALS = 60
 RANKS = f"rk AS (SELECT network_id, trial, edge, row_number() OVER (PARTITION BY network_id, trial ORDER BY md5('0:' || trial || ':' || edge), edge) AS rank FROM (SELECT network_id, v AS edge, unnest(range({TRIALS})) AS trial FROM e))"
 
 
-@query(duck_text(f"""WITH RECURSIVE {ABOVE}, {RANKS}, ct AS (SELECT up.network_id, trial, up.node, min(rank) AS cut FROM up JOIN rk ON rk.network_id = up.network_id AND rk.edge = up.ancestor GROUP BY 1, 2, 3),
+PERCOLATION = """ct AS (SELECT up.network_id, trial, up.node, min(rank) AS cut FROM up JOIN rk ON rk.network_id = up.network_id AND rk.edge = up.ancestor GROUP BY 1, 2, 3),
   ls AS (SELECT network_id, cut, sum(demand_kw) AS lost FROM ct JOIN nd USING (network_id, node) WHERE demand_kw > 0 GROUP BY 1, 2), sz AS (SELECT network_id, max(rank) AS m FROM rk GROUP BY 1), tt AS (SELECT network_id, sum(demand_kw) AS total FROM nd WHERE demand_kw > 0 GROUP BY 1), ks AS (SELECT *, unnest(range(m)) AS k FROM sz JOIN tt USING (network_id))
-  SELECT ks.network_id, k::INT AS k, round(k / m::DOUBLE, 8) AS removed, round(1 - coalesce((SELECT sum(lost) FROM ls WHERE ls.network_id = ks.network_id AND cut <= k), 0) / {TRIALS} / total, 8) AS served FROM ks"""))
+  SELECT ks.network_id, k::INT AS k, round(k / m::DOUBLE, 8) AS removed, round(1 - coalesce((SELECT sum(lost) FROM ls WHERE ls.network_id = ks.network_id AND cut <= k), 0) / (SELECT count(DISTINCT trial) FROM rk) / total, 8) AS served FROM ks"""
+#: Edges in the order of the pairs that they join, as the only trial.
+BY_PAIRS = """bl AS (SELECT network_id, ancestor AS edge, count(*) AS c FROM up GROUP BY 1, 2), sn AS (SELECT network_id, count(*) AS n FROM nd GROUP BY 1),
+  rk AS (SELECT network_id, 0 AS trial, edge, row_number() OVER (PARTITION BY network_id ORDER BY c * (n - c) DESC, edge) AS rank FROM bl JOIN sn USING (network_id) WHERE edge <> 0)"""
+
+
+@query(duck_text(f"WITH RECURSIVE {ABOVE}, {RANKS}, {PERCOLATION}"))
 def percolation_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, demand, tree, above = supply(spark, sf_dir)
     ranks = netsci.random_orders(edges.select(K, F.col("v").alias("edge")), TRIALS)
@@ -502,12 +516,12 @@ def edge_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return netsci.tree_betweenness(tree, above)
 
 
-@query()
+@query(duck_text(f"WITH RECURSIVE {ABOVE}, {BY_PAIRS}, {PERCOLATION}"))
 def percolation_targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, demand, tree, above = supply(spark, sf_dir)
     order = F.row_number().over(Window.partitionBy(K).orderBy(F.desc("pairs"), "edge"))
     ranks = netsci.tree_betweenness(tree, above).withColumn("rank", order).withColumn("trial", F.lit(0))
-    return netsci.percolation(above, tree, demand, ranks.select(K, "trial", "edge", "rank"))
+    return rounded(netsci.percolation(above, tree, demand, ranks.select(K, "trial", "edge", "rank")), removed=8, served=8)
 
 
 @query()

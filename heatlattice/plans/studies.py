@@ -8,20 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatlattice.functions import physics as p
-from heatlattice.functions.params import FAILURES, GROUND, PUBLISHED, Ground
+from heatlattice.functions.params import ECONOMICS, FAILURES, GROUND, PUBLISHED, Ground
 from heatlattice.operators import centrality, designs, graph, netsci, search, terrain
 from heatlattice.plans import fixtures as fx
 from heatlattice.plans.fixtures import duck_text, frame
-from heatlattice.plans.queries import ABOVE, COST_COLUMNS, COVER, FLOW, SITES, K, cost_sql, cover_of, design_of, grid, mst_sql, route_sql
+from heatlattice.plans.queries import ABOVE, COST_COLUMNS, COVER, FLOW, SITES, K, cost_sql, cover_of, design_of, design_sql, grid, mst_sql, picked_sql, route_sql
 from heatlattice.plans.registry import query, rounded
 
 
-@query()
+def greedy_sql(score: str, steps: int = 3) -> str:
+    """Step by step: the best candidate of what is left, and what it leaves."""
+    ctes, left = [], "cv"
+    for i in range(1, steps + 1):
+        ctes += [
+            f"g{i} AS (SELECT l.network_id, l.u, l.v, sum(weight) AS gain, max(cd.l3d) AS cost FROM {left} l JOIN cd ON cd.network_id = l.network_id AND cd.u = l.u AND cd.v = l.v GROUP BY 1, 2, 3)",
+            f"t{i} AS (SELECT *, {i} AS step FROM g{i} WHERE gain > 0 AND cost > 0 QUALIFY row_number() OVER (PARTITION BY network_id ORDER BY {score} DESC, cost, u, v) = 1)",
+            f"l{i} AS (SELECT * FROM {left} l WHERE NOT EXISTS (SELECT 1 FROM t{i} t JOIN cv c ON c.network_id = t.network_id AND c.u = t.u AND c.v = t.v WHERE c.network_id = l.network_id AND c.edge = l.edge))",
+        ]
+        left = f"l{i}"
+    every = " UNION ALL ".join(f"SELECT network_id, step, u, v, gain, cost FROM t{i}" for i in range(1, steps + 1))
+    return duck_text(f"WITH RECURSIVE {ABOVE}, {FLOW}, {COVER}, {', '.join(ctes)} {every}")
+
+
+@query(greedy_sql("gain / cost"))
 def cover_greedy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.greedy_cover(*cover_of(spark, sf_dir), 3)
 
 
-@query()
+@query(greedy_sql("gain"))
 def cover_greedy_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.greedy_cover(*cover_of(spark, sf_dir), 3, "gain")
 
@@ -32,13 +46,30 @@ def cover_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_cover(*cover_of(spark, sf_dir), 2).select(K, "covered")
 
 
-@query()
+def augmentation_sql(steps: int = 3) -> str:
+    """Step by step: the best chord for its money, sized for the worst of the bridges that are left, and what it leaves."""
+    ctes, left = [f"b0 AS (SELECT network_id, v AS edge, flow AS stranded_kw, {p.failure_rate('l3d', 'dn', 'u_mps', 'd_in')} * {p.n(FAILURES.repair_h)} * flow / 1000e0 AS eud FROM pk)"], "b0"
+    for i in range(1, steps + 1):
+        ctes += [
+            f"w{i} AS (SELECT *, {p.mass_flow('greatest(backup, 1e0)')} AS mdot FROM (SELECT network_id, max(stranded_kw) AS backup FROM {left} GROUP BY 1))",
+            f"p{i} AS (SELECT * FROM {picked_sql(f'w{i}')})",
+            f"g{i} AS (SELECT pe.network_id, pe.u, pe.v, sum(eud) AS gain, max(({p.n(ECONOMICS.C1)} + {p.n(ECONOMICS.C2)} * d_casing) * l3d * {p.n(p.CRF)}) AS cost FROM pe JOIN {left} USING (network_id, edge) JOIN cd ON cd.network_id = pe.network_id AND cd.u = pe.u AND cd.v = pe.v JOIN p{i} ON p{i}.network_id = pe.network_id GROUP BY 1, 2, 3)",
+            f"t{i} AS (SELECT * FROM g{i} WHERE cost > 0 QUALIFY row_number() OVER (PARTITION BY network_id ORDER BY gain / cost DESC, u, v) = 1)",
+            f"b{i} AS (SELECT * FROM {left} l WHERE NOT EXISTS (SELECT 1 FROM t{i} t JOIN pe ON pe.network_id = t.network_id AND pe.u = t.u AND pe.v = t.v WHERE pe.network_id = l.network_id AND pe.edge = l.edge))",
+        ]
+        left = f"b{i}"
+    of = lambda i, f: f"coalesce((SELECT {f} FROM b{i} WHERE b{i}.network_id = t{i}.network_id), 0e0)"
+    every = " UNION ALL ".join(f"SELECT network_id, {i} AS step, u, v, round(cost, 4) AS cost, round({of(i, 'sum(eud)')}, 6) AS eud_after, {of(i, 'max(stranded_kw)')} AS worst_after FROM t{i}" for i in range(1, steps + 1))
+    return duck_text(f"WITH RECURSIVE {ABOVE}, {design_sql()}, {COVER}, {', '.join(ctes)} {every}")
+
+
+@query(augmentation_sql())
 def augmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     design, demand, tree, above = design_of(spark, sf_dir)
     rate = p.failure_rate("l3d", "dn", "u_mps", "d_in")
     bridges = design.select(K, F.col("v").alias("edge"), F.col("flow").alias("stranded_kw"), F.expr(f"{rate} * {p.n(FAILURES.repair_h)} * flow / 1000e0").alias("eud"))
     chords = frame(spark, sf_dir, fx.CHORDS).withColumn("lw", F.col("l3d"))
-    return search.augmented(bridges, graph.path_edges(above, chords.select(K, "u", "v")), chords, 3)
+    return rounded(search.augmented(bridges, graph.path_edges(above, chords.select(K, "u", "v")), chords, 3), cost=4, eud_after=6)
 
 
 def hubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +92,14 @@ def edge_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.swapped(routes, graph.spanning_tree_of_points(sites), loads(sites))
 
 
-@query()
+HUBBED = f"SELECT network_id, row_number() OVER (PARTITION BY network_id ORDER BY node) - 1 AS node, x, y FROM ({SITES}) sites"
+MAP_SQL = mst_sql("SELECT a.network_id, a.node AS u, b.node AS v, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS w FROM sites a JOIN sites b ON a.network_id = b.network_id AND a.node < b.node")
+TERRAIN_SQL = mst_sql("SELECT network_id, u, v, CASE WHEN feasible THEN wt ELSE 'infinity'::DOUBLE END AS w FROM routes")
+
+
+@query(duck_text(f"""WITH RECURSIVE {route_sql(HUBBED)}, sites AS ({HUBBED}), m AS (SELECT network_id, u, v FROM ({MAP_SQL}) x), t AS (SELECT network_id, u, v FROM ({TERRAIN_SQL}) y),
+  j AS (SELECT coalesce(m.network_id, t.network_id) AS network_id, m.u AS mu, t.u AS tu FROM m FULL JOIN t ON m.network_id = t.network_id AND m.u = t.u AND m.v = t.v)
+  SELECT network_id, count(*) FILTER (tu IS NULL) AS only_one, count(*) FILTER (mu IS NULL) AS only_other, bool_and(mu IS NOT NULL AND tu IS NOT NULL) AS same, (count(*) FILTER (tu IS NULL OR mu IS NULL)) // 2 AS swaps FROM j GROUP BY 1"""))
 def terrain_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spanning trees by distance and by terrain cost, and how they differ."""
     sites, routes = routed(spark, sf_dir)
@@ -111,8 +149,7 @@ def published_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- topologies side by side
 
-#: The sites with node ids from 0, the hub, and the loads of the others.
-HUBBED = f"SELECT network_id, row_number() OVER (PARTITION BY network_id ORDER BY node) - 1 AS node, x, y FROM ({SITES}) sites"
+#: The loads of all sites but the hub.
 LOAD = "CASE WHEN node > 0 THEN 100e0 + node % 7 * 50e0 ELSE 0e0 END"
 TOPOLOGIES = ["star", "mst_map", "mst_terrain", "steiner", "steiner_rectilinear"]
 
@@ -133,8 +170,6 @@ EDGES_ROUTED = """e AS (SELECT rt.network_id, rt.parent AS u, rt.node AS v, r.l2
   up AS (SELECT network_id, node, node AS ancestor, 0 AS hops FROM nd UNION ALL SELECT up.network_id, up.node, e.u, up.hops + 1 FROM up JOIN e ON e.network_id = up.network_id AND e.v = up.ancestor)"""
 ROUTE_RELIEF = "SELECT network_id, max(z_high) - min(z_low) AS relief_m FROM e GROUP BY 1"
 STAR_SQL = "SELECT network_id, 0::BIGINT AS u, node AS v FROM sites WHERE node > 0"
-MAP_SQL = mst_sql("SELECT a.network_id, a.node AS u, b.node AS v, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS w FROM sites a JOIN sites b ON a.network_id = b.network_id AND a.node < b.node")
-TERRAIN_SQL = mst_sql("SELECT network_id, u, v, CASE WHEN feasible THEN wt ELSE 'infinity'::DOUBLE END AS w FROM routes")
 SPANNING_SQL = f"{trees_sql([STAR_SQL, MAP_SQL, TERRAIN_SQL])}, {EDGES_ROUTED}, {cost_sql(ROUTE_RELIEF)}"
 _COSTS = ", ".join(f"round({'total / greatest(delivered_mwh, 1e-9)' if c == 'specific' else c}, {n}) AS {c}" for c, n in COST_COLUMNS.items())
 
