@@ -8,7 +8,8 @@ class and by that for the next, and any two sets that can link share a cut.
 
 1. Each text gives its set's size, a digest of the set, and a signature of each fragment. Equal sets are one from here.
 2. Sets with an equal signature stand in one family (components of the table signature - least set). Only these can
-   link. No pairs are made here.
+   link. No pairs are made here, and a frequent signature is brought down to one set for each chunk of rows before
+   it is shuffled.
 3. The order of the n-grams of a family is cut into fragments again, each of bounded size, and a fragment is what a task
    counts: the overlaps, within it, of all pairs of two blocks of sets, as a matrix product. A block holds a bounded
    number of sets; a family of more than one block has blocks by size class, and only those of equal and neighbouring
@@ -29,7 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -254,6 +255,40 @@ def summed(parts: list[dict], num: int, den: int) -> list[dict]:
     return [{"fp": x[1], "root": sets[k][1], "links": int(m)} for x, k, m in zip(sets, roots(link), link @ copies, strict=True)]
 
 
+#: Rows of signatures that are looked at together.
+CHUNK = 1 << 20
+SIGNED = fields("sig long, fp long, least long")
+
+
+def first_of_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (sig, fp) rows, chunk by chunk: (sig, least fp) of every signature, and (null, fp, least fp) of its other sets."""
+    schema = pa.schema([pa.field(f.name, pa.int64()) for f in SIGNED])
+
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sig, fp = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (0, 1))
+        order = np.lexsort((fp, sig))
+        sig, fp = sig[order], fp[order]
+        new = np.r_[True, sig[1:] != sig[:-1]]
+        least = fp[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
+        others = least != fp
+        pairs = np.unique(np.c_[fp[others], least[others]], axis=0)
+        first = new.nonzero()[0]
+        mask = np.arange(len(first) + len(pairs)) >= len(first)
+        sigs = pa.array(np.r_[sig[first], np.zeros(len(pairs), dtype=np.int64)], pa.int64(), mask=mask)
+        leasts = pa.array(np.r_[fp[first], pairs[:, 1]], pa.int64())
+        return pa.RecordBatch.from_arrays([sigs, pa.array(np.r_[fp[first], pairs[:, 0]], pa.int64()), leasts], schema=schema)
+
+    now, size = [], 0
+    for batch in batches:
+        now.append(batch)
+        size += batch.num_rows
+        if size >= CHUNK:
+            yield done(now)
+            now, size = [], 0
+    if size:
+        yield done(now)
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row."""
     light, by_set = classed(docs, id_col, text_col, words, num, den)
@@ -296,11 +331,11 @@ def classed(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, d
     light = stored(map_rows(keyed, "row", made, sets).select("row.doc_id", "row.content", "n", "fp", "c", "sigs"))
     filled = light.filter("n > 0")
 
-    # 2. families of sets with equal signatures; a frequent one is summed up before it is shuffled
-    distinct = filled.groupBy("fp").agg(F.first("sigs").alias("sigs"))
-    rows = distinct.select("fp", F.explode("sigs").alias("sig"))
-    least = stored(rows.groupBy("sig").agg(F.min("fp").alias("b"), F.count("*").alias("sets")).filter("sets > 1").select("sig", "b"))
-    family = components(rows.join(checked_broadcast(least, least.count()), "sig").filter("fp <> b").select(F.col("fp").alias("a"), "b"))
+    # 2. families of sets with equal signatures; of a frequent one, each chunk of rows sends on one set
+    local = filled.select(F.explode("sigs").alias("sig"), "fp").mapInArrow(first_of_chunk, SIGNED)
+    least = F.first("fp").over(Window.partitionBy("sig").orderBy("fp"))
+    across = local.filter("sig is not null").withColumn("b", least).filter("fp <> b").select(F.col("fp").alias("a"), "b")
+    family = components(local.filter("sig is null").select(F.col("fp").alias("a"), F.col("least").alias("b")).unionByName(across))
     family = stored(family.select(F.col("node").alias("fp"), F.col("root").alias("family")))
 
     # 3. overlaps by fragment, of all pairs of blocks of a family that can link

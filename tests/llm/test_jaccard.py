@@ -104,6 +104,29 @@ def test_overlaps_by_fragments(monkeypatch):
     assert jaccard.overlaps(sets[:5], sets[5:]).tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
 
 
+def test_chunks_keep_families_together(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "CHUNK", 50)
+    rng = np.random.default_rng(2)
+    rows = [(int(s), int(f)) for s, f in rng.integers(0, 40, (400, 2))] + [(99, 5)] * 30
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + 20], strict=True)], names=["sig", "fp"]) for i in range(0, len(rows), 20)]
+    out = [tuple(r.values()) for b in jaccard.first_of_chunk(iter(batches)) for r in b.to_pylist()]
+    sent = [(s, f) for s, f, _ in out if s is not None]
+    assert len(sent) < len(rows) / 2 and all(f == m for s, f, m in out if s is not None)
+    near = {frozenset((f, m)) for s, f, m in out if s is None}
+
+    def groups(links):
+        root = {f: f for _, f in rows}
+        for _ in root:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    by_sig = lambda pairs: [(f, min(g for s, g in pairs if s == sig)) for sig, f in pairs]
+    assert groups([*map(tuple, (sorted(x) for x in near if len(x) == 2)), *by_sig(sent)]) == groups(by_sig(rows))
+
+
 def test_components(spark):
     random.seed(4)
     edges = [(i, i + 1) for i in range(60)] + [(100 + random.randrange(30), 100 + random.randrange(30)) for _ in range(25)] + [(500, 500), (301, 300), (301, 302)]
