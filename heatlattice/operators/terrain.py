@@ -38,20 +38,27 @@ def profile(routes: DataFrame, spacing: float = SPACING) -> DataFrame:
     return out.select(KEY, "u", "v", "k", "length", (F.col("t") * F.col("length")).alias("chainage"), *((F.col(f"u{c}") + F.col("t") * (F.col(f"v{c}") - F.col(f"u{c}"))).alias(c) for c in "xy"))
 
 
-def metrics(samples: DataFrame, grounds: dict[str, Ground] | None = None) -> DataFrame:
+def metrics(samples: DataFrame, grounds: dict[str, Ground] | None = None, scales: dict[int, float] | None = None) -> DataFrame:
     """l2d, l3d, w, dz, climb, max_slope, mean_slope, feasible, z_low, z_high of every route from its samples with z.
 
     ``grounds`` names further weights, of other slope factors; like w they are infinite where a route is infeasible.
+    ``scales`` gives each route a row for each number, with its heights scaled by the factor (about 0; ``scale`` is the number).
     Samples of a route are gathered as one sorted array (its length bounds it), so that no window is needed.
     """
     at = F.array_sort(F.collect_list(F.struct("k", "chainage", "z"))).alias("s")
     routes = samples.groupBy(KEY, "u", "v").agg(at, F.min("z").alias("z_low"), F.max("z").alias("z_high"))
+    more = []
+    if scales:
+        factors = F.array(*(F.struct(F.lit(i).alias("scale"), F.lit(f).alias("f")) for i, f in scales.items()))
+        routes = routes.withColumn("x", F.explode(factors)).select(KEY, "u", "v", "s", "z_low", "z_high", "x.*")
+        routes = routes.withColumn("s", F.expr("transform(s, p -> named_struct('k', p.k, 'chainage', p.chainage, 'z', p.z * f))"))
+        routes, more = routes.withColumns({"z_low": F.col("z_low") * F.col("f"), "z_high": F.col("z_high") * F.col("f")}), ["scale"]
     steps = "transform(sequence(1, size(s) - 1), i -> named_struct('h', s[i].chainage - s[i - 1].chainage, 'v', s[i].z - s[i - 1].z))"
     graded = f"transform({steps}, x -> named_struct('l', sqrt(x.h * x.h + x.v * x.v), 'g', if(x.h > 0, abs(x.v) / x.h, 0e0), 'v', x.v))"
     total = lambda body: F.expr(f"aggregate(g, 0e0, (a, x) -> a + {body})")
     out = routes.withColumn("g", F.expr(graded))
     out = out.select(
-        KEY, "u", "v", "z_low", "z_high",
+        KEY, "u", "v", *more, "z_low", "z_high",
         F.expr("s[size(s) - 1].chainage").alias("l2d"),
         total("x.l").alias("l3d"),
         total(f"x.l * {p.slope_factor('x.g')}").alias("weight"),
@@ -66,10 +73,10 @@ def metrics(samples: DataFrame, grounds: dict[str, Ground] | None = None) -> Dat
     return out.withColumns({"w": finite("weight")} | {c: finite(c) for c in grounds or {}}).drop("slope_sum", "weight")
 
 
-def all_routes(nodes: DataFrame, dem: DataFrame, grid: tuple[float, float, float, int, int], spacing: float = SPACING, grounds: dict[str, Ground] | None = None) -> DataFrame:
+def all_routes(nodes: DataFrame, dem: DataFrame, grid: tuple[float, float, float, int, int], spacing: float = SPACING, grounds: dict[str, Ground] | None = None, scales: dict[int, float] | None = None) -> DataFrame:
     """metrics() of the straight route between every two nodes of a network."""
     a, b = ends(nodes)
-    return metrics(sampled(profile(a.join(b, KEY).filter("u < v"), spacing), dem, *grid), grounds)
+    return metrics(sampled(profile(a.join(b, KEY).filter("u < v"), spacing), dem, *grid), grounds, scales)
 
 
 def routes_of(edges: DataFrame, nodes: DataFrame, dem: DataFrame, grid: tuple[float, float, float, int, int], spacing: float = SPACING) -> DataFrame:

@@ -252,3 +252,70 @@ def slope_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     strength = F.element_at(F.array(*map(F.lit, STRENGTHS)), (F.col(K) % designs.VARIANTS / 2 + 1).cast("int"))
     out = out.withColumn("strength", strength).withColumn(K, F.floor(F.col(K) / designs.VARIANTS))
     return rounded(out, **{c: 6 for c in out.columns if c.endswith("_pct")})
+
+
+# --- robustness: sizes and draws of nodes, relief
+
+SIZES, DRAWS = [8, 16, 24], 4
+#: A network of each size and draw: the sites with the least digests, node ids from 0; its key is network_id * 100 + 10 * size + draw.
+DRAWN = f"""SELECT network_id * 100 + 10 * size + draw AS network_id, place - 1 AS node, x, y FROM (
+  SELECT network_id, size, n, draw, x, y, row_number() OVER (PARTITION BY network_id, size, draw ORDER BY md5(concat(CAST(draw AS VARCHAR(9)), ':', CAST(node AS VARCHAR(20)))), node) AS place
+  FROM ({SITES}) sites CROSS JOIN (VALUES {', '.join(f'(CAST({i} AS BIGINT), {n})' for i, n in enumerate(SIZES))}) sizes(size, n) CROSS JOIN (VALUES {', '.join(f'(CAST({i} AS BIGINT))' for i in range(DRAWS))}) draws(draw)) drawn WHERE place <= n"""
+#: Savings have 6 decimals; the 1e-9 sends the ties of their means the same way in both engines.
+_MEANS = "round(avg(saving_pct) + 1e-9, 5) AS mean_pct, min(saving_pct) AS min_pct, max(saving_pct) AS max_pct, round(median(saving_pct) + 1e-9, 5) AS median_pct"
+
+
+def means(rows: DataFrame, *by: str) -> DataFrame:
+    middle = lambda f, name: F.round(f("saving_pct") + 1e-9, 5).alias(name)
+    return rows.groupBy(*by).agg(middle(F.avg, "mean_pct"), F.min("saving_pct").alias("min_pct"), F.max("saving_pct").alias("max_pct"), middle(F.median, "median_pct"))
+
+
+@query(
+    duck_text(
+        f"WITH RECURSIVE {route_sql(DRAWN)}, {SPANNING_SQL.replace(HUBBED, DRAWN)}, sv AS (SELECT a.network_id // 100 AS id, {_SAVING} FROM cost a JOIN cost b ON a.network_id + 1 = b.network_id AND a.network_id % 100 = 1) "
+        f"SELECT id // 100 AS network_id, {SIZES}[id % 100 // 10 + 1]::INT AS size, count(*) AS draws, count(*) FILTER (saving_pct = 0) AS same_cost, {_MEANS} FROM sv GROUP BY ALL"
+    )
+)
+def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The saving of terrain trees over several draws of nodes and sizes: how far one draw can mislead."""
+    sites = graph.stored(frame(spark, sf_dir, DRAWN))
+    routes = graph.stored(terrain.all_routes(sites, grid(spark, sf_dir), fx.GRID))
+    cost, _ = side_by_side(designs.spanning(sites, routes)[1:], routes, loads(sites))
+    out = designs.saving(cost, "mst_map", "mst_terrain").withColumn("saving_pct", F.round("saving_pct", 6))
+    size = F.element_at(F.array(*map(F.lit, SIZES)), (F.floor(F.col(K) % 100 / 10) + 1).cast("int"))
+    out = out.select(F.floor(F.col(K) / 100).alias(K), size.alias("size"), "saving_pct")
+    counts = out.groupBy(K, "size").agg(F.count("*").alias("draws"), F.count(F.when(F.col("saving_pct") == 0, 1)).alias("same_cost"))
+    return counts.join(means(out, K, "size"), [K, "size"])
+
+
+#: Factors of the relief.
+FACTORS = {i: f for i, f in enumerate([0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0])}
+_SCALED = ", ".join(f"({i}, {f!r}e0)" for i, f in FACTORS.items())
+#: The routes of each factor, under network_id * 100 + the factor's number; only differences of height matter, so they are scaled about 0.
+_RELIEF_ROUTES = route_sql(HUBBED).replace("smp AS (SELECT * FROM", f"smp AS (SELECT network_id * 100 + si AS network_id, u, v, k, chainage, z * f AS z FROM (VALUES {_SCALED}) sc(si, f),")
+_RELIEF_SITES = f"SELECT h.network_id * 100 + si AS network_id, node, x, y FROM ({HUBBED}) h, (VALUES {_SCALED}) sc(si, f)"
+
+
+@query(
+    duck_text(
+        f"WITH RECURSIVE {_RELIEF_ROUTES}, {SPANNING_SQL.replace(HUBBED, _RELIEF_SITES)} "
+        f"SELECT network_id // 100 AS network_id, factor, n_zones, saving_pct FROM (SELECT a.network_id // 100 AS network_id, [{', '.join(map(repr, FACTORS.values()))}][a.network_id // 100 % 100 + 1]::DOUBLE AS factor, b.n_zones::INT AS n_zones, {_SAVING} FROM cost a JOIN cost b ON a.network_id + 1 = b.network_id AND a.network_id % 100 = 1)"
+    )
+)
+def relief_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The saving of terrain trees, and their pressure zones, as the relief grows."""
+    sites = hubbed(spark, sf_dir)
+    routes = terrain.all_routes(sites, grid(spark, sf_dir), fx.GRID, scales=FACTORS)
+    routes = graph.stored(routes.withColumn(K, F.col(K) * 100 + F.col("scale")).drop("scale"))
+    every = functools.reduce(DataFrame.unionByName, [sites.withColumn(K, F.col(K) * 100 + i) for i in FACTORS])
+    cost, _ = side_by_side(designs.spanning(graph.stored(every), routes)[1:], routes, loads(every))
+    out = designs.saving(cost, "mst_map", "mst_terrain").join(cost.filter("topology = 'mst_terrain'").select(K, "n_zones"), K)
+    factor = F.element_at(F.array(*map(F.lit, FACTORS.values())), (F.col(K) % 100 + 1).cast("int"))
+    return out.select(F.floor(F.col(K) / 100).alias(K), factor.alias("factor"), "n_zones", F.round("saving_pct", 6).alias("saving_pct"))
+
+
+@query()
+def trade_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redundancy step by step: up to three chords, each prefix priced anew with pipes for every single failure."""
+    sites, routes = routed(spark, sf_dir)
+    return designs.trade_off(graph.stored(graph.spanning_tree(routes.select(K, "u", "v", "w"))), routes, loads(sites), 3)
