@@ -113,7 +113,7 @@ def test_chunks_keep_families_together(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + 20], strict=True)], names=["sig", "fp"]) for i in range(0, len(rows), 20)]
     out = [tuple(r.values()) for b in jaccard.first_of_chunk(iter(batches)) for r in b.to_pylist()]
     sent = [(s, f) for s, f, _ in out if s is not None]
-    assert len(sent) < len(rows) / 2 and all(f == m for s, f, m in out if s is not None)
+    assert len(sent) < 0.8 * len(rows) and sum(s == 99 for s, _ in sent) <= 3 and all(f == m for s, f, m in out if s is not None)
     near = {frozenset((f, m)) for s, f, m in out if s is None}
 
     def groups(links):
