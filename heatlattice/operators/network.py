@@ -175,6 +175,12 @@ def steam_cost(edges: DataFrame, mode: str | None = None) -> DataFrame:
     return out.withColumn("total", F.expr("pipe + pressure + heat"))
 
 
+def published_units(cost: DataFrame) -> DataFrame:
+    """steam_cost() in the units of the published table: length_1e4_m, and pipe, pressure, heat and total in 1e7."""
+    money = [(F.col(c) / 1e7).alias(f"{c}_1e7") for c in ("pipe", "pressure", "heat", "total")]
+    return cost.select(KEY, (F.col("length") / 1e4).alias("length_1e4_m"), *money)
+
+
 # --- seasons
 
 

@@ -348,12 +348,24 @@ def annual_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(duck_text(f"""WITH RECURSIVE {ABOVE}, {FLOW}, g AS (SELECT *, flow / 1000e0 AS kgs FROM fl), g1 AS (SELECT *, {p.steam_inner('kgs')} AS d_in FROM g), g2 AS (SELECT *, {p.steam_outer('d_in')} AS d_out, {p.steam_weight('d_in')} AS wt, pi() * d_in * d_in / 4 AS ar FROM g1),
   g3 AS (SELECT a.*, b.ar AS par FROM g2 a LEFT JOIN g2 b ON a.network_id = b.network_id AND a.u = b.v), g4 AS (SELECT *, ((CASE WHEN d_in > 0 THEN 0.015e0 * l3d / d_in ELSE 0 END) + {p.area_loss('ar', 'par')} + l3d / 25e0) * 900e0 / (2 * 9.80665e0) AS hf FROM g3)
   SELECT network_id, round(sum({p.n(p.CRF_STEAM)} * {p.steam_price('d_out', 'wt')} * l3d), 2) AS pipe, round(sum(0.21e0 * 8760e0 * (hf * kgs * 9.80665e0 / 0.8e0) / 1000e0), 2) AS pressure,
-    round(sum(0.1945e0 * {p.steam_loss('d_out')} * l3d * (8760e0 * 3600e0) / 1999.9e0), 2) AS heat, round(sum(l3d), 4) AS length FROM g4 GROUP BY 1"""))
+    round(sum(0.1945e0 * {p.steam_loss('d_out')} * l3d * (8760e0 * 3600e0) / 1999.9e0), 2) AS heat, round(sum(l3d), 4) AS length, round(sum(l3d) / 1e4, 6) AS length_1e4_m,
+    round(sum({p.n(p.CRF_STEAM)} * {p.steam_price('d_out', 'wt')} * l3d) / 1e7, 6) AS pipe_1e7 FROM g4 GROUP BY 1"""))
 def steam_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, demand, tree, above = supply(spark, sf_dir)
     flows = network.tree_flow(tree, above, demand).withColumn("flow", F.col("flow") / 1000)
     out = network.steam_cost(edges.join(flows, [K, "u", "v"]).select(K, "u", "v", F.col("l3d").alias("length"), "flow"))
-    return rounded(out.drop("total"), pipe=2, pressure=2, heat=2, length=4)
+    out = out.join(network.published_units(out).select(K, "length_1e4_m", "pipe_1e7"), K)
+    return rounded(out.drop("total"), pipe=2, pressure=2, heat=2, length=4, length_1e4_m=6, pipe_1e7=6)
+
+
+RUNS = "SELECT DISTINCT CAST(l_quantity AS DOUBLE) AS m, CAST(l_quantity * 40 AS DOUBLE) AS run FROM {lineitem}"
+
+
+@query(duck_text(f"SELECT m, k::INT AS k, round(run * k / 49e0, 6) AS at, round({p.steam_quality('m', '300e0', '(run * k / 49e0)', '1999.9e0')}, 8) AS quality FROM ({RUNS}) r, (SELECT range AS k FROM range(50)) s"))
+def steam_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steam quality at 50 places along runs of pipe."""
+    rows = frame(spark, sf_dir, RUNS).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("at", F.expr("run * k / 49e0"))
+    return rounded(rows.select("m", "k", "at", F.expr(p.steam_quality("m", "300e0", "at", "1999.9e0")).alias("quality")), at=6, quality=8)
 
 
 M0 = ECONOMICS.full_load_hours / 8760
@@ -534,6 +546,12 @@ def pressure_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return netsci.zones(frame(spark, sf_dir, fx.TREE_NODES), frame(spark, sf_dir, fx.LOOPED).withColumn("conductance", 1 / F.col("length")))
 
 
+@query()
+def pressure_zone_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = frame(spark, sf_dir, fx.LOOPED)
+    return netsci.zone_counts(graph.stored(pressure_zones(spark, sf_dir)), edges)
+
+
 # --- Steiner points
 
 

@@ -12,23 +12,24 @@ SCHEMA = """features array<struct<properties: struct<ID string, GEN string, LAN
 
 
 def districts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """ident, name, state, area_km2, dh_demand_mwh, households, cells of every feature of one or more files or globs.
+    """ident, name, state, area_km2, dh_demand_mwh, households, cells, file and place of every feature of one or more files or globs.
 
     DH_cells may be a list or its JSON text; a null number of households counts as 0; unreadable cells are null.
     """
     p = F.col("f.properties")
-    rows = spark.read.schema(SCHEMA).json(paths, multiLine=True).select(F.explode("features").alias("f"))
+    rows = spark.read.schema(SCHEMA).json(paths, multiLine=True).select(F.input_file_name().alias("file"), F.posexplode("features").alias("place", "f"))
     cells = F.from_json(p["DH_cells"], "array<array<double>>")
     points = F.transform(cells, lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y")))
     return rows.select(
         p["ID"].alias("ident"), p["GEN"].alias("name"), p["LAN"].alias("state"), p["area"].alias("area_km2"), p["DH_demand"].alias("dh_demand_mwh"),
-        F.coalesce(p["DH_supplied_households"], F.lit(0.0)).cast("int").alias("households"), points.alias("cells"),
+        F.coalesce(p["DH_supplied_households"], F.lit(0.0)).cast("int").alias("households"), points.alias("cells"), "file", "place",
     )
 
 
 def by_ident(rows: DataFrame) -> DataFrame:
-    """One row an ident, the greatest of equal ones."""
-    return rows.groupBy("ident").agg(F.max(F.struct("name", "state", "area_km2", "dh_demand_mwh", "households", "cells")).alias("d")).select("ident", "d.*")
+    """One row an ident: the last one, by file name and place in the file."""
+    last = F.max_by(F.struct("name", "state", "area_km2", "dh_demand_mwh", "households", "cells"), F.struct("file", "place"))
+    return rows.groupBy("ident").agg(last.alias("d")).select("ident", "d.*")
 
 
 def cells(rows: DataFrame) -> DataFrame:

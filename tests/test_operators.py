@@ -179,7 +179,7 @@ def test_geojson_round_trip(spark, tmp_path):
     for i, cells in enumerate(("[[1, 2], [3, 4]]", [[5, 6]], None, "broken")):
         (tmp_path / f"heatgrids_{i}.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature(f"d{i}", cells, None if i else 7)]}))
     rows = geojson.districts(spark, f"{tmp_path}/heatgrids_*.geojson")
-    got = {r.ident: r for r in geojson.by_ident(rows.unionByName(rows)).collect()}
+    got = {r.ident: r for r in geojson.by_ident(rows.unionByName(rows.withColumns({"file": geojson.F.lit(""), "households": geojson.F.lit(99)}))).collect()}
     assert len(got) == 4 and got["d0"].households == 7 and got["d1"].households == 0
     assert [(c.x, c.y) for c in got["d0"].cells] == [(1.0, 2.0), (3.0, 4.0)] and got["d1"].cells[0].x == 5.0 and got["d2"].cells is None
     assert geojson.cells(rows).count() == 3
