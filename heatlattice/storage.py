@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -25,6 +26,25 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    at, fs = _place(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a stored() table that nothing reads any more."""
+    at, fs = _place(table.sparkSession, table._stored_at)
+    fs.delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more, ahead of its own half-hourly turn."""
+    gc.collect()
+    spark._jvm.System.gc()
