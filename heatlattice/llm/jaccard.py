@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from heatlattice.llm.common import WORD, _arrow, checked_broadcast, free_name, id_and_text, map_rows
 from heatlattice.llm.components import components
-from heatlattice.storage import stored
+from heatlattice.storage import discard, release, stored
 
 WORDS, NUM, DEN = 3, 90, 100
 #: A block holds about so many sets, and a fragment about so many n-grams of it.
@@ -267,12 +267,12 @@ def first_of_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         sig, fp = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (0, 1))
         order = np.lexsort((fp, sig))
-        sig, fp = sig[order], fp[order]
-        new = np.r_[True, sig[1:] != sig[:-1]]
-        least = fp[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
+        new = np.r_[True, np.diff(sig[order]) != 0]
+        least = np.empty_like(fp)
+        least[order] = fp[order][np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
+        first = np.sort(order[new])  # in the order of the rows, where equal sets stand together and pack well
         others = least != fp
         pairs = np.unique(np.c_[fp[others], least[others]], axis=0)
-        first = new.nonzero()[0]
         mask = np.arange(len(first) + len(pairs)) >= len(first)
         sigs = pa.array(np.r_[sig[first], np.zeros(len(pairs), dtype=np.int64)], pa.int64(), mask=mask)
         leasts = pa.array(np.r_[fp[first], pairs[:, 1]], pa.int64())
@@ -328,15 +328,19 @@ def classed(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, d
 
     made = list(fields("n long, fp long, c long, sigs array<long>"))
     keyed = base.select(F.struct("doc_id", F.xxhash64("text").alias("content")).alias("row"), "text")
-    light = stored(map_rows(keyed, "row", made, sets).select("row.doc_id", "row.content", "n", "fp", "c", "sigs"))
+    signed_rows = stored(map_rows(keyed, "row", made, sets).select("row.doc_id", "row.content", "n", "fp", "c", "sigs"))
+    light = stored(signed_rows.drop("sigs"))
     filled = light.filter("n > 0")
 
     # 2. families of sets with equal signatures; of a frequent one, each chunk of rows sends on one set
-    local = filled.select(F.explode("sigs").alias("sig"), "fp").mapInArrow(first_of_chunk, SIGNED)
+    local = signed_rows.filter("n > 0").select(F.explode("sigs").alias("sig"), "fp").mapInArrow(first_of_chunk, SIGNED)
     least = F.first("fp").over(Window.partitionBy("sig").orderBy("fp"))
     across = local.filter("sig is not null").withColumn("b", least).filter("fp <> b").select(F.col("fp").alias("a"), "b")
     family = components(local.filter("sig is null").select(F.col("fp").alias("a"), F.col("least").alias("b")).unionByName(across))
     family = stored(family.select(F.col("node").alias("fp"), F.col("root").alias("family")))
+    del local, across  # the signatures are the greatest table here, and done with
+    discard(signed_rows)
+    release(docs.sparkSession)
 
     # 3. overlaps by fragment, of all pairs of blocks of a family that can link
     heads = filled.groupBy("fp").agg(F.min_by(F.struct("doc_id", "content"), F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("head"), F.first("n").alias("n"), F.first("c").alias("c"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
