@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatlattice.llm import bpe, chat, hamming, jaccard, langid, licenses, mixing, quality, secrets, toxicity
+from heatlattice.llm import bpe, chat, hamming, jaccard, langid, licenses, mixing, quality, resample, secrets, toxicity
 from heatlattice.llm.common import read
 
 
@@ -62,5 +62,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(talk.unionByName(spark.createDataFrame(QUOTED, talk.schema)))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_hamming": op6_hamming, "op7_jaccard": op7_jaccard, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing, "op10_chat": op10_chat}
-ORACLES = {"op6_hamming": hamming.ORACLE_SQL, "op1_secrets": secrets.oracle_sql(), "op7_jaccard": jaccard.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_chat": chat.oracle_sql(QUOTED)}
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_hamming": op6_hamming, "op7_jaccard": op7_jaccard, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing, "op10_chat": op10_chat, "op11_resample": op11_resample}
+ORACLES = {"op6_hamming": hamming.ORACLE_SQL, "op1_secrets": secrets.oracle_sql(), "op7_jaccard": jaccard.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_chat": chat.oracle_sql(QUOTED), "op11_resample": resample.ORACLE_SQL}
