@@ -33,6 +33,15 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, suffix: str = "") -> str:
+    """A new folder in the shared folder, for files that are no tables; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}{suffix}"
+    at, fs = _place(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def _place(spark: SparkSession, path: str) -> tuple:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
