@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatlattice.llm import bpe, chat, hamming, jaccard, langid, licenses, mixing, quality, repeats, resample, secrets, toxicity
+from heatlattice.llm import bpe, chat, hamming, jaccard, langid, licenses, mixing, quality, repeats, resample, secrets, toxicity, warc
 from heatlattice.llm.common import read
 
 
@@ -66,9 +66,13 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, read(spark, sf_dir, "pages"))
+
+
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.collapse(read(spark, sf_dir, "documents"), altered=repeats.planted))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_hamming": op6_hamming, "op7_jaccard": op7_jaccard, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing, "op10_chat": op10_chat, "op11_resample": op11_resample, "op13_repeats": op13_repeats}
-ORACLES = {"op6_hamming": hamming.ORACLE_SQL, "op1_secrets": secrets.oracle_sql(), "op7_jaccard": jaccard.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_chat": chat.oracle_sql(QUOTED), "op11_resample": resample.ORACLE_SQL}
+QUERIES = {"op1_secrets": op1_secrets, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_hamming": op6_hamming, "op7_jaccard": op7_jaccard, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing, "op10_chat": op10_chat, "op11_resample": op11_resample, "op12_warc": op12_warc, "op13_repeats": op13_repeats}
+ORACLES = {"op6_hamming": hamming.ORACLE_SQL, "op1_secrets": secrets.oracle_sql(), "op7_jaccard": jaccard.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_chat": chat.oracle_sql(QUOTED), "op11_resample": resample.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL}
