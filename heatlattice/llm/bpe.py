@@ -3,9 +3,12 @@
 A text of up to ``CHUNK + OVERLAP`` code points is encoded where it lies. A longer one is cut into chunks that overlap
 by ``OVERLAP``; the chunks are dealt out over all tasks and pre-tokenised in parallel. A chunk begins in the middle of
 a pre-token, but as soon as one of its boundaries is also a boundary of the chunk before it, the two agree from there
-on, because the pattern looks back at nothing. That boundary is where the chunks are stitched. The pieces between
-stitches are encoded in parallel and their ids, and the raw bytes they decode to, are concatenated in order. A text in
-which two chunks never agree (say, one huge run of letters) is encoded whole.
+on, because the pattern looks back at nothing. Chunks are stitched at the first such boundary that has a blank behind it
+and none before it. The pattern looks ahead, past a run of blanks, so a piece must not end with one: it is encoded by
+itself, and its end is then the end of the text. And no pre-token has a blank behind another character, so such a place
+is a boundary for the library too, whose classes of letters may be of another Unicode version. The pieces between
+stitches are encoded in parallel; their ids, and the raw bytes they decode to, are hashed in order as they come, one
+piece in memory at a time. A text in which two chunks share no such boundary (say, one huge run of letters) is encoded whole.
 
 Null counts as the empty text: 0 tokens and the digests of nothing. Rows with equal long texts are encoded once and
 each gets its row; every input row gives exactly one output row. Empty tables give empty results. Only the id and text
@@ -17,7 +20,10 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,10 +49,15 @@ def encoder(path: str, pattern: str):
 
 
 def boundaries(pattern: str, text: str, first: int, last: int) -> list[int]:
-    """Starts of pre-tokens in ``[first, last)`` of a text."""
+    """Starts of pre-tokens in ``[first, last)`` of a text, those with a blank behind and none before."""
     import regex
 
-    return [at for m in regex.compile(pattern).finditer(text) if first <= (at := m.start()) < last]
+    return [at for m in regex.compile(pattern).finditer(text) if first <= (at := m.start()) < last and at and blank(text[at]) and not text[at - 1].isspace()]
+
+
+def blank(c: str) -> bool:
+    """Whether the pattern takes a character as a blank; separators of files and fields are none there."""
+    return c.isspace() and not "\x1c" <= c <= "\x1f"
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -93,17 +104,25 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         return [[len(x) for x in ids], [",".join(map(str, x)) for x in ids], [coder.decode_bytes(x) for x in ids]]
 
     encoded = map_rows(pieces, "place", [T.StructField("n", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("raw", T.BinaryType())], parts)
-    joined = (
-        encoded.filter("n > 0")
-        .groupBy("place.key")
-        .agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("place.i", "ids", "raw"))).alias("parts"))
-        .select("key", "n_tokens", F.expr("sha2(concat_ws(',', parts.ids), 256)").alias("ids_sha256"), F.expr("sha2(aggregate(parts.raw, X'', (a, b) -> concat(a, b)), 256)").alias("decoded_sha256"))
-    )
+    in_order = encoded.filter("n > 0").select("place.key", "place.i", "n", "ids", "raw").repartition("key").sortWithinPartitions("key", "i")
+    joined = in_order.mapInArrow(hashed, T.StructType([T.StructField("key", T.StringType()), *FIELDS]))
     unsynced = map_rows(texts.join(lost, "key", "left_semi"), "key", FIELDS, whole)
     by_key = joined.unionByName(unsynced)
     return short.unionByName(long.select("doc_id", "key").join(by_key, "key").drop("key"))
 
 
+def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, count and digests of the parts of each key, which come in order."""
+    parts = (row for batch in batches for at in range(0, batch.num_rows, 16) for row in batch.slice(at, 16).to_pylist())
+    for key, of_key in itertools.groupby(parts, key=lambda r: r["key"]):
+        n, ids, raw = 0, hashlib.sha256(), hashlib.sha256()
+        for part in of_key:
+            ids.update(("," if n else "").encode() + part["ids"].encode())
+            raw.update(part["raw"])
+            n += part["n"]
+        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([n], pa.int64()), pa.array([ids.hexdigest()]), pa.array([raw.hexdigest()])], names=["key", *(f.name for f in FIELDS)])
+
+
 def stitches(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
     """key, i (from 1) and cut: the first boundary that chunk i shares with the one before it, or null."""
 
