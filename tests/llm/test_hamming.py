@@ -1,10 +1,12 @@
 import random
 
+import pytest
+
 from heatlattice.llm import hamming
 
 
 def code(v):
-    return [i < len(v) and v[i] is not None and v[i] > 0 for i in range(64)]
+    return [i < len(v) and v[i] is not None and v[i] > 0 for i in range(1024)]
 
 
 def brute(rows, k, every):
@@ -31,6 +33,15 @@ def test_against_brute_force(spark):
     assert run(spark, rows, 5, 20) == brute(rows, 5, 20)
 
 
+@pytest.mark.parametrize("size", [10, 96, 1000])
+def test_vectors_of_any_length(spark, size):
+    rng = random.Random(size)
+    centres = [[rng.choice((-1.0, 1.0)) for _ in range(size)] for _ in range(3)]
+    rows = [(i, [-x if rng.random() < 0.04 else x for x in rng.choice(centres)]) for i in range(90)]
+    rows += [(200, centres[0][: size // 2]), (201, [1.0])]  # shorter ones in the same table
+    assert run(spark, rows, 4, 10) == brute(rows, 4, 10)
+
+
 def test_few_and_no_rows(spark):
     rows = [(0, [1.0] * 64), (1, [-1.0] * 64), (2, [1.0] * 32 + [-1.0] * 32)]
     assert run(spark, rows, 10, 100) == brute(rows, 10, 100)
