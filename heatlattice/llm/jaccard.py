@@ -6,7 +6,13 @@ one fragment more than that, one fragment at least holds the same n-grams of bot
 follows from the size: sizes are cut into classes whose ends have the ratio t, a set is cut by the number for its own
 class and by that for the next, and any two sets that can link share a cut.
 
-1. Each text gives its set's size, a digest of the set, and a signature of each fragment. Equal sets are one from here.
+Fragments of a passage that many texts share would bring all of them together. So n-grams that a sample of texts shows to be
+frequent are left out of the cut where the others suffice: if two sets that reach the threshold differ in at most d
+n-grams and both have more than d infrequent ones, one of d + 1 fragments of these holds the same of both. If one has d at
+most, the other has 2 d at most. So a set with more than d is cut by its infrequent n-grams, and one with up to 2 d by
+all. What counts as frequent changes how many sets meet, and never which links are found.
+
+1. Each text gives its set's size, a digest of the set, and signatures of its fragments. Equal sets are one from here.
 2. Sets with an equal signature stand in one family (components of the table signature - least set). Only these can
    link. No pairs are made here, and a frequent signature is brought down to one set for each chunk of rows before
    it is shuffled.
@@ -36,13 +42,15 @@ from pyspark.sql import types as T
 
 from heatlattice.llm.common import WORD, _arrow, checked_broadcast, free_name, id_and_text, map_rows
 from heatlattice.llm.components import components
-from heatlattice.storage import discard, release, stored
+from heatlattice.storage import discard, stored
 
 WORDS, NUM, DEN = 3, 90, 100
 #: A block holds about so many sets, and a fragment about so many n-grams of it.
 BLOCK_SETS, FRAGMENT_GRAMS = 1024, 1 << 18
-#: (1 - 1/e) ** ENOUGH < 2 ** -64
-ENOUGH = 97
+#: (1 - 1/e) ** ENOUGH < 2 ** -64; of a cut into more fragments the first FIRST are looked at.
+ENOUGH, FIRST = 97, 128
+#: Texts looked at for frequent n-grams are a sixteenth of all, within these bounds; an n-gram of OFTEN of them is frequent, the most frequent MOST_FREQUENT are kept.
+SAMPLE, SHARE, OFTEN, MOST_FREQUENT = (8_192, 65_536), 16, 2, 1 << 18
 #: Columns of one matrix product.
 COLUMNS = 4096
 
@@ -99,32 +107,69 @@ def size_class(n: int, num: int, den: int) -> int:
     return next(i for i, end in enumerate(classes(num, den, n)) if n <= end)
 
 
-def signatures(grams: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """A number for each filled fragment of a set, cut for its own size class and for the next.
+NONE = np.zeros(0, dtype=U)
+
+
+def signatures(grams: np.ndarray, num: int = NUM, den: int = DEN, frequent: np.ndarray = NONE) -> np.ndarray:
+    """Numbers for filled fragments of a set, cut for its own size class and for the next. ``frequent`` is sorted.
 
     Linked sets may share only empty fragments, which say nothing. So while a cut has any, the set is cut again by
     another order. Fewer differences than fragments hit all of m filled ones with a chance under (1 - 1/e) ** m, and
-    orders are independent: ENOUGH filled fragments in all make that less than two equal 64-bit hashes.
+    orders are independent: ENOUGH filled fragments in all make that less than two equal 64-bit hashes. For the same
+    reason no more than the first FIRST fragments of a cut are needed.
     """
     n = len(grams)
     if not n:
-        return np.zeros(0, dtype=U)
+        return NONE
+    seldom = grams
+    if len(frequent):
+        seldom = grams[frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] != grams]
     ends, own, out = classes(num, den, n), size_class(n, num, den), []
-    with np.errstate(over="ignore"):
-        for cls in (own, own + 1):
-            k = (den - num) * 2 * ends[cls] // (den + num) + 1
-            order, met, level = grams, 0, 0
-            while True:
-                sizes = np.bincount(((order >> U(32)) * U(k) >> U(32)).astype(np.int64), minlength=k)
-                out.append(cut(order, k, cls * 1_000_003 + level + 1)[sizes > 0])
-                met += np.count_nonzero(sizes)
-                if sizes.all() or met >= ENOUGH:
-                    break
-                level += 1
-                order = mixed(grams + U(level))
+    for cls in (own, own + 1):
+        differ = (den - num) * 2 * ends[cls] // (den + num)
+        if len(seldom) > differ:
+            out += fragments(seldom, differ + 1, 2 * cls)
+        if len(seldom) <= 2 * differ:
+            out += fragments(grams, differ + 1, 2 * cls + 1)
     return np.unique(np.concatenate(out))
 
 
+def fragments(grams: np.ndarray, k: int, salt: int) -> list[np.ndarray]:
+    """The numbers of the filled ones among the first of k fragments, in as many orders as it takes."""
+    out, order, met, level = [], grams, 0, 0
+    with np.errstate(over="ignore"):
+        while True:
+            filled = np.bincount(((order >> U(32)) * U(k) >> U(32)).astype(np.int64), minlength=k)[:FIRST] > 0
+            out.append(cut(order, k, salt * 1_000_003 + level + 1)[:FIRST][filled])
+            met += np.count_nonzero(filled)
+            if (k <= FIRST and filled.all()) or met >= ENOUGH:
+                return out
+            level += 1
+            order = mixed(grams + U(level))
+
+
+def often(base: DataFrame, words: int) -> np.ndarray:
+    """The sorted n-grams that are in several of a sample of texts; copies of a text within one task count once.
+
+    A bounded number of texts and of n-grams is looked at. The sample goes by the texts' hashes, so it is the same in every run.
+    """
+    wanted = min(max(SAMPLE[0], base.count() // SHARE), SAMPLE[1])
+    share = wanted / max(1, base.count())
+    picked = base.select("text").filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if (found := hash(text)) not in seen:
+                    seen.add(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(shingles(text, words).view(np.int64))], names=["gram"])
+
+    counted = picked.mapInArrow(grams, "gram long").groupBy("gram").count().filter(F.col("count") >= OFTEN)
+    kept = counted.orderBy(F.desc("count"), "gram").limit(MOST_FREQUENT).select("gram").toArrow()
+    return np.sort(kept.column(0).to_numpy().view(U))
+
+
 def cut(grams: np.ndarray, k: int, salt: int) -> np.ndarray:
     """A number for the n-grams in each of k equal fragments of the order."""
     at = ((grams >> U(32)) * U(k) >> U(32)).astype(np.int64)
@@ -321,10 +366,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def classed(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, content, n and fp of every row; and of every set fp with words: root of its class, class_id, links, head."""
     base = id_and_text(docs, id_col, text_col)
+    frequent = docs.sparkSession.sparkContext.broadcast(often(base, words))  # MOST_FREQUENT numbers at most
 
     def sets(texts: list) -> list[list]:
         grams = [shingles(t, words) for t in texts]
-        return [[len(g) for g in grams], [digest(g) for g in grams], [size_class(len(g), num, den) if len(g) else None for g in grams], [signed(signatures(g, num, den)) for g in grams]]
+        return [[len(g) for g in grams], [digest(g) for g in grams], [size_class(len(g), num, den) if len(g) else None for g in grams], [signed(signatures(g, num, den, frequent.value)) for g in grams]]
 
     made = list(fields("n long, fp long, c long, sigs array<long>"))
     keyed = base.select(F.struct("doc_id", F.xxhash64("text").alias("content")).alias("row"), "text")
@@ -340,7 +386,6 @@ def classed(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, d
     family = stored(family.select(F.col("node").alias("fp"), F.col("root").alias("family")))
     del local, across  # the signatures are the greatest table here, and done with
     discard(signed_rows)
-    release(docs.sparkSession)
 
     # 3. overlaps by fragment, of all pairs of blocks of a family that can link
     heads = filled.groupBy("fp").agg(F.min_by(F.struct("doc_id", "content"), F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("head"), F.first("n").alias("n"), F.first("c").alias("c"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
