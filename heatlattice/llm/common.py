@@ -40,6 +40,11 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Names of columns as select() takes them, whatever characters they have."""
+    return [f"`{c.replace('`', '``')}`" for c in names]
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -66,12 +71,16 @@ def map_rows(df: DataFrame, keep: str, columns: list[T.StructField], rows: Calla
 def keep_rows(df: DataFrame, text_col: str, keeps: Callable[[list], list[bool]]) -> DataFrame:
     """The rows of df whose texts ``keeps`` accepts, with all columns."""
 
+    names = [f"c{i}" for i in range(len(df.columns))]  # a map's columns are named without quotes
+    at = df.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch):
-                yield part.filter(pa.array(keeps(part.column(text_col).to_pylist()), pa.bool_()))
+                yield part.filter(pa.array(keeps(part.column(at).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    plain = df.toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heatlattice.llm.common import checked_broadcast, n_words
+from heatlattice.llm.common import checked_broadcast, n_words, quoted
 from heatlattice.storage import stored
 
 EPOCHS, SEED, BUCKET_DIGITS = 3, 17, 3
@@ -69,7 +69,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """docs, each row as many times as the mix has it."""
     own = sized(docs, id_col, text_col, source_col, seed)
     plan = planned(stored(docs.select(*own)), epochs)
-    out = decided(docs.select(*own, F.struct(*docs.columns).alias("row")), *plan)
+    out = decided(docs.select(*own, F.struct(*quoted(docs.columns)).alias("row")), *plan)
     return out.filter("repeats > 0").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
 
 

@@ -28,6 +28,8 @@ import re._parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heatlattice.llm.common import quoted
+
 BLOCK = 256
 #: So many strings of one part of an expression are followed up at most.
 MOST = 64
@@ -218,7 +220,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 def redacted(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs with each maximal stretch of spans in its texts replaced by ``mark``; a null text becomes the empty one."""
     # all columns in one, so that none can clash with an own one
-    rows = located(docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")), rules)
+    rows = located(docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")), rules)
     # spans come by start; the running greatest end tells where a stretch ends
     pieces = F.expr(
         f"""aggregate(found, named_struct('at', 0, 'out', cast(array() as array<string>)),

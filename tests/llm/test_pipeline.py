@@ -3,6 +3,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from heatlattice.llm import secrets
 
@@ -74,3 +75,11 @@ def test_near_duplicates_by_five_words_and_four_fifths(spark, docs):
         three[at] = f"y{at}"
     table = docs([(1, " ".join(words)), (2, " ".join(two)), (3, " ".join(three))])
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, "").collect()) == [1, 3]
+
+
+def test_any_column_name(spark, docs):
+    table = docs([(1, "some words of a text", "en", "s"), (2, "token=abcdefgh and more words", "en", "s"), (3, "12", "en", "s"), (None, None)])
+    named = table.withColumnsRenamed({"key": "a.b", "component": "c`d", "n": "e f"}).withColumn("n_chars", F.lit(5).cast("long"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, named, "")
+        assert out.columns == named.columns and out.count() > 0, name
