@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatlattice.llm import bpe, jaccard, langid, mixing, secrets
-from heatlattice.llm.common import keep_rows, read
+from heatlattice.llm.common import keep_rows, quoted, read
 from heatlattice.llm.queries import tokenizer
 from heatlattice.storage import stored
 
@@ -31,15 +31,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.deduplicated(docs, words=WORDS, num=NUM, den=DEN).select(docs.columns)
+    return jaccard.deduplicated(docs, words=WORDS, num=NUM, den=DEN).select(quoted(docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redacted(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    return secrets.redacted(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(quoted(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs).select(docs.columns)
+    return mixing.mixed(docs).select(quoted(docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
