@@ -6,6 +6,9 @@ finds nothing new; each round's table is written to the shared folder, so nothin
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -39,11 +42,90 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return one.unionByName(edges.select(KEY, F.col("v").alias("a"), F.col("u").alias("b"), *rest))
 
 
-def nearest(weighted: DataFrame, k: int = 8) -> DataFrame:
-    """Distinct pairs u < v of each node with its k nearest (by w, then node), infinite weights left out."""
-    place = F.row_number().over(Window.partitionBy(KEY, "a").orderBy("w", "b"))
-    near = both_ways(weighted.filter("w < double('infinity')")).withColumn("k", place).filter(F.col("k") <= k)
-    return near.select(KEY, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "w").distinct()
+#: Cells of an index are halved so often from the whole of a network.
+LEVELS = 16
+
+
+def nearest_of_points(nodes: DataFrame, k: int = 8, metric: str = "euclidean") -> DataFrame:
+    """Distinct pairs u < v, with w, of each point (network_id, node, x, y) with its k nearest, by w, then node; no other pair is made.
+
+    Networks of up to MOST_POINTS points are searched in one task each, some rows of distances at a time. Larger ones are
+    searched by cells. Every place starts at the finest cells of which its own holds more than k places, and looks at
+    these and the eight around. If its kth neighbour is nearer than a cell's side, no other place can be nearer; else the
+    cells double. Points at one place are one, with the k + 1 least nodes, so a place that holds a third of all is no
+    more than others. Rows shuffled are points times LEVELS, and candidates, which follow the density around a point.
+
+    A node without coordinates has no neighbours; one given twice has the least of its places.
+    """
+    points = nodes.filter("x is not null and y is not null").groupBy(KEY, "node").agg(F.min(F.struct("x", "y")).alias("at")).select(KEY, "node", "at.x", "at.y")
+    sized = stored(points.join(points.groupBy(KEY).agg(F.count("*").alias("points")), KEY))
+    schema = f"{KEY} {dict(nodes.dtypes)[KEY]}, u long, v long, w double"
+
+    def searched(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
+        x, y, name = (pdf[c].to_numpy() for c in ("x", "y", "node"))
+        found, near = [], min(k, len(pdf) - 1)
+        for first in range(0, len(pdf), 256) if near else ():
+            own = np.arange(first, min(first + 256, len(pdf)))
+            dx, dy = x[own, None] - x, y[own, None] - y
+            w = np.sqrt(dx * dx + dy * dy) if metric == "euclidean" else np.abs(dx) + np.abs(dy)
+            w[np.arange(len(own)), own] = np.inf
+            row, to = np.nonzero(w <= np.partition(w, near - 1, axis=1)[:, near - 1 : near])
+            order = np.lexsort((to, w[row, to], row))
+            row, to = row[order], to[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, to = row[place < near], to[place < near]
+            found.append(np.c_[np.minimum(own[row], to), np.maximum(own[row], to), w[row, to]])
+        found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3))
+        out = pd.DataFrame({"u": name[found[:, 0].astype(int)], "v": name[found[:, 1].astype(int)], "w": found[:, 2]})
+        out.insert(0, KEY, pdf[KEY].iloc[0])
+        return out
+
+    small = sized.filter(F.col("points") <= MOST_POINTS).drop("points").groupBy(KEY).applyInPandas(searched, schema)
+    large = sized.filter(F.col("points") > MOST_POINTS).drop("points")
+    return small if large.isEmpty() else small.unionByName(nearest_by_cells(large, k, metric))
+
+
+def nearest_by_cells(points: DataFrame, k: int, metric: str) -> DataFrame:
+    """network_id, u < v and w by a cell index; every network has its own cells."""
+    order = Window.partitionBy(KEY, "x", "y").orderBy("node")
+    least = points.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k + 1)
+    places = least.groupBy(KEY, "x", "y").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    box = points.groupBy(KEY).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side"))
+    fine = lambda c: F.least(F.floor((F.col(c) - F.col(f"{c}0")) / F.when(F.col("side") > 0, F.col("side")).otherwise(1.0) * (1 << LEVELS)), F.lit((1 << LEVELS) - 1)).cast("int")
+    places = stored(places.join(box, KEY).select(KEY, F.col("nodes")[0].alias("place"), "x", "y", "nodes", "side", fine("x").alias("i"), fine("y").alias("j")))
+    # the finest cells that hold more than k places
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
+    at = [F.expr(f"shiftright({c}, level)").alias(c) for c in "ij"]
+    cells = places.groupBy(KEY, "i", "j").agg(F.count("*").alias("n")).withColumn("level", levels).select(KEY, "level", *at, "n")
+    filled = cells.groupBy(KEY, "level", "i", "j").agg(F.sum("n").alias("n")).filter(F.col("n") > k)
+    own = places.select(KEY, "place", "i", "j").withColumn("level", levels).select(KEY, "place", "level", *at)
+    starts = own.join(filled, [KEY, "level", "i", "j"]).groupBy(KEY, "place").agg(F.min("level").alias("level"))
+    active = stored(places.join(starts, [KEY, "place"], "left").withColumn("level", F.coalesce("level", F.lit(LEVELS))))
+    lists, around = None, F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> struct(a, b))))"))
+    first = active.agg(F.min("level")).first()[0]
+    for level in range(first, LEVELS + 1):
+        now = active.filter(F.col("level") == level)
+        asked = now.select(KEY, "place", F.col("x").alias("ax"), F.col("y").alias("ay"), "side", *(F.shiftright(c, level).alias(c) for c in "ij"), around.alias("d"))
+        asked = asked.select(KEY, "place", "ax", "ay", "side", (F.col("i") + F.col("d.a")).alias("i"), (F.col("j") + F.col("d.b")).alias("j"))
+        index = places.select(KEY, *(F.shiftright(c, level).alias(c) for c in "ij"), F.col("x").alias("bx"), F.col("y").alias("by"), "nodes")
+        met = asked.join(index, [KEY, "i", "j"]).select(KEY, "place", "side", distance(metric).alias("w"), F.explode("nodes").alias("v"))
+        rank = F.row_number().over(Window.partitionBy(KEY, "place").orderBy("w", "v"))
+        top = met.withColumn("rank", rank).filter(F.col("rank") <= k + 1)
+        top = stored(top.groupBy(KEY, "place", "side").agg(F.array_sort(F.collect_list(F.struct("w", "v"))).alias("near")))
+        reach = F.col("side") * ((1 - 1e-9) * 2.0 ** (level - LEVELS))  # no other place is nearer than a cell's side
+        settled = (F.size("near") > k) & (F.col("near")[k]["w"] < reach) if level < LEVELS else F.lit(True)
+        done = top.filter(settled).select(KEY, "place", "near")
+        lists = done if lists is None else lists.unionByName(done)
+        if level < LEVELS:
+            open_ = top.filter(~settled).select(KEY, "place")
+            rest = active.filter(F.col("level") > level).unionByName(now.join(open_, [KEY, "place"], "left_semi").withColumn("level", F.lit(level + 1)))
+            active = stored(rest)
+            if active.isEmpty():
+                break
+    named = points.join(places.select(KEY, "x", "y", "place"), [KEY, "x", "y"]).select(KEY, "node", "place").join(lists, [KEY, "place"])
+    near = named.select(KEY, F.col("node").alias("a"), F.explode(F.slice(F.filter("near", lambda e: e["v"] != F.col("node")), 1, k)).alias("e"))
+    return near.select(KEY, F.least("a", "e.v").alias("u"), F.greatest("a", "e.v").alias("v"), "e.w").distinct()
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -113,23 +195,31 @@ def spanning_tree_of_points(nodes: DataFrame, metric: str = "euclidean") -> Data
 
     def prim(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
-        x, y, name = (pdf[c].to_numpy() for c in ("x", "y", "node"))
-        size = len(pdf)
+        name, size = pdf["node"].to_numpy(), len(pdf)
+        # what is not in the tree yet comes first: coordinates, place in name, least distance to the tree and to which point of it
+        x, y, own = pdf["x"].to_numpy(copy=True), pdf["y"].to_numpy(copy=True), np.arange(size)
         far, near = np.full(size, np.inf), np.zeros(size, dtype=int)
-        out, now, free = [], 0, np.ones(size, dtype=bool)
-        for _ in range(size - 1):
-            free[now] = False
-            dx, dy = x - x[now], y - y[now]
+        out, now, edge = [], 0, lambda i: (min(own[i], near[i]), max(own[i], near[i]))
+        for left in range(size - 1, 0, -1):
+            at, px, py = own[now], x[now], y[now]
+            for column in (x, y, own, far, near):
+                column[now] = column[left]
+            dx, dy = x[:left] - px, y[:left] - py
             w = np.sqrt(dx * dx + dy * dy) if metric == "euclidean" else np.abs(dx) + np.abs(dy)
-            a, b = np.minimum(name, name[now]), np.maximum(name, name[now])
-            c, d = np.minimum(name, name[near]), np.maximum(name, name[near])
-            better = (w < far) | ((w == far) & ((a < c) | ((a == c) & (b < d))))
-            far, near = np.where(better, w, far), np.where(better, now, near)
-            least = far[free].min()
-            tied = np.flatnonzero(free & (far == least))
-            now = min(tied, key=lambda i: (min(name[i], name[near[i]]), max(name[i], name[near[i]])))
-            out.append((min(name[now], name[near[now]]), max(name[now], name[near[now]]), far[now]))
-        made = pd.DataFrame(out, columns=["u", "v", "w"])
+            old = far[:left]
+            same = w == old
+            better = w < old
+            if same.any():
+                a, b = np.minimum(own[:left], at), np.maximum(own[:left], at)
+                c, d = np.minimum(own[:left], near[:left]), np.maximum(own[:left], near[:left])
+                better |= same & ((a < c) | ((a == c) & (b < d)))
+            np.copyto(old, w, where=better)
+            np.copyto(near[:left], at, where=better)
+            now = int(old.argmin())
+            if np.count_nonzero(tied := old == old[now]) > 1:
+                now = min(np.flatnonzero(tied), key=edge)
+            out.append((*edge(now), old[now]))
+        made = pd.DataFrame({"u": name[[e[0] for e in out]], "v": name[[e[1] for e in out]], "w": [e[2] for e in out]}) if out else pd.DataFrame({"u": [], "v": [], "w": []})
         made.insert(0, KEY, pdf[KEY].iloc[0])
         return made
 
@@ -145,18 +235,59 @@ def spanning_tree_of_points(nodes: DataFrame, metric: str = "euclidean") -> Data
     return small.unionByName(spanning_tree(of_two.distinct()))
 
 
+#: Parts of a result that are kept apart before they are stored as one.
+MOST_PARTS = 16
+
+
 def rooted(edges: DataFrame, root: int = 0) -> DataFrame:
-    """network_id, node, parent (-1 at the root), depth: breadth-first from the root; the least parent on ties."""
+    """network_id, node, parent (-1 at the root), depth: breadth-first from the root; the least parent on ties.
+
+    What a frontier meets is one hop nearer, as near, or new, so it is compared with the last two frontiers only.
+    Nodes that the root does not reach have no row; a network without the root has none. Repeated edges and loops change nothing.
+    """
     arcs = stored(both_ways(edges.select(KEY, "u", "v")))
-    seen = stored(arcs.filter(F.col("a") == root).select(KEY, F.col("a").alias("node")).distinct().withColumn("parent", F.lit(-1).cast("long")).withColumn("depth", F.lit(0)))
-    front, depth = seen, 0
+    front = stored(arcs.filter(F.col("a") == root).select(KEY, F.col("a").alias("node")).distinct().withColumn("parent", F.lit(-1).cast("long")).withColumn("depth", F.lit(0)))
+    parts, last, depth = [front], front.limit(0), 0
     while True:
         depth += 1
         new = front.select(KEY, F.col("node").alias("a")).join(arcs, [KEY, "a"]).groupBy(KEY, F.col("b").alias("node")).agg(F.min("a").alias("parent"))
-        front = stored(new.join(seen, [KEY, "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        near = front.select(KEY, "node").unionByName(last.select(KEY, "node"))
+        last, front = front, stored(new.join(near, [KEY, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
+            return functools.reduce(DataFrame.unionByName, parts)
+        parts.append(front)
+        if len(parts) > MOST_PARTS:
+            parts = [stored(functools.reduce(DataFrame.unionByName, parts))]
+
+
+def climbed(tree: DataFrame, keys: list[str], values: DataFrame, sums: dict[str, Callable[[str], Column]]) -> DataFrame:
+    """keys, node and each of ``sums`` over the node and all below it. tree: keys, node, parent (none at -1); values: keys, node, and the columns.
+
+    A node's total over those fewer than 2^i hops below and its 2^i-th ancestor are known; added to that ancestor's
+    total they double the reach. So there are log(depth) rounds of as many rows as nodes. Nodes without values have nulls,
+    as have totals of nothing.
+    """
+    now = stored(tree.select(*keys, "node").join(values, [*keys, "node"], "left"))
+    jump = stored(tree.filter("parent >= 0").select(*keys, "node", F.col("parent").alias("to")))
+    while not jump.isEmpty():
+        sent = jump.join(now, [*keys, "node"]).select(*keys, F.col("to").alias("node"), *sums)
+        now = stored(now.unionByName(sent).groupBy(*keys, "node").agg(*(f(c).alias(c) for c, f in sums.items())))
+        on = jump.select(*keys, F.col("node").alias("to"), F.col("to").alias("next"))
+        jump = stored(jump.join(on, [*keys, "to"]).select(*keys, "node", F.col("next").alias("to")))
+    return now
+
+
+def from_root(tree: DataFrame, keys: list[str], lengths: DataFrame) -> DataFrame:
+    """keys, node and far: the length of the way up to the root. lengths: keys, node, length of the edge above it (null: 0).
+
+    Pointer doubling: each way is joined with that of the node where it ends.
+    """
+    way = tree.join(lengths, [*keys, "node"], "left").select(*keys, "node", F.col("parent").alias("to"), F.when(F.col("parent") >= 0, F.coalesce("length", F.lit(0.0))).otherwise(0.0).alias("far"))
+    way = stored(way)
+    while not way.filter("to >= 0").isEmpty():
+        on = way.select(*keys, F.col("node").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
+        way = stored(way.join(on, [*keys, "to"], "left").select(*keys, "node", F.coalesce("next", F.lit(-1)).alias("to"), (F.col("far") + F.coalesce("more", F.lit(0.0))).alias("far")))
+    return way.select(*keys, "node", "far")
 
 
 def ancestors(tree: DataFrame) -> DataFrame:
@@ -185,10 +316,20 @@ def shortest(edges: DataFrame, keys: tuple[str, ...] = (KEY,), root: int = 0) ->
     Ties go to fewer hops, then the least parent. Unreached nodes have no row.
     """
     keys = list(keys)
-    one = edges.select(*keys, F.col("u").alias("a"), F.col("v").alias("b"), "length")
-    arcs = stored(one.unionByName(edges.select(*keys, F.col("v").alias("a"), F.col("u").alias("b"), "length")))
+    arcs = stored(arcs_of(edges, keys))
     best = arcs.filter(F.col("a") == root).select(*keys, F.col("a").alias("node")).distinct()
     best = stored(best.select(*keys, "node", F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(-1).cast("long").alias("parent")).alias("s")))
+    return relaxed(best, arcs, keys)
+
+
+def arcs_of(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, a, b, length of every edge both ways."""
+    one = edges.select(*keys, F.col("u").alias("a"), F.col("v").alias("b"), "length")
+    return one.unionByName(edges.select(*keys, F.col("v").alias("a"), F.col("u").alias("b"), "length"))
+
+
+def relaxed(best: DataFrame, arcs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, cost, hops, parent of the cheapest ways on from stored starts (keys, node, s: cost, hops, parent) over arcs."""
     front = best
     while not front.isEmpty():
         step = front.select(*keys, F.col("node").alias("a"), "s").join(arcs, [*keys, "a"])
@@ -198,16 +339,3 @@ def shortest(edges: DataFrame, keys: tuple[str, ...] = (KEY,), root: int = 0) ->
         front = stored(front)
         best = stored(best.join(front.select(*keys, "node"), [*keys, "node"], "left_anti").unionByName(front))
     return best.select(*keys, "node", "s.cost", "s.hops", "s.parent")
-
-
-def reached(edges: DataFrame, keys: tuple[str, ...], root: int = 0) -> DataFrame:
-    """keys and node of every node that the root reaches, each frontier met once."""
-    keys = list(keys)
-    arcs = stored(edges.select(*keys, F.col("u").alias("a"), F.col("v").alias("b")).unionByName(edges.select(*keys, F.col("v").alias("a"), F.col("u").alias("b"))))
-    seen = front = stored(arcs.select(*keys).distinct().withColumn("node", F.lit(root).cast("long")))
-    while True:
-        front = front.withColumnRenamed("node", "a").join(arcs, [*keys, "a"]).select(*keys, F.col("b").alias("node")).distinct()
-        front = stored(front.join(seen, [*keys, "node"], "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen = stored(seen.unionByName(front))

@@ -48,18 +48,56 @@ def routed_flow(edges: DataFrame, demand: DataFrame, keys: tuple[str, ...] = (KE
     return flows.join(lost, keys, "left").withColumn("infeasible", F.coalesce("infeasible", F.lit(False)))
 
 
-def without_one(edges: DataFrame) -> DataFrame:
-    """The edges in every scenario of one failed edge (failed_u, failed_v), and in the normal one (-1, -1)."""
-    failed = edges.select(KEY, F.col("u").alias("failed_u"), F.col("v").alias("failed_v"))
-    out = edges.join(failed, KEY).filter("u <> failed_u or v <> failed_v")
-    return out.unionByName(edges.withColumns({"failed_u": F.lit(-1).cast("long"), "failed_v": F.lit(-1).cast("long")}))
+def design_flow(edges: DataFrame, demand: DataFrame) -> DataFrame:
+    """network_id, u, v, flow: each edge's greatest flow over all single failures that leave every load connected.
 
+    A failure off the tree of cheapest paths moves nothing. One on it cuts off the subtree of its lower node, the
+    scenario's name here, and only that is routed again: from the edges that lead into it, over the edges inside it. What
+    enters at a node outside goes on along the tree, and what the subtree drew before is taken off its old way. So there
+    are as many rows as nodes times their depth, and the edges among them, and no scenario holds the whole network.
 
-def design_flow(edges: DataFrame, demand: DataFrame) -> DataFrame:
-    """network_id, u, v, flow: each edge's greatest flow over all single failures that leave every load connected."""
-    keys = (KEY, "failed_u", "failed_v")
-    flows = routed_flow(without_one(graph.canonical(edges)), demand, keys).filter("not infeasible")
-    return graph.canonical(edges).select(KEY, "u", "v").join(flows.groupBy(KEY, "u", "v").agg(F.max("flow").alias("flow")), [KEY, "u", "v"], "left").fillna(0.0, ["flow"])
+    Edges that are given twice fail together, with the shorter length. A network with a positive demand that is never reached has no flow.
+    """
+    edges = graph.stored(graph.canonical(edges).filter("u <> v").groupBy(KEY, "u", "v").agg(F.min("length").alias("length")))
+    best = graph.stored(graph.shortest(edges))
+    wanted = demand.filter("node <> 0 and demand_kw > 0").groupBy(KEY, "node").agg(F.sum("demand_kw").alias("demand_kw"))
+    lost = wanted.join(best.select(KEY, "node"), [KEY, "node"], "left_anti").select(KEY).distinct()
+    best = graph.stored(best.join(lost, KEY, "left_anti"))
+    total = lambda tree, keys: graph.climbed(tree, keys, tree.select(*keys, "node").join(wanted, [KEY, "node"], "left").select(*keys, "node", F.coalesce("demand_kw", F.lit(0.0)).alias("flow")), {"flow": F.sum})
+    base = graph.stored(total(best, [KEY]).filter("node <> 0"))
+
+    keys = [KEY, "cut"]
+    above = graph.stored(graph.ancestors(best).select(KEY, "node", "ancestor"))
+    inside = graph.stored(above.filter("ancestor <> 0").select(KEY, F.col("ancestor").alias("cut"), "node"))
+    # edges with an end in the subtree: b is in it, a may be; the failed one is left out
+    arcs = graph.arcs_of(edges, [KEY]).join(inside.withColumnRenamed("node", "b"), [KEY, "b"])
+    parent = best.select(KEY, F.col("node").alias("cut"), F.col("parent").alias("above_cut"))
+    arcs = arcs.join(parent, keys).filter("not (b = cut and a = above_cut)")
+    own = inside.select(*keys, F.col("node").alias("a"), F.lit(True).alias("own"))
+    arcs = graph.stored(arcs.join(own, [*keys, "a"], "left").select(*keys, "a", "b", "length", F.col("own").isNotNull().alias("own")))
+    outside = best.select(KEY, F.col("node").alias("a"), "cost", "hops")
+    offers = arcs.filter("not own").join(outside, [KEY, "a"]).select(*keys, F.col("b").alias("node"), F.struct((F.col("cost") + F.col("length")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("a").alias("parent")).alias("s"))
+    starts = graph.stored(offers.groupBy(*keys, "node").agg(F.min("s").alias("s")))
+    again = graph.stored(graph.relaxed(starts, arcs.filter("own").drop("own"), keys))
+    unmet = inside.join(wanted, [KEY, "node"], "left_semi").join(again, [*keys, "node"], "left_anti").select(*keys).distinct()
+    again = graph.stored(again.join(unmet, keys, "left_anti"))
+
+    own = inside.withColumn("own", F.lit(True)).withColumnRenamed("node", "parent")
+    routed = again.join(own, [*keys, "parent"], "left").select(*keys, "node", F.when(F.col("own"), F.col("parent")).otherwise(-1).alias("parent"), F.col("parent").alias("next"), F.col("own").isNull().alias("enters"))
+    routed = graph.stored(routed)
+    within = graph.stored(total(routed, keys).join(routed.select(*keys, "node", "next", "enters"), [*keys, "node"]))
+    moved = within.select(KEY, F.least("node", "next").alias("u"), F.greatest("node", "next").alias("v"), "flow")
+    # along the tree outside: what enters goes up, what was drawn before is taken off
+    up = above.filter("ancestor <> 0").select(KEY, F.col("node").alias("next"), F.col("ancestor").alias("node"))
+    more = within.filter("enters").select(*keys, "next", "flow").join(up, [KEY, "next"]).select(*keys, "node", "flow")
+    scenarios = within.select(*keys).distinct()
+    less = scenarios.join(base.withColumnRenamed("node", "cut"), [KEY, "cut"]).join(up.withColumnRenamed("next", "cut"), [KEY, "cut"]).select(*keys, "node", (-F.col("flow")).alias("flow"))
+    changed = more.unionByName(less).groupBy(*keys, "node").agg(F.sum("flow").alias("change"))
+    changed = changed.join(base, [KEY, "node"]).select(KEY, "node", (F.col("flow") + F.col("change")).alias("flow"))
+    on_tree = base.unionByName(changed).groupBy(KEY, "node").agg(F.max("flow").alias("flow")).join(best.select(KEY, "node", "parent"), [KEY, "node"])
+    every = moved.unionByName(on_tree.select(KEY, F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"), "flow"))
+    most = every.groupBy(KEY, "u", "v").agg(F.max("flow").alias("flow"))
+    return edges.select(KEY, "u", "v").join(most, [KEY, "u", "v"], "left").fillna(0.0, ["flow"])
 
 
 # --- pipes
@@ -213,15 +251,25 @@ def seasonal_cost(design: DataFrame, above: DataFrame, demand: DataFrame, bins:
 
 
 def stranded(edges: DataFrame, demand: DataFrame) -> DataFrame:
-    """network_id, u, v, stranded_kw: the positive demand that each edge's loss cuts off, on any graph."""
-    edges = graph.canonical(edges).select(KEY, "u", "v").distinct()
-    keys = (KEY, "failed_u", "failed_v")
-    left = without_one(edges).filter("failed_u >= 0")
-    scenarios = edges.select(KEY, F.col("u").alias("failed_u"), F.col("v").alias("failed_v"))
-    fine = graph.reached(left, keys)
-    lost = scenarios.join(demand.filter("demand_kw > 0 and node <> 0"), KEY).join(fine, [*keys, "node"], "left_anti")
-    sums = lost.groupBy(*keys).agg(F.sum("demand_kw").alias("stranded_kw"))
-    return scenarios.join(sums, list(keys), "left").fillna(0.0, ["stranded_kw"]).withColumnsRenamed({"failed_u": "u", "failed_v": "v"})
+    """network_id, u, v, stranded_kw: the positive demand that each edge's loss cuts off, on any graph.
+
+    Every edge off a breadth-first tree has a number, and a tree edge that of all edges that close a cycle over it, by
+    exclusive or: 64 random bits, so 0 means that there is none, and that the edge is a bridge. Its loss strands what is
+    below it. Demand that the root never reaches is stranded by every loss. Edges given twice fail together; loops are no edges.
+    """
+    edges = graph.stored(graph.canonical(edges).select(KEY, "u", "v").filter("u <> v").distinct())
+    tree = graph.stored(graph.rooted(edges))
+    wanted = demand.filter("demand_kw > 0 and node <> 0").groupBy(KEY, "node").agg(F.sum("demand_kw").alias("demand_kw"))
+    own = tree.filter("parent >= 0").select(KEY, F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"), F.col("node").alias("lower"))
+    rest = edges.join(own, [KEY, "u", "v"], "left_anti").withColumn("mark", F.xxhash64(KEY, "u", "v"))
+    marks = rest.select(KEY, F.explode(F.array("u", "v")).alias("node"), "mark").groupBy(KEY, "node").agg(F.bit_xor("mark").alias("mark"))
+    values = tree.select(KEY, "node").join(wanted, [KEY, "node"], "left").join(marks, [KEY, "node"], "left")
+    values = values.select(KEY, "node", F.coalesce("demand_kw", F.lit(0.0)).alias("below"), F.coalesce("mark", F.lit(0)).cast("long").alias("mark"))
+    below = graph.climbed(tree, [KEY], values, {"below": F.sum, "mark": F.bit_xor})
+    bridges = own.join(below.filter("mark = 0").select(KEY, F.col("node").alias("lower"), "below"), [KEY, "lower"]).select(KEY, "u", "v", "below")
+    never = wanted.join(tree.select(KEY, "node"), [KEY, "node"], "left_anti").groupBy(KEY).agg(F.sum("demand_kw").alias("never"))
+    out = edges.join(bridges, [KEY, "u", "v"], "left").join(never, KEY, "left")
+    return out.select(KEY, "u", "v", (F.coalesce("below", F.lit(0.0)) + F.coalesce("never", F.lit(0.0))).alias("stranded_kw"))
 
 
 def reliability(design: DataFrame, lost: DataFrame, demand: DataFrame, oxygen: str = "2e-5") -> DataFrame:

@@ -216,7 +216,7 @@ def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(duck_text(f"""WITH e AS ({PAIRS}), b AS (SELECT network_id, u AS a, v AS b, w FROM e UNION ALL SELECT network_id, v, u, w FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY network_id, a ORDER BY w, b) AS r FROM b)
   SELECT DISTINCT network_id, least(a, b) AS u, greatest(a, b) AS v, round(w, 6) AS w FROM k WHERE r <= 8"""))
 def knn_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(graph.nearest(graph.pairs(frame(spark, sf_dir, fx.POINTS))), w=6)
+    return rounded(graph.nearest_of_points(frame(spark, sf_dir, fx.POINTS)), w=6)
 
 
 # An edge is in the tree iff its ends are not joined by smaller edges; with the order as a rank, by the least bottleneck.
@@ -499,7 +499,7 @@ DEGREES = "dg AS (SELECT network_id, node, count(*) AS g FROM (SELECT network_id
   SELECT * FROM tr JOIN (SELECT network_id, round(corr(a, b), 8) AS assortativity FROM en GROUP BY 1) USING (network_id)"""))
 def clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = frame(spark, sf_dir, fx.POINTS)
-    e = graph.stored(graph.nearest(graph.pairs(pts), 4))
+    e = graph.stored(graph.nearest_of_points(pts, 4))
     return rounded(netsci.triangles(pts, e).join(netsci.assortativity(pts, e), K), transitivity=8, avg_clustering=8, assortativity=8)
 
 
