@@ -99,9 +99,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     )
 
     def parts(texts: list) -> list[list]:
-        coder = encoder(path, pattern)
-        ids = [coder.encode_ordinary(text) for text in texts]
-        return [[len(x) for x in ids], [",".join(map(str, x)) for x in ids], [coder.decode_bytes(x) for x in ids]]
+        coder, out = encoder(path, pattern), [[], [], []]
+        for text in texts:  # one text's list of ids at a time: it takes ten times the text's memory
+            ids = coder.encode_ordinary(text)
+            for column, value in zip(out, (len(ids), ",".join(map(str, ids)), coder.decode_bytes(ids)), strict=True):
+                column.append(value)
+        return out
 
     encoded = map_rows(pieces, "place", [T.StructField("n", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("raw", T.BinaryType())], parts)
     in_order = encoded.filter("n > 0").select("place.key", "place.i", "n", "ids", "raw").repartition("key").sortWithinPartitions("key", "i")
