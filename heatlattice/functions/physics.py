@@ -76,9 +76,10 @@ def friction_haaland(re: str, d: str) -> str:
     return f"(CASE WHEN {re} <= 0 THEN 0e0 WHEN {re} < 2300 THEN 64e0 / {re} ELSE 1e0 / pow(-1.8e0 * log10({rough} + 6.9e0 / {re}), 2e0) END)"
 
 
-def pressure_drop(m: str, d: str, length: str, engine: type = Spark, water: Water = WATER) -> str:
+def pressure_drop(m: str, d: str, length: str, engine: type = Spark, water: Water = WATER, factor: str | None = None) -> str:
+    """``factor`` names the friction factor where it is known, so that it is not worked out again."""
     u = velocity(m, d, water)
-    return f"(CASE WHEN {m} <= 0 OR {d} <= 0 OR {length} <= 0 THEN 0e0 ELSE {friction(reynolds(m, d, water), d, engine)} * ({length} / {d}) * {n(water.rho)} * {u} * {u} / 2e0 END)"
+    return f"(CASE WHEN {m} <= 0 OR {d} <= 0 OR {length} <= 0 THEN 0e0 ELSE {factor or friction(reynolds(m, d, water), d, engine)} * ({length} / {d}) * {n(water.rho)} * {u} * {u} / 2e0 END)"
 
 
 def mass_flow(load_kw: str, water: Water = WATER) -> str:
@@ -133,9 +134,10 @@ def external(v: str, d: str, surface_c: str, ambient_c: str) -> str:
     return f"({churchill_bernstein(v, d)} + {radiation(surface_c, ambient_c)})"
 
 
-def gnielinski(m: str, d: str, engine: type = Spark) -> str:
+def gnielinski(m: str, d: str, engine: type = Spark, factor: str | None = None) -> str:
+    """``factor`` names the friction factor where it is known."""
     re = reynolds(m, d)
-    f8 = f"({friction(re, d, engine)} / 8e0)"
+    f8 = f"({factor or friction(re, d, engine)} / 8e0)"
     nu = f"({f8} * ({re} - 1000e0) * {n(WATER.Pr)} / (1e0 + 12.7e0 * sqrt({f8}) * {n(WATER.Pr ** (2 / 3) - 1)}))"
     return f"(CASE WHEN {m} <= 0 OR {d} <= 0 THEN 0e0 WHEN {re} < 2300 THEN {n(3.66 * WATER.k)} / {d} ELSE {nu} * {n(WATER.k)} / {d} END)"
 

@@ -10,21 +10,26 @@ from heatlattice.functions.params import CATALOGUE, ECONOMICS, OXYGEN, WATER, WA
 from heatlattice.operators import graph, netsci, network, nodes, steiner, terrain
 from heatlattice.plans import fixtures as fx
 from heatlattice.plans.fixtures import duck_text, frame
-from heatlattice.plans.registry import query, rounded
+from heatlattice.plans.registry import compiled, query, rounded, spread
 
 K = "network_id"
 
 
+#: Worked out once a row, one after the other, ahead of the columns that use them.
+AHEAD = {"re": p.reynolds("mdot", "d"), "factor": p.friction("re", "d", p.Spark)}
+
+
 def scalar(name: str, engine: type) -> dict[str, tuple[str, int]]:
-    """Expressions over PIPES with the decimals they are compared at."""
-    re = p.reynolds("mdot", "d")
+    """Expressions over PIPES (for Spark with the columns of AHEAD) with the decimals they are compared at."""
+    re = "re" if engine is p.Spark else p.reynolds("mdot", "d")
+    factor = "factor" if engine is p.Spark else p.friction(re, "d", engine)
     return {
         "hydraulics": {
             "reynolds": (re, 1),
-            "friction": (p.friction(re, "d", engine), 8),
+            "friction": (factor, 8),
             "friction_haaland": (p.friction_haaland(re, "d"), 8),
             "velocity": (p.velocity("mdot", "d"), 6),
-            "dp_bar": (f"({p.pressure_drop('mdot', 'd', 'length', engine)}) / 1e5", 5),
+            "dp_bar": (f"({p.pressure_drop('mdot', 'd', 'length', engine, factor=factor)}) / 1e5", 5),
             "mass_flow": (p.mass_flow("load_kw"), 8),
             "pump_kw": (f"({p.pump_power('mdot', 'length * 100e0')}) / 1e3", 5),
             "head_bar": (f"({p.static_head('dz')}) / 1e5", 8),
@@ -37,7 +42,7 @@ def scalar(name: str, engine: type) -> dict[str, tuple[str, int]]:
             "convection": (p.churchill_bernstein("3.5e0", "d"), 6),
             "radiation": (p.radiation("30e0 + dz", "3.35e0"), 8),
             "external": (p.external("3.5e0", "d", "30e0 + dz", "3.35e0"), 6),
-            "internal": (p.gnielinski("mdot", "d", engine), 2),
+            "internal": (p.gnielinski("mdot", "d", engine, factor), 2),
             "above_ground": (p.loss_above_ground("d", "0.18e0", "100e0", "3.35e0"), 5),
             "self": (p.buried_self("d", "(d * 1.5e0)"), 8),
             "mutual": (p.buried_mutual("(d * 1.5e0)"), 8),
@@ -77,14 +82,17 @@ def scalar(name: str, engine: type) -> dict[str, tuple[str, int]]:
 
 
 def _scalar(name: str) -> None:
-    columns = lambda engine: ", ".join(f"round({t}, {n}) AS {c}" if n else f"{t} AS {c}" for c, (t, n) in scalar(name, engine).items())
-    pick = lambda engine: f"SELECT l_orderkey, l_linenumber, {columns(engine)} FROM ({fx.PIPES}) pipes"
+    columns = lambda engine: [f"round({t}, {n}) AS {c}" if n else f"{t} AS {c}" for c, (t, n) in scalar(name, engine).items()]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return frame(spark, sf_dir, pick(p.Spark))
+        compiled(spark)
+        rows = spread(frame(spark, sf_dir, fx.PIPES))
+        for column, text in AHEAD.items():
+            rows = rows.withColumn(column, F.expr(text))
+        return rows.selectExpr("l_orderkey", "l_linenumber", *columns(p.Spark))
 
     run.__name__ = f"phys_{name}"
-    query(duck_text(pick(p.Duck)))(run)
+    query(duck_text(f"SELECT l_orderkey, l_linenumber, {', '.join(columns(p.Duck))} FROM ({fx.PIPES}) pipes"))(run)
 
 
 for _name in ("hydraulics", "heat", "mass_transfer", "steam_pipes", "ground"):
@@ -104,7 +112,7 @@ def picked_sql(rows: str, water: Water = WATER) -> str:
 
 @query(duck_text(f"SELECT l_orderkey, l_linenumber, dn, d_in, d_casing FROM {picked_sql(f'(SELECT l_orderkey, l_linenumber, load_kw, {p.mass_flow("load_kw")} AS mdot FROM ({fx.PIPES}) x)')}"))
 def pipe_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, sf_dir, fx.PIPES).withColumn("pipe", network.pipe(p.column(p.mass_flow("load_kw"))))
+    rows = spread(frame(spark, sf_dir, fx.PIPES)).withColumn("pipe", network.pipe(p.column(p.mass_flow("load_kw"))))
     return rows.select("l_orderkey", "l_linenumber", "pipe.dn", "pipe.d_in", "pipe.d_casing")
 
 
