@@ -5,10 +5,11 @@ lower case), one of which any match must contain whole. A text is a candidate of
 occur in it, and only candidates are verified by the expression itself. A rule without mandatory trigrams scans every
 text. All of this is a filter in front of the exact search, so it loses nothing.
 
-``index`` writes the postings (trigram, doc_id) of the trigrams that some query names, and ``candidates`` intersects
-them (as bits, summed before the shuffle): that is for a corpus that is scanned again and again. A scan that reads every
-text anyway, as ``scan`` does, takes each text's part of the postings where it is: the sets are intersected in its row,
-trigram by trigram until one is missing, and the text is verified at once, so that no text is shuffled.
+``index`` makes the postings: a row for each trigram that some query names and each distinct text, by a hash of it, that
+holds the trigram. ``candidates`` intersects the postings of each set, as bits that are summed before the shuffle, and
+gives the rules whose query a text satisfies. Their table (hashes and names of rules, no texts) meets the texts again:
+it is broadcast while it has few rows, so that no text is shuffled, and beyond that bound texts are joined by the hash once.
+Texts of equal hash share candidates, which can only add some. Rules without a query scan in the same pass.
 
 Spans are counted in code points, end exclusive, found leftmost and without overlap for each rule, and listed by start,
 then by the rules' order. They follow from the lengths of the matches and of the gaps that the expression splits off,
@@ -28,7 +29,8 @@ import re._parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatlattice.llm.common import quoted
+from heatlattice.llm.common import checked_broadcast, quoted
+from heatlattice.storage import stored
 
 BLOCK = 256
 #: So many strings of one part of an expression are followed up at most.
@@ -143,10 +145,10 @@ def clauses(rules: list[Rule]) -> list[tuple[str, int, list[str]]]:
 
 
 def index(texts: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """The postings: gram and id of every trigram that a rule's query names and every text (doc_id, text) with it."""
+    """The postings: gram and id of every trigram that a rule's query names and every text (id, text) with it."""
     named = sorted({g for _, _, s in clauses(rules) for g in s})
-    low = texts.select("doc_id", F.lower("text").alias("low"))  # apart, or it is worked out for each trigram
-    present = low.select(F.col("doc_id").alias("id"), F.array_compact(F.array(*(F.when(F.col("low").contains(g), F.lit(g)) for g in named))).alias("grams"))
+    low = texts.select("id", F.lower("text").alias("low"))  # apart, or it is worked out for each trigram
+    present = low.select("id", F.array_compact(F.array(*(F.when(F.col("low").contains(g), F.lit(g)) for g in named))).alias("grams"))
     return present.select(F.explode("grams").alias("gram"), "id")
 
 
@@ -158,13 +160,6 @@ def candidates(postings: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     return found.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
 
-def candidate(rule: Rule, low: Column) -> Column:
-    """Whether a text in lower case has all trigrams of one of the rule's sets."""
-    sets = derived(rule)
-    in_all = lambda s: functools.reduce(Column.__and__, (low.contains(g) for g in sorted(s)))
-    return functools.reduce(Column.__or__, map(in_all, sets)) if sets else F.lit(True)
-
-
 def spans(rule: Rule, text: Column) -> Column:
     """array<struct<gap, own, kept>> of one rule's matches in a text, null without any, or of a null text."""
     regex, kept = rule.regex, None
@@ -196,10 +191,13 @@ def placed(sizes: str, order: int, kind: str) -> Column:
 
 
 def located(base: DataFrame, rules: list[Rule]) -> DataFrame:
-    """base (with text, never null, and no other column called low, text_*, size_* or found) and found: its spans by start."""
-    rows = base.withColumn("low", F.lower("text"))
+    """base (with text, never null, and no other column called id, kinds, text_*, size_* or found) and found: its spans by start."""
+    keyed = base.withColumn("id", F.xxhash64("text"))
+    chosen = stored(candidates(index(keyed.select("id", "text"), rules), rules))
+    rows = keyed.join(checked_broadcast(chosen, chosen.count()), "id", "left").drop("id")
     # one step after the other, so that nothing is worked out twice and only candidates meet an expression
-    rows = rows.withColumns({f"text_{r.kind}": F.when(candidate(r, F.col("low")), F.col("text")) for r in rules}).drop("low")
+    may = lambda r: F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)) if derived(r) else F.lit(True)
+    rows = rows.withColumns({f"text_{r.kind}": F.when(may(r), F.col("text")) for r in rules}).drop("kinds")
     rows = rows.withColumns({f"size_{r.kind}": spans(r, F.col(f"text_{r.kind}")) for r in rules}).drop(*(f"text_{r.kind}" for r in rules))
     each = [placed(f"size_{r.kind}", order, r.kind) for order, r in enumerate(rules)]
     none = functools.reduce(Column.__and__, (F.col(f"size_{r.kind}").isNull() for r in rules))

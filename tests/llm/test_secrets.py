@@ -48,12 +48,24 @@ def test_any_column_name_goes_through(docs):
     assert sorted(r.spans for r in secrets.scan(table).collect()) == ["", "assign:0:14"]
 
 
-def test_index_and_row_agree(docs):
-    table = docs(list(enumerate(texts()))).select("doc_id", "text")
+def test_candidates_are_the_texts_whose_trigrams_satisfy_a_query(spark):
+    table = spark.createDataFrame(list(enumerate(texts())), "id long, text string")
     kinds = {r.id: set(r.kinds) for r in secrets.candidates(secrets.index(table)).collect()}
     for rule in (r for r in secrets.RULES if secrets.derived(r)):
-        rows = table.select("doc_id", secrets.candidate(rule, secrets.F.lower("text")).alias("is")).collect()
-        assert {r.doc_id for r in rows if r["is"]} == {i for i, k in kinds.items() if rule.kind in k}, rule.kind
+        fit = {i for i, t in enumerate(texts()) if any(all(g in t.lower() for g in s) for s in secrets.derived(rule))}
+        assert fit == {i for i, k in kinds.items() if rule.kind in k}, rule.kind
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_candidates_beyond_the_bound_are_joined_by_a_shuffle(docs, monkeypatch, most):
+    from heatlattice.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    rows = [*enumerate(texts()), (7, texts()[7]), (1000, None)]
+    found = secrets.scan(docs(rows))
+    joins = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in joins) == bool(most)
+    assert sorted((r.doc_id, r.base_sha256) for r in found.collect()) == sorted((i, hashlib.sha256(brute(t).encode()).hexdigest()) for i, t in rows)
 
 
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
