@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heatlattice.functions import physics as p
 from heatlattice.functions.params import ECONOMICS, FAILURES, GROUND, PUBLISHED, Ground
-from heatlattice.operators import centrality, designs, graph, netsci, search, terrain
+from heatlattice.operators import centrality, designs, graph, netsci, regression, search, terrain
 from heatlattice.plans import fixtures as fx
 from heatlattice.plans.fixtures import duck_text, frame
 from heatlattice.plans.queries import ABOVE, COST_COLUMNS, COVER, FLOW, SITES, K, cost_sql, cover_of, design_of, design_sql, grid, mst_sql, picked_sql, route_sql
@@ -288,6 +288,33 @@ def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(means(out, K, "size"), [K, "size"])
 
 
+_METRICS = """dp AS (SELECT up.network_id, up.node, max(up.hops) AS hops, sum(coalesce(e.l2d, 0e0)) AS metres FROM up LEFT JOIN e ON e.network_id = up.network_id AND e.v = up.ancestor GROUP BY 1, 2),
+  mt AS (SELECT network_id, sum(metres * demand_kw) / sum(demand_kw) / 1000 AS dist_km, sum(hops * demand_kw) / sum(demand_kw) AS mean_hops, max(hops)::DOUBLE AS max_hops FROM dp JOIN nd USING (network_id, node) GROUP BY 1),
+  dg AS (SELECT network_id // 10000 AS id, total / greatest(delivered_mwh, 1e-9) AS cost, length_l3d / 1000 AS length_km, dist_km, mean_hops, max_hops FROM cost JOIN mt USING (network_id)),
+  rs AS (SELECT id, count(*) AS designs, corr(cost, length_km) AS a, corr(cost, dist_km) AS b, corr(length_km, dist_km) AS c, corr(cost, mean_hops) AS h, corr(cost, max_hops) AS m FROM dg GROUP BY 1)"""
+
+
+@query(
+    duck_text(
+        f"WITH RECURSIVE {route_sql(DRAWN)}, {SPANNING_SQL.replace(HUBBED, DRAWN)}, {_METRICS} "
+        f"SELECT id AS network_id, designs, round(a, 6) AS r_length, round(b, 6) AS r_dist, round(h, 6) AS r_hops, round(m, 6) AS r_max_hops, round(a * a, 6) AS r2_length, round((a * a + b * b - 2 * a * b * c) / (1 - c * c), 6) AS r2_both FROM rs"
+    )
+)
+def design_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cost of a design goes by, over all topologies, sizes and draws of a network: its length, its distance to the hub, its hops.
+
+    The SQL has the two-predictor fit from the three correlations.
+    """
+    sites = graph.stored(frame(spark, sf_dir, DRAWN))
+    routes = graph.stored(terrain.all_routes(sites, grid(spark, sf_dir), fx.GRID))
+    rows = designs.metrics_of(designs.spanning(sites, routes), routes, loads(sites))
+    rows = graph.stored(rows.withColumn(K, F.floor(F.col(K) / (100 * designs.VARIANTS))))
+    out = rows.groupBy(K).agg(F.count("*").alias("designs"), *(F.corr("cost", c).alias(n) for c, n in (("length_km", "r_length"), ("dist_km", "r_dist"), ("mean_hops", "r_hops"), ("max_hops", "r_max_hops"))))
+    for name, xs in (("r2_length", ["length_km"]), ("r2_both", ["length_km", "dist_km"])):
+        out = out.join(regression.least_squares(rows, [K], "cost", xs).select(K, F.col("r2").alias(name)), K)
+    return rounded(out, **{c: 6 for c in out.columns if c.startswith("r")})
+
+
 #: Factors of the relief.
 FACTORS = {i: f for i, f in enumerate([0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0])}
 _SCALED = ", ".join(f"({i}, {f!r}e0)" for i, f in FACTORS.items())
