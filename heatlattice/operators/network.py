@@ -226,10 +226,19 @@ def load_bins(spark, least: float = 0.10, hours: int = 8760, bins: int = 40, ful
     """load (middle of the bin) and hours of each of ``bins`` equal bins of the load-duration curve, the last closed."""
     m0 = full_load / 8760
     q = f"(1e0 - {p.n(1 - least)} * pow((id + 0.5e0) / {p.n(hours)}, {p.n((m0 - least) / (1 - m0))}))"
-    curve = spark.range(hours).select(F.expr(q).alias("q"))
+    return binned(spark.range(hours).select(F.expr(q).alias("q")), bins)
+
+
+def binned(curve: DataFrame, bins: int = 40) -> DataFrame:
+    """bin, load (its middle) and hours of ``bins`` equal bins from the least load to the full one (1); curve: q, a row an hour.
+
+    Null loads are left out; where all loads are full there is one bin, the first; bins without hours have no row.
+    """
+    curve = curve.filter("q is not null")
     low = curve.agg(F.min("q").alias("low"))
-    binned = curve.join(F.broadcast(low)).withColumn("bin", F.least(F.floor((F.col("q") - F.col("low")) / ((1 - F.col("low")) / bins)), F.lit(bins - 1)).cast("int"))
-    return binned.groupBy("bin").agg(F.count("*").alias("hours"), F.first("low").alias("low")).select("bin", (F.col("low") + (F.col("bin") + 0.5) * (1 - F.col("low")) / bins).alias("load"), "hours")
+    span = F.when(F.col("low") < 1, (1 - F.col("low")) / bins).otherwise(1.0)
+    placed = curve.join(F.broadcast(low)).withColumn("bin", F.least(F.floor((F.col("q") - F.col("low")) / span), F.lit(bins - 1)).cast("int"))
+    return placed.groupBy("bin").agg(F.count("*").alias("hours"), F.first("low").alias("low")).select("bin", (F.col("low") + (F.col("bin") + 0.5) * (1 - F.col("low")) / bins).alias("load"), "hours")
 
 
 def seasonal_cost(design: DataFrame, above: DataFrame, demand: DataFrame, bins: DataFrame, least: float = 0.10, coolest: float = 80.0, e: Economics = ECONOMICS) -> DataFrame:

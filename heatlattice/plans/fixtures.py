@@ -1,7 +1,7 @@
 """Networks, points, grids and pipes made of the generic tables, as SQL that both engines read.
 
 Names in braces stand for tables. F1 is a supply tree a region: hub, nations, suppliers. F2 takes embeddings as points, a network a
-label. F3 is an elevation grid by formula. F4 takes order lines as pipes. F5 is F1 with chords between nations.
+label. F3 is an elevation grid: hills by formula, and in every cell the mean quantity of the order lines that fall into it. F4 takes order lines as pipes. F5 is F1 with chords between nations.
 """
 
 from __future__ import annotations
@@ -35,19 +35,20 @@ PIPES = """
 SELECT l_orderkey, l_linenumber, l_quantity * 2e0 AS mdot, l_extendedprice / 100e0 AS length, l_quantity / 100e0 + 0.01e0 AS d, l_discount AS disc, l_quantity * 50e0 AS load_kw, l_tax * 100e0 AS dz FROM {lineitem}"""
 
 GRID = (0.0, 0.0, 100.0, 41, 31)
-DEM = """SELECT i, j, 100e0 + 40e0 * sin(i / 5e0) + 25e0 * cos(j / 4e0) + (i * 7 + j * 3) % 11 AS z
-FROM (SELECT CAST(i AS INT) AS i FROM ({ri}) a) x CROSS JOIN (SELECT CAST(j AS INT) AS j FROM ({rj}) b) y"""
+DEM = """SELECT i, j, 100e0 + 40e0 * sin(i / 5e0) + 25e0 * cos(j / 4e0) + coalesce(rough, 0e0) AS z
+FROM (SELECT CAST(i AS INT) AS i FROM ({ri}) a) x CROSS JOIN (SELECT CAST(j AS INT) AS j FROM ({rj}) b) y
+LEFT JOIN (SELECT CAST(l_partkey % {nx} AS INT) AS i, CAST(l_suppkey % {ny} AS INT) AS j, avg(l_quantity) / 4e0 AS rough FROM {lineitem} GROUP BY 1, 2) l USING (i, j)"""
 
 
 def spark_text(text: str, sf_dir: str) -> str:
     nx, ny = GRID[3:]
     names = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    return text.format(**names, one=0, two=1, ri=f"SELECT id AS i FROM range({nx})", rj=f"SELECT id AS j FROM range({ny})")
+    return text.format(**names, one=0, two=1, ri=f"SELECT id AS i FROM range({nx})", rj=f"SELECT id AS j FROM range({ny})", nx=nx, ny=ny)
 
 
 def duck_text(text: str) -> str:
     nx, ny = GRID[3:]
-    return text.format(**{t: t for t in TABLES}, one=1, two=2, ri=f"SELECT range AS i FROM range({nx})", rj=f"SELECT range AS j FROM range({ny})")
+    return text.format(**{t: t for t in TABLES}, one=1, two=2, ri=f"SELECT range AS i FROM range({nx})", rj=f"SELECT range AS j FROM range({ny})", nx=nx, ny=ny)
 
 
 def frame(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -381,9 +381,14 @@ BINS = f"""cv AS (SELECT 1e0 - 0.9e0 * pow((range + 0.5e0) / 8760e0, {p.n((M0 -
   bn AS (SELECT low + (b + 0.5e0) * (1 - low) / 40 AS load, count(*) AS hours, b FROM (SELECT low, least(39, floor((q - low) / ((1 - low) / 40)))::INT AS b FROM cv, lo) GROUP BY b, low)"""
 
 
-@query(f"WITH {BINS} SELECT b AS bin, round(load, 8) AS load, hours FROM bn")
+#: A curve of the tables: what is shipped on a day, as a share of the greatest day's.
+SHIPPED = "SELECT CAST(n AS DOUBLE) / max(n) OVER () AS q FROM (SELECT count(*) AS n FROM {lineitem} GROUP BY l_shipdate) d"
+
+
+@query(duck_text(f"WITH cv AS ({SHIPPED}), lo AS (SELECT min(q) AS low FROM cv) SELECT bin, round(low + (bin + 0.5e0) * (1 - low) / 40, 8) AS load, count(*) AS hours FROM (SELECT low, least(39, floor((q - low) / ((1 - low) / 40)))::INT AS bin FROM cv, lo) GROUP BY bin, low"))
 def load_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(network.load_bins(spark), load=8)
+    """The bins of an observed curve, as seasonal_cost has those of the published one."""
+    return rounded(network.binned(frame(spark, sf_dir, SHIPPED)), load=8)
 
 
 @query(duck_text(f"""WITH RECURSIVE {ABOVE}, {DESIGN}, {BINS}, wb AS (SELECT *, 80e0 + 30e0 * (load - 0.1e0) / 0.9e0 AS ts FROM bn), ws AS (SELECT *, load * 60e0 / (ts - 50e0) AS sc FROM wb),

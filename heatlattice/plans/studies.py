@@ -106,12 +106,13 @@ def terrain_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.compared(graph.spanning_tree_of_points(sites), graph.spanning_tree(routes))
 
 
-@query()
+# These three read no table, so they are no registered queries.
+
+
 def layout_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fitted_layout(spark, PUBLISHED["length_1e4_m"]["Star"] * 1e4, PUBLISHED["length_1e4_m"]["MST"] * 1e4)
 
 
-@query()
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = layout_fit(spark, sf_dir).first()  # one row
     out = search.calibrated(best.users, best.seed, best.scale, {k: PUBLISHED[f"{k}_1e7"]["MST"] * 1e7 for k in ("pipe", "pressure", "heat")})
@@ -139,7 +140,6 @@ def null_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centrality.degree_ratio(deg, centrality.null_models_of(deg))
 
 
-@query()
 def published_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published figures against the calibrated model."""
     best = layout_fit(spark, sf_dir).first()  # one row
