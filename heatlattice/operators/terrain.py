@@ -14,20 +14,36 @@ from heatlattice.operators.graph import KEY, canonical
 SPACING = 25.0
 
 
+#: Cells of a tile's side, and bytes of tiles that may be broadcast.
+TILE, BROADCAST_BYTES = 32, 16_000_000
+
+
+def tiled(dem: DataFrame, nx: int, ny: int) -> DataFrame:
+    """ti, tj, zs: the grid (i, j, z; a row a cell) in square tiles, row by row, with the first cells of the next ones."""
+    near = lambda c: F.expr(f"if({c} % {TILE} = 0 and {c} > 0, array({c} div {TILE}, {c} div {TILE} - 1), array({c} div {TILE}))")
+    cells = dem.select(F.explode(near("i")).alias("ti"), "i", "j", "z").select("ti", F.explode(near("j")).alias("tj"), "i", "j", "z")
+    rows = cells.groupBy(F.col("ti").cast("int").alias("ti"), F.col("tj").cast("int").alias("tj")).agg(F.array_sort(F.collect_list(F.struct("i", "j", "z"))).alias("zs"))
+    return rows.select("ti", "tj", "zs.z").withColumnRenamed("z", "zs")
+
+
 def sampled(points: DataFrame, dem: DataFrame, x0: float, y0: float, step: float, nx: int, ny: int) -> DataFrame:
-    """points (x, y, ...) with bilinear z from dem (i, j, z); points outside take the border.
+    """points (x, y, ...) with bilinear z from dem (i, j, z), a whole grid of at least two by two cells; points outside take the border.
 
-    Each point becomes four corner rows that meet the grid in one equi-join on (i, j).
+    A point meets the tile that holds its four corners, and reads them from the array. The size of the grid says how many
+    bytes of tiles there are: up to BROADCAST_BYTES they go to the points, beyond that points are shuffled by tile.
     """
     place = lambda c, at, n: F.least(F.greatest((F.col(c) - at) / step, F.lit(0.0)), F.lit(n - 1.0001))
     rest = points.columns
     own = points.withColumn("fi", place("x", x0, nx)).withColumn("fj", place("y", y0, ny))
     own = own.withColumns({"i0": F.floor("fi").cast("int"), "j0": F.floor("fj").cast("int")})
-    own = own.withColumns({"tx": F.col("fi") - F.col("i0"), "ty": F.col("fj") - F.col("j0")})
-    corner = lambda di, dj: F.struct((F.col("i0") + di).alias("i"), (F.col("j0") + dj).alias("j"), ((F.col("tx") if di else 1 - F.col("tx")) * (F.col("ty") if dj else 1 - F.col("ty"))).alias("share"))
-    corners = own.withColumn("c", F.explode(F.array(*(corner(di, dj) for di in (0, 1) for dj in (0, 1))))).select(*rest, "c.*")
-    joined = corners.join(dem.select("i", "j", F.col("z").alias("corner_z")), ["i", "j"])
-    return joined.groupBy(*rest).agg(F.sum(F.col("share") * F.col("corner_z")).alias("z"))
+    own = own.withColumns({"ti": F.expr(f"cast(i0 div {TILE} as int)"), "tj": F.expr(f"cast(j0 div {TILE} as int)"), "tx": F.col("fi") - F.col("i0"), "ty": F.col("fj") - F.col("j0")})
+    tiles = tiled(dem, nx, ny)
+    small = 8 * (nx + nx // TILE + 1) * (ny + ny // TILE + 1) <= BROADCAST_BYTES
+    joined = own.join(F.broadcast(tiles) if small else tiles, ["ti", "tj"])
+    wide = f"(least((tj + 1) * {TILE}, {ny - 1}) - tj * {TILE} + 1)"
+    corner = lambda di, dj: f"zs[(i0 + {di} - ti * {TILE}) * {wide} + j0 + {dj} - tj * {TILE}]"
+    z = f"{corner(0, 0)} * (1 - tx) * (1 - ty) + {corner(1, 0)} * tx * (1 - ty) + {corner(0, 1)} * (1 - tx) * ty + {corner(1, 1)} * tx * ty"
+    return joined.select(*rest, F.expr(z).alias("z"))
 
 
 def profile(routes: DataFrame, spacing: float = SPACING) -> DataFrame:
