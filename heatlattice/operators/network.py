@@ -12,6 +12,7 @@ from heatlattice.functions import physics as p
 from heatlattice.functions.params import CATALOGUE, ECONOMICS, FAILURES, R_MAX, ROUGHNESS, STEAM, U_MAX, WATER, Economics, Water
 from heatlattice.operators import graph
 from heatlattice.operators.graph import KEY
+from heatlattice.storage import stored
 
 # --- flow
 
@@ -317,6 +318,40 @@ def best_sets(cover: DataFrame, cost: DataFrame) -> DataFrame:
     return one.select(KEY, F.lit(1).alias("k"), *name(1), none.alias("u2"), none.alias("v2"), "covered", "cost").unionByName(two)
 
 
+def best_triples(cover: DataFrame, cost: DataFrame, least: DataFrame) -> DataFrame:
+    """network_id, covered, cost, u1, v1 to u3, v3: the set of up to three candidates that covers most of each network.
+
+    least: network_id, covered that some set of three reaches (a greedy one). Candidates are put in the order of what each
+    covers alone, so a pair, and a third behind it, can only be of use if what they cover together and alone reaches
+    that: all else is dropped before it is made. Of what is left the covered edges are counted out. Ties go to the
+    cheaper set, then to the lesser names. Sets of fewer have nulls. Candidates that cover nothing are in no set; a
+    network without others has no row.
+    """
+    alone = cover.groupBy(KEY, "u", "v").agg(F.sum("weight").alias("alone")).filter("alone > 0").join(cost, [KEY, "u", "v"])
+    place = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("alone"), "cost", "u", "v"))
+    one = stored(alone.withColumn("i", place).join(least.select(KEY, F.col("covered").alias("least")), KEY))
+    edges = stored(cover.join(one.select(KEY, "u", "v", "i"), [KEY, "u", "v"]).select(KEY, "i", "edge", "weight"))
+    slack = F.col("least") * (1 - 1e-9)
+    x, y, z = (one.select(KEY, F.col("i").alias(f"i{n}"), F.col("alone").alias(f"alone{n}"), F.col("cost").alias(f"cost{n}"), *(["least"] if n == 1 else [])) for n in (1, 2, 3))
+    pairs = x.join(y, KEY).filter("i1 < i2").filter(F.col("alone1") + 2 * F.col("alone2") >= slack)
+    ex, ey = (edges.select(KEY, F.col("i").alias(f"i{n}"), "edge", F.col("weight").alias(f"w{n}")) for n in (1, 2))
+    shared = pairs.select(KEY, "i1", "i2").join(ex, [KEY, "i1"]).join(ey, [KEY, "i2", "edge"]).groupBy(KEY, "i1", "i2").agg(F.sum("w1").alias("shared"))
+    pairs = pairs.join(shared, [KEY, "i1", "i2"], "left").withColumn("two", F.col("alone1") + F.col("alone2") - F.coalesce("shared", F.lit(0.0)))
+    pairs = stored(pairs.select(KEY, "i1", "i2", "two", "alone2", (F.col("cost1") + F.col("cost2")).alias("cost"), "least"))
+    triples = pairs.filter(F.col("two") + F.col("alone2") >= slack).join(z, KEY).filter("i2 < i3").filter(F.col("two") + F.col("alone3") >= slack)
+    triples = stored(triples.select(KEY, "i1", "i2", "i3", (F.col("cost") + F.col("cost3")).alias("cost")))
+    named = triples.select(KEY, "i1", "i2", "i3", "cost", F.explode(F.array("i1", "i2", "i3")).alias("i")).join(edges, [KEY, "i"])
+    counted = named.groupBy(KEY, "i1", "i2", "i3", "cost", "edge").agg(F.first("weight").alias("weight")).groupBy(KEY, "i1", "i2", "i3", "cost").agg(F.sum("weight").alias("covered"))
+    none = F.lit(None).cast("int")
+    sets = counted.unionByName(pairs.select(KEY, "i1", "i2", none.alias("i3"), "cost", F.col("two").alias("covered"))).unionByName(one.select(KEY, F.col("i").alias("i1"), none.alias("i2"), none.alias("i3"), "cost", F.col("alone").alias("covered")))
+    names = one.select(KEY, "i", F.struct("u", "v").alias("name"))
+    for n in (1, 2, 3):
+        sets = sets.join(names.select(KEY, F.col("i").alias(f"i{n}"), F.col("name").alias(f"n{n}")), [KEY, f"i{n}"], "left")
+    sets = sets.select(KEY, F.round("covered", 9).alias("covered"), F.round("cost", 9).alias("cost"), F.array_sort(F.array_compact(F.array("n1", "n2", "n3"))).alias("set"))
+    best = sets.groupBy(KEY).agg(F.min(F.struct((-F.col("covered")).alias("a"), "cost", "set")).alias("b"))
+    return best.select(KEY, (-F.col("b.a")).alias("covered"), "b.cost", *(F.get("b.set", F.lit(n))[c].alias(f"{c}{n + 1}") for n in range(3) for c in "uv"))
+
+
 def frontier(sets: DataFrame, bins: int = 4000) -> DataFrame:
     """The running best coverage along equal cost bins, where it grows."""
     top = sets.groupBy(KEY).agg(F.max("cost").alias("most"))

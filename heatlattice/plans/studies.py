@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heatlattice.functions import physics as p
 from heatlattice.functions.params import ECONOMICS, FAILURES, GROUND, PUBLISHED, Ground
-from heatlattice.operators import centrality, designs, graph, netsci, regression, search, terrain
+from heatlattice.operators import centrality, designs, graph, netsci, network, regression, search, terrain
 from heatlattice.plans import fixtures as fx
 from heatlattice.plans.fixtures import duck_text, frame
 from heatlattice.plans.queries import ABOVE, COST_COLUMNS, COVER, FLOW, SITES, K, cost_sql, cover_of, design_of, design_sql, grid, mst_sql, picked_sql, route_sql
@@ -46,6 +46,21 @@ def cover_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_cover(*cover_of(spark, sf_dir), 2).select(K, "covered")
 
 
+_TRIPLES = """cm AS (SELECT c.* FROM cd c WHERE EXISTS (SELECT 1 FROM cv WHERE cv.network_id = c.network_id AND cv.u = c.u AND cv.v = c.v AND cv.weight > 0)),
+  s3 AS (SELECT network_id, l3d AS cost, [(u, v)] AS set FROM cm UNION ALL SELECT a.network_id, a.l3d + b.l3d, [(a.u, a.v), (b.u, b.v)] FROM cm a JOIN cm b ON a.network_id = b.network_id AND (a.u, a.v) < (b.u, b.v)
+    UNION ALL SELECT a.network_id, a.l3d + b.l3d + c.l3d, [(a.u, a.v), (b.u, b.v), (c.u, c.v)] FROM cm a JOIN cm b ON a.network_id = b.network_id AND (a.u, a.v) < (b.u, b.v) JOIN cm c ON c.network_id = a.network_id AND (b.u, b.v) < (c.u, c.v)),
+  t3 AS (SELECT s3.*, (SELECT sum(weight) FROM (SELECT DISTINCT edge, weight FROM cv WHERE cv.network_id = s3.network_id AND list_contains(s3.set, (cv.u, cv.v)))) AS covered FROM s3),
+  b3 AS (SELECT * FROM t3 QUALIFY row_number() OVER (PARTITION BY network_id ORDER BY covered DESC, cost, set) = 1)"""
+
+
+@query(duck_text(f"WITH RECURSIVE {ABOVE}, {FLOW}, {COVER}, {_TRIPLES} SELECT network_id, covered, cost, " + ", ".join(f"coalesce(set[{n}][{i + 1}], -1)::BIGINT AS {c}{n}" for n in (1, 2, 3) for i, c in enumerate("uv")) + " FROM b3"))
+def cover_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best set of up to three chords, of all."""
+    cover, cost = (graph.stored(x) for x in cover_of(spark, sf_dir))
+    greedy = search.greedy_cover(cover, cost, 3, "gain").groupBy(K).agg(F.sum("gain").alias("covered"))
+    return network.best_triples(cover, cost, greedy).fillna(-1)
+
+
 def augmentation_sql(steps: int = 3) -> str:
     """Step by step: the best chord for its money, sized for the worst of the bridges that are left, and what it leaves."""
     ctes, left = [f"b0 AS (SELECT network_id, v AS edge, flow AS stranded_kw, {p.failure_rate('l3d', 'dn', 'u_mps', 'd_in')} * {p.n(FAILURES.repair_h)} * flow / 1000e0 AS eud FROM pk)"], "b0"

@@ -1,6 +1,7 @@
 """Operators whose work is linear, against plain versions that look at every pair or every scenario."""
 
 import heapq
+import itertools
 import math
 import random
 from collections import defaultdict
@@ -167,3 +168,28 @@ def test_sums_up_and_down_a_long_path(spark):
     assert {r.node: r.x for r in graph.climbed(tree, ["network_id"], values, {"x": F.sum}).collect()} == {i: float(sum(range(i + i % 2, n + 1, 2))) for i in range(n + 1)}
     far = graph.from_root(tree, ["network_id"], spark.createDataFrame([(1, i, 0.5) for i in range(1, n + 1)], "network_id long, node long, length double"))
     assert {r.node: r.far for r in far.collect()} == {i: i / 2 for i in range(n + 1)}
+
+
+def test_best_triples_of_all(spark):
+    """Against every set of up to three, with chords that cover nothing, ties, and networks of one and two chords."""
+    from heatlattice.operators import network, search
+
+    rng = random.Random(6)
+    cover, cost = [], []
+    for net in range(8):
+        weight = {e: float(rng.randint(0, 6)) for e in range(10)}
+        for c in range([1, 2, 3, 5, 9, 9, 9, 12][net]):
+            cost.append((net, c, c + 100, float(rng.randint(1, 9))))
+            cover += [(net, c, c + 100, e, weight[e]) for e in rng.sample(range(10), rng.randint(0, 4))]
+    expected = {}
+    for net in range(8):
+        sets = {(u, v): {e: w for n, a, b, e, w in cover if (n, a, b) == (net, u, v)} for n, u, v, _ in cost if n == net}
+        price = {(u, v): c for n, u, v, c in cost if n == net}
+        useful = sorted(s for s in sets if sum(sets[s].values()) > 0)
+        every = [(-sum({e: w for s in chosen for e, w in sets[s].items()}.values()), sum(price[s] for s in chosen), chosen) for k in (1, 2, 3) for chosen in itertools.combinations(useful, k)]
+        if every:
+            covered, c, chosen = min(every)
+            expected[net] = (-covered, c, *(x for s in chosen for x in s), *([None] * (6 - 2 * len(chosen))))
+    tables = spark.createDataFrame(cover, "network_id long, u long, v long, edge long, weight double"), spark.createDataFrame(cost, "network_id long, u long, v long, cost double")
+    greedy = search.greedy_cover(*tables, 3, "gain").groupBy("network_id").agg({"gain": "sum"}).toDF("network_id", "covered")
+    assert {r[0]: tuple(r[1:]) for r in network.best_triples(*tables, greedy).collect()} == expected
