@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from heatlattice.llm.common import hash_sample, id_and_text, map_rows, whole_texts
 
 PER_LABEL, TRAIN_CHARS, SEED = 3000, 32_000_000, 11
-WINDOW, LEVEL, STEM, RATIO, LEAST_SHARE = 32, 3, 4, 10.0, 0.015
+WINDOW, LEVEL, STEM, RATIO, LEAST_SHARE = 32, 3, 3, 10.0, 0.015
 ORDINARY_BYTES, TOXIC_BYTES = 12_000, 2_048
 #: A window that saves so many bytes counts as a toxic one.
 STRONG = 3
