@@ -47,7 +47,12 @@ LEVELS = 16
 
 
 def nearest_of_points(nodes: DataFrame, k: int = 8, metric: str = "euclidean") -> DataFrame:
-    """Distinct pairs u < v, with w, of each point (network_id, node, x, y) with its k nearest, by w, then node; no other pair is made.
+    """Distinct pairs u < v, with w, of each point with its neighbours()."""
+    return neighbours(nodes, k, metric).select(KEY, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "w").distinct()
+
+
+def neighbours(nodes: DataFrame, k: int = 8, metric: str = "euclidean") -> DataFrame:
+    """network_id, a, b, w: the k nearest b, by w, then node, of each point a (network_id, node, x, y); no other pair is made.
 
     Networks of up to MOST_POINTS points are searched in one task each, some rows of distances at a time. Larger ones are
     searched by cells. Every place starts at the finest cells of which its own holds more than k places, and looks at
@@ -59,7 +64,7 @@ def nearest_of_points(nodes: DataFrame, k: int = 8, metric: str = "euclidean") -
     """
     points = nodes.filter("x is not null and y is not null").groupBy(KEY, "node").agg(F.min(F.struct("x", "y")).alias("at")).select(KEY, "node", "at.x", "at.y")
     sized = stored(points.join(points.groupBy(KEY).agg(F.count("*").alias("points")), KEY))
-    schema = f"{KEY} {dict(nodes.dtypes)[KEY]}, u long, v long, w double"
+    schema = f"{KEY} {dict(nodes.dtypes)[KEY]}, a long, b long, w double"
 
     def searched(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
@@ -75,9 +80,9 @@ def nearest_of_points(nodes: DataFrame, k: int = 8, metric: str = "euclidean") -
             row, to = row[order], to[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)
             row, to = row[place < near], to[place < near]
-            found.append(np.c_[np.minimum(own[row], to), np.maximum(own[row], to), w[row, to]])
-        found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3))
-        out = pd.DataFrame({"u": name[found[:, 0].astype(int)], "v": name[found[:, 1].astype(int)], "w": found[:, 2]})
+            found.append((own[row], to, w[row, to]))
+        a, b, w = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, dtype=int),) * 3
+        out = pd.DataFrame({"a": name[a], "b": name[b], "w": w.astype(float)})
         out.insert(0, KEY, pdf[KEY].iloc[0])
         return out
 
@@ -87,7 +92,7 @@ def nearest_of_points(nodes: DataFrame, k: int = 8, metric: str = "euclidean") -
 
 
 def nearest_by_cells(points: DataFrame, k: int, metric: str) -> DataFrame:
-    """network_id, u < v and w by a cell index; every network has its own cells."""
+    """neighbours() by a cell index; every network has its own cells."""
     order = Window.partitionBy(KEY, "x", "y").orderBy("node")
     least = points.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k + 1)
     places = least.groupBy(KEY, "x", "y").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
@@ -125,7 +130,7 @@ def nearest_by_cells(points: DataFrame, k: int, metric: str) -> DataFrame:
                 break
     named = points.join(places.select(KEY, "x", "y", "place"), [KEY, "x", "y"]).select(KEY, "node", "place").join(lists, [KEY, "place"])
     near = named.select(KEY, F.col("node").alias("a"), F.explode(F.slice(F.filter("near", lambda e: e["v"] != F.col("node")), 1, k)).alias("e"))
-    return near.select(KEY, F.least("a", "e.v").alias("u"), F.greatest("a", "e.v").alias("v"), "e.w").distinct()
+    return near.select(KEY, "a", F.col("e.v").alias("b"), "e.w")
 
 
 def canonical(edges: DataFrame) -> DataFrame:

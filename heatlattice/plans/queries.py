@@ -573,9 +573,23 @@ def hanan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steiner.hanan(frame(spark, sf_dir, fx.POINTS))
 
 
-@query()
+def fermat_sql(steps: int = 64) -> str:
+    """The point of least distance to three, (xa, ya) and so on, in the same steps."""
+    gap = lambda c: f"sqrt((x{c} - p.x) * (x{c} - p.x) + (y{c} - p.y) * (y{c} - p.y))"
+    new = lambda z: f"({z}a / d.a + {z}b / d.b + {z}c / d.c) / (1e0 / d.a + 1e0 / d.b + 1e0 / d.c)"
+    corners = " ".join(f"WHEN d.{c} < 1e-12 THEN {{'x': x{c}, 'y': y{c}}}" for c in "abc")
+    step = f"list_transform([{{{', '.join(f"'{c}': {gap(c)}" for c in 'abc')}}}], lambda d: CASE {corners} ELSE {{'x': {new('x')}, 'y': {new('y')}}} END)[1]"
+    moved = f"list_transform([{step}], lambda q: CASE WHEN sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) < 1e-10 THEN {{'x': p.x, 'y': p.y}} ELSE q END)[1]"
+    return f"list_reduce(list_transform(range({steps}), lambda i: {{'x': 0e0, 'y': 0e0}}), lambda p, i: {moved}, {{'x': (xa + xb + xc) / 3e0, 'y': (ya + yb + yc) / 3e0}})"
+
+
+@query(duck_text(f"""WITH pt AS ({fx.POINTS}), k AS (SELECT network_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY network_id, a ORDER BY w, b) AS r FROM (SELECT network_id, u AS a, v AS b, w FROM ({PAIRS}) UNION ALL SELECT network_id, v, u, w FROM ({PAIRS}))) WHERE r <= 6),
+  t AS (SELECT DISTINCT p.network_id, list_sort([p.a, p.b, q.b]) AS t FROM k p JOIN k q ON p.network_id = q.network_id AND p.a = q.a AND p.b < q.b),
+  c AS (SELECT t.network_id, a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb, c.x AS xc, c.y AS yc FROM t JOIN pt a ON a.network_id = t.network_id AND a.node = t.t[1] JOIN pt b ON b.network_id = t.network_id AND b.node = t.t[2] JOIN pt c ON c.network_id = t.network_id AND c.node = t.t[3]),
+  f AS (SELECT network_id, {fermat_sql().replace('{', '{{').replace('}', '}}')} AS p FROM c)
+  SELECT DISTINCT network_id, round(p.x, 5) AS x, round(p.y, 5) AS y FROM f WHERE NOT EXISTS (SELECT 1 FROM pt WHERE pt.network_id = f.network_id AND pow(pt.x - f.p.x, 2e0) + pow(pt.y - f.p.y, 2e0) <= 1e-12)"""))
 def steiner_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return steiner.candidates(frame(spark, sf_dir, fx.POINTS))
+    return rounded(steiner.candidates(frame(spark, sf_dir, fx.POINTS)), x=5, y=5).distinct()
 
 
 @query()
