@@ -272,10 +272,16 @@ def slope_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- robustness: sizes and draws of nodes, relief
 
 SIZES, DRAWS = [8, 16, 24], 4
-#: A network of each size and draw: the sites with the least digests, node ids from 0; its key is network_id * 100 + 10 * size + draw.
-DRAWN = f"""SELECT network_id * 100 + 10 * size + draw AS network_id, place - 1 AS node, x, y FROM (
+
+
+def drawn(sizes: list[int], draws: int) -> str:
+    """A network of each size and draw: the sites with the least digests, node ids from 0; its key is network_id * 100 + 10 * size + draw."""
+    return f"""SELECT network_id * 100 + 10 * size + draw AS network_id, place - 1 AS node, x, y FROM (
   SELECT network_id, size, n, draw, x, y, row_number() OVER (PARTITION BY network_id, size, draw ORDER BY md5(concat(CAST(draw AS VARCHAR(9)), ':', CAST(node AS VARCHAR(20)))), node) AS place
-  FROM ({SITES}) sites CROSS JOIN (VALUES {', '.join(f'(CAST({i} AS BIGINT), {n})' for i, n in enumerate(SIZES))}) sizes(size, n) CROSS JOIN (VALUES {', '.join(f'(CAST({i} AS BIGINT))' for i in range(DRAWS))}) draws(draw)) drawn WHERE place <= n"""
+  FROM ({SITES}) sites CROSS JOIN (VALUES {', '.join(f'(CAST({i} AS BIGINT), {n})' for i, n in enumerate(sizes))}) sizes(size, n) CROSS JOIN (VALUES {', '.join(f'(CAST({i} AS BIGINT))' for i in range(draws))}) draws(draw)) drawn WHERE place <= n"""
+
+
+DRAWN = drawn(SIZES, DRAWS)
 #: Savings have 6 decimals; the 1e-9 sends the ties of their means the same way in both engines.
 _MEANS = "round(avg(saving_pct) + 1e-9, 5) AS mean_pct, min(saving_pct) AS min_pct, max(saving_pct) AS max_pct, round(median(saving_pct) + 1e-9, 5) AS median_pct"
 
@@ -356,6 +362,32 @@ def relief_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.floor(F.col(K) / 100).alias(K), factor.alias("factor"), "n_zones", F.round("saving_pct", 6).alias("saving_pct"))
 
 
+#: The sweep again over ten draws of sixteen sites; draws are part of the networks' key.
+TEN = drawn([16], 10)
+_TEN_ROUTES = _RELIEF_ROUTES.replace(HUBBED, TEN)
+_TEN_SITES = _RELIEF_SITES.replace(HUBBED, TEN)
+
+
+@query(
+    duck_text(
+        f"WITH RECURSIVE {_TEN_ROUTES}, {SPANNING_SQL.replace(HUBBED, _TEN_SITES)}, sv AS (SELECT a.network_id // 100 AS id, b.n_zones::INT AS n_zones, {_SAVING} FROM cost a JOIN cost b ON a.network_id + 1 = b.network_id AND a.network_id % 100 = 1) "
+        f"SELECT id // 10000 AS network_id, [{', '.join(map(repr, FACTORS.values()))}][id % 100 + 1]::DOUBLE AS factor, count(*) AS draws, min(n_zones) AS least_zones, max(n_zones) AS most_zones, {_MEANS} FROM sv GROUP BY ALL"
+    )
+)
+def relief_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relief sweep over ten draws: mean, median and range of the saving and the zones of each factor."""
+    sites = graph.stored(frame(spark, sf_dir, TEN))
+    routes = terrain.all_routes(sites, grid(spark, sf_dir), fx.GRID, scales=FACTORS)
+    routes = graph.stored(routes.withColumn(K, F.col(K) * 100 + F.col("scale")).drop("scale"))
+    every = graph.stored(sites.withColumn("scale", F.explode(F.array(*map(F.lit, FACTORS)))).withColumn(K, F.col(K) * 100 + F.col("scale")).drop("scale"))
+    cost, _ = side_by_side(designs.spanning(every, routes)[1:], routes, loads(every))
+    out = designs.saving(cost, "mst_map", "mst_terrain").join(cost.filter("topology = 'mst_terrain'").select(K, "n_zones"), K)
+    factor = F.element_at(F.array(*map(F.lit, FACTORS.values())), (F.col(K) % 100 + 1).cast("int"))
+    out = graph.stored(out.select(F.floor(F.col(K) / 10_000).alias(K), factor.alias("factor"), "n_zones", F.round("saving_pct", 6).alias("saving_pct")))
+    zones = out.groupBy(K, "factor").agg(F.count("*").alias("draws"), F.min("n_zones").alias("least_zones"), F.max("n_zones").alias("most_zones"))
+    return zones.join(means(out, K, "factor"), [K, "factor"])
+
+
 @query()
 def trade_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redundancy step by step: up to three chords, each prefix priced anew with pipes for every single failure."""
