@@ -5,10 +5,10 @@ lower case), one of which any match must contain whole. A text is a candidate of
 occur in it, and only candidates are verified by the expression itself. A rule without mandatory trigrams scans every
 text. All of this is a filter in front of the exact search, so it loses nothing.
 
-``index`` makes the postings: a row for each trigram that some query names and each distinct text, by a hash of it, that
-holds the trigram. ``candidates`` intersects the postings of each set, as bits that are summed before the shuffle, and
-gives the rules whose query a text satisfies. Their table (hashes and names of rules, no texts) meets the texts again:
-it is broadcast while it has few rows, so that no text is shuffled, and beyond that bound texts are joined by the hash once.
+``index`` makes the postings: a row for each trigram of a set and each text, by a hash of it, that holds this and the
+rarer ones. ``candidates`` intersects the postings of each set, as bits that are summed before the shuffle, and gives the
+rules whose query a text satisfies. Their table (hashes and names of rules, no texts) meets the texts again: it is
+broadcast while it has few rows, so that no text is shuffled, and beyond that bound texts are joined by the hash once.
 Texts of equal hash share candidates, which can only add some. Rules without a query scan in the same pass.
 
 Spans are counted in code points, end exclusive, found leftmost and without overlap for each rule, and listed by start,
@@ -144,11 +144,30 @@ def clauses(rules: list[Rule]) -> list[tuple[str, int, list[str]]]:
     return [(r.kind, n, sorted(s)) for r in rules for n, s in enumerate(derived(r))]
 
 
+#: Letters from the most to the least frequent; a trigram with a late one is taken to be rare.
+LETTERS = "etaoinshrdlucmfwypvbgkjqxz"
+
+
+def rare_first(grams: list[str]) -> list[str]:
+    return sorted(grams, key=lambda g: (-max(LETTERS.find(c) if c in LETTERS else len(LETTERS) for c in g), g))
+
+
 def index(texts: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """The postings: gram and id of every trigram that a rule's query names and every text (id, text) with it."""
-    named = sorted({g for _, _, s in clauses(rules) for g in s})
+    """The postings: gram and id of the trigrams of the rules' queries and every text (id, text) that holds them.
+
+    A set's trigrams go from rare to frequent, and one is only posted for texts that have those before it: the others
+    leave the intersection there, so most texts are looked through once for each set.
+    """
     low = texts.select("id", F.lower("text").alias("low"))  # apart, or it is worked out for each trigram
-    present = low.select("id", F.array_compact(F.array(*(F.when(F.col("low").contains(g), F.lit(g)) for g in named))).alias("grams"))
+    none = F.array().cast("array<string>")
+
+    def posted(grams: list[str]) -> Column:
+        out = none
+        for g in reversed(rare_first(grams)):
+            out = F.when(F.col("low").contains(g), F.concat(F.array(F.lit(g)), out)).otherwise(none)
+        return out
+
+    present = low.select("id", F.array_distinct(F.concat(*(posted(s) for _, _, s in clauses(rules)))).alias("grams"))
     return present.select(F.explode("grams").alias("gram"), "id")
 
 
