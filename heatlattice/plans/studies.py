@@ -12,7 +12,7 @@ from heatlattice.functions.params import ECONOMICS, FAILURES, GROUND, PUBLISHED,
 from heatlattice.operators import centrality, designs, graph, netsci, network, regression, search, terrain
 from heatlattice.plans import fixtures as fx
 from heatlattice.plans.fixtures import duck_text, frame
-from heatlattice.plans.queries import ABOVE, COST_COLUMNS, COVER, FLOW, SITES, K, cost_sql, cover_of, design_of, design_sql, grid, mst_sql, picked_sql, route_sql
+from heatlattice.plans.queries import ABOVE, COST_COLUMNS, COVER, FLOW, SITES, K, cost_sql, cover_of, design_of, design_sql, grid, mst_sql, picked_sql, route_sql, supply, tree_relief
 from heatlattice.plans.registry import query, rounded
 
 
@@ -362,6 +362,21 @@ def relief_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.floor(F.col(K) / 100).alias(K), factor.alias("factor"), "n_zones", F.round("saving_pct", 6).alias("saving_pct"))
 
 
+@query(duck_text(f"WITH RECURSIVE {ABOVE}, {cost_sql()} SELECT network_id, round(total, 2) AS total, 0e0 AS gap, true AS same FROM cost"))
+def kept_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annual costs written to a table, read again and held against costs worked out anew from the networks."""
+    work = lambda: network.annual_cost(graph.stored(design_of(spark, sf_dir)[0]), *of_supply(spark, sf_dir))
+    kept = graph.stored(work())
+    found = designs.costs_compared(kept, work(), ["capital", "pumping", "heat_loss", "zones", "total"])
+    return kept.select(K, F.round("total", 2).alias("total")).join(found.withColumn("gap", F.round("gap", 9)), K)
+
+
+def of_supply(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ancestors, demand and relief of the supply trees."""
+    _, demand, _, above = supply(spark, sf_dir)
+    return above, demand, tree_relief(demand)
+
+
 #: The sweep again over ten draws of sixteen sites; draws are part of the networks' key.
 TEN = drawn([16], 10)
 _TEN_ROUTES = _RELIEF_ROUTES.replace(HUBBED, TEN)

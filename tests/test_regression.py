@@ -26,3 +26,12 @@ def test_against_a_dense_solver(spark):
             assert np.allclose(out[group].intercept + sum(own[:, i] * out[group][f"b_{x}"] for i, x in enumerate(xs)), fit)
         assert out[9].r2 is None and out[9].intercept == 4 and out[8].r2 is None
     assert least_squares(table.limit(0), ["g"], "y", ["a"]).collect() == []
+
+
+def test_costs_compared(spark):
+    from heatlattice.operators.designs import costs_compared
+
+    a = spark.createDataFrame([(1, 1.0, 2.0), (2, 0.0, 4.0), (3, None, 1.0), (4, 1.0, 1.0), (6, None, 5.0)], "network_id long, x double, y double")
+    b = spark.createDataFrame([(1, 1.0, 2.0 + 1e-12), (2, 0.0, 5.0), (3, 1.0, 1.0), (5, 1.0, 1.0), (6, None, 5.0)], "network_id long, x double, y double")
+    out = {r.network_id: (r.gap, r.same) for r in costs_compared(a, b, ["x", "y"]).collect()}
+    assert out == {1: (pytest.approx(5e-13, rel=1e-3), True), 2: (pytest.approx(0.2), False), 3: (None, False), 4: (None, False), 5: (None, False), 6: (0.0, True)}
