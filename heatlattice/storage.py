@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -51,9 +50,3 @@ def discard(table: DataFrame) -> None:
     """Deletes a stored() table that nothing reads any more."""
     at, fs = _place(table.sparkSession, table._stored_at)
     fs.delete(at, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more, ahead of its own half-hourly turn."""
-    gc.collect()
-    spark._jvm.System.gc()
