@@ -333,11 +333,14 @@ def arcs_of(edges: DataFrame, keys: list[str]) -> DataFrame:
     return one.unionByName(edges.select(*keys, F.col("v").alias("a"), F.col("u").alias("b"), "length"))
 
 
-def relaxed(best: DataFrame, arcs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, node, cost, hops, parent of the cheapest ways on from stored starts (keys, node, s: cost, hops, parent) over arcs."""
+def relaxed(best: DataFrame, arcs: DataFrame, keys: list[str], shared: list[str] | None = None) -> DataFrame:
+    """keys, node, cost, hops, parent of the cheapest ways on from stored starts (keys, node, s: cost, hops, parent) over arcs.
+
+    ``shared``: the keys that arcs have, if they are the same for all values of the others.
+    """
     front = best
     while not front.isEmpty():
-        step = front.select(*keys, F.col("node").alias("a"), "s").join(arcs, [*keys, "a"])
+        step = front.select(*keys, F.col("node").alias("a"), "s").join(arcs, [*(shared or keys), "a"])
         offer = step.select(*keys, F.col("b").alias("node"), F.struct((F.col("s.cost") + F.col("length")).alias("cost"), (F.col("s.hops") + 1).alias("hops"), F.col("a").alias("parent")).alias("s"))
         offer = offer.groupBy(*keys, "node").agg(F.min("s").alias("s"))
         front = offer.join(best.withColumnRenamed("s", "old"), [*keys, "node"], "left").filter("old is null or s < old").select(*keys, "node", "s")
