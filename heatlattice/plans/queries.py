@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heatlattice.functions import physics as p
 from heatlattice.functions.params import CATALOGUE, ECONOMICS, OXYGEN, WATER, WATER_90, Ground, Water
-from heatlattice.operators import graph, netsci, network, nodes, steiner, terrain
+from heatlattice.operators import graph, looped, netsci, network, nodes, steiner, terrain
 from heatlattice.plans import fixtures as fx
 from heatlattice.plans.fixtures import duck_text, frame
 from heatlattice.plans.registry import compiled, query, rounded, spread
@@ -501,6 +501,36 @@ def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, mean_degree=8, leaf_fraction=8, diameter_m=4, mean_path_m=4, mean_path_excl_self=4, mean_plant_dist_m=4, max_plant_dist_m=4, demand_weighted_dist_m=4, demand_weighted_hops=6)
 
 
+#: All simple paths of the looped networks, the shortest of each pair with equal shares, none cut.
+_WAYS = f"""e AS ({fx.LOOPED}), nd AS ({fx.TREE_NODES}), ar AS (SELECT network_id, u AS a, v AS b, length FROM e UNION ALL SELECT network_id, v, u, length FROM e),
+  go AS (SELECT network_id, node AS s, node AS t, 0e0 AS cost, [node] AS path FROM nd UNION ALL SELECT go.network_id, s, ar.b, cost + length, list_append(path, ar.b) FROM go JOIN ar ON ar.network_id = go.network_id AND ar.a = go.t WHERE NOT list_contains(path, ar.b)),
+  bs AS (SELECT *, min(cost) OVER (PARTITION BY network_id, s, t) AS metres, min(len(path) - 1) OVER (PARTITION BY network_id, s, t) AS hops FROM go),
+  sp AS (SELECT *, 1e0 / count(*) OVER (PARTITION BY network_id, s, t) AS share FROM bs WHERE cost = metres), sz AS (SELECT network_id, count(*)::DOUBLE AS n FROM nd GROUP BY 1),
+  be AS (SELECT network_id, least(a, b) AS u, greatest(a, b) AS v, sum(share) AS passed FROM (SELECT network_id, share, path[i] AS a, path[i + 1] AS b FROM (SELECT *, unnest(range(1, len(path))) AS i FROM sp)) GROUP BY ALL),
+  bi AS (SELECT network_id, node, sum(share) AS passed FROM (SELECT network_id, share, path[i] AS node FROM (SELECT *, unnest(range(2, len(path))) AS i FROM sp)) GROUP BY ALL),
+  bn AS (SELECT nd.network_id, nd.node, coalesce(passed, 0e0) / ((n - 1) * (n - 2)) AS betweenness FROM nd JOIN sz USING (network_id) LEFT JOIN bi ON bi.network_id = nd.network_id AND bi.node = nd.node)"""
+
+
+@query(duck_text(f"""WITH RECURSIVE {_WAYS}, dg AS (SELECT nd.network_id, node, count(e.u) AS g FROM nd LEFT JOIN e ON e.network_id = nd.network_id AND (e.u = node OR e.v = node) GROUP BY 1, 2),
+  s1 AS (SELECT network_id, round(avg(g), 8) AS mean_degree, max(g) AS max_degree, arg_max(node, g * 1000000 - node) AS hub_node, count(*) FILTER (g = 1) AS n_leaves, count(*) FILTER (g >= 3) AS n_junctions, round(count(*) FILTER (g = 1) / count(*)::DOUBLE, 8) AS leaf_fraction, sum(g)::BIGINT // 2 - count(*) + 1 AS n_independent_cycles FROM dg GROUP BY 1),
+  d AS (SELECT DISTINCT network_id, s, t, metres, hops FROM sp),
+  s2 AS (SELECT network_id, max(hops) AS diameter_hops, round(max(metres), 4) AS diameter_m, round(avg(metres), 4) AS mean_path_m, round(avg(metres) FILTER (s <> t), 4) AS mean_path_excl_self, count(*) = any_value(n * n) AS connected FROM d JOIN sz USING (network_id) GROUP BY 1),
+  s3 AS (SELECT d.network_id, round(avg(metres), 4) AS mean_plant_dist_m, round(max(metres), 4) AS max_plant_dist_m, round(sum(metres * demand_kw) / sum(demand_kw), 4) AS demand_weighted_dist_m FROM d JOIN nd ON nd.network_id = d.network_id AND nd.node = t WHERE s = 0 AND t <> 0 GROUP BY 1),
+  s4 AS (SELECT network_id, round(max(betweenness), 8) AS max_betweenness, round(avg(betweenness), 8) AS mean_betweenness FROM bn GROUP BY 1), s5 AS (SELECT network_id, round(max(passed / (n * (n - 1))), 8) AS max_edge_betweenness FROM be JOIN sz USING (network_id) GROUP BY 1)
+  SELECT * FROM s1 JOIN s2 USING (network_id) JOIN s3 USING (network_id) JOIN s4 USING (network_id) JOIN s5 USING (network_id)"""))
+def looped_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = looped.structure(frame(spark, sf_dir, fx.TREE_NODES), frame(spark, sf_dir, fx.LOOPED))
+    places = dict.fromkeys(("diameter_m", "mean_path_m", "mean_path_excl_self", "mean_plant_dist_m", "max_plant_dist_m", "demand_weighted_dist_m"), 4)
+    return rounded(out, mean_degree=8, leaf_fraction=8, max_betweenness=8, mean_betweenness=8, max_edge_betweenness=8, **places)
+
+
+@query(duck_text(f"WITH RECURSIVE {_WAYS} SELECT network_id, node AS u, -1::BIGINT AS v, round(betweenness, 8) AS betweenness FROM bn UNION ALL SELECT x.network_id, x.u, x.v, round(coalesce(passed, 0e0) / (n * (n - 1)), 8) FROM (SELECT DISTINCT network_id, least(u, v) AS u, greatest(u, v) AS v FROM e) x JOIN sz USING (network_id) LEFT JOIN be ON be.network_id = x.network_id AND be.u = x.u AND be.v = x.v"))
+def looped_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of nodes (v is -1) and of edges."""
+    by_node, by_edge = looped.betweenness(frame(spark, sf_dir, fx.TREE_NODES), frame(spark, sf_dir, fx.LOOPED))
+    return rounded(by_node.select(K, F.col("node").alias("u"), F.lit(-1).cast("long").alias("v"), "betweenness").unionByName(by_edge), betweenness=8)
+
+
 KNN = f"SELECT DISTINCT network_id, least(a, b) AS u, greatest(a, b) AS v FROM (SELECT *, row_number() OVER (PARTITION BY network_id, a ORDER BY w, b) AS r FROM (SELECT network_id, u AS a, v AS b, w FROM ({PAIRS}) UNION ALL SELECT network_id, v, u, w FROM ({PAIRS}))) WHERE r <= 4"
 DEGREES = "dg AS (SELECT network_id, node, count(*) AS g FROM (SELECT network_id, u AS node FROM e UNION ALL SELECT network_id, v FROM e) GROUP BY 1, 2)"
 
