@@ -2,6 +2,8 @@
 
 import math
 
+from pyspark.sql import functions as F
+
 from heatlattice.operators import centrality, graph, netsci, network, search
 from heatlattice.plans import queries, studies
 
@@ -110,3 +112,28 @@ def test_networks_without_demand_edges_or_connection(spark):
     assert none.columns == ["network_id", "u", "v", "cost", "eud_after", "worst_after", "step"] and none.collect() == []
     c = centrality.connectivity(edges).first()
     assert (c.edge_connectivity, c.bridges, c.bridge_fraction, c.cycle_rank, c.two_edge_connected) == (0, 0, 0.0, 0, False)
+
+
+def test_augmented_with_a_price_of_ones_own(spark):
+    """Step by step by hand: what a chord saves by what it costs, which falls with the load that is left to back up."""
+    bridges = [(k, e, 10.0 * e + k, 100.0 * (e % 4 + 1)) for k in (1, 2) for e in range(1, 8)]
+    chords = [(k, u, u + 1, 5.0 + u * u) for k in (1, 2) for u in range(5)] + [(1, 8, 9, None), (2, 8, 9, -1.0)]
+    above = [(k, u, v, e) for k, u, v, _ in chords for e in range(1, 8) if (e * (u + 2) + k) % 3 == 0]
+    frames = [spark.createDataFrame(rows, s) for rows, s in ((bridges, "network_id long, edge long, eud double, stranded_kw double"), (above, "network_id long, u long, v long, edge long"), (chords, "network_id long, u long, v long, metres double"))]
+    got = search.augmented(*frames, 3, F.col("metres") * 2 + F.col("backup") / 10).collect()
+    want = set()
+    for k in (1, 2):
+        left = {e: (eud, kw) for net, e, eud, kw in bridges if net == k}
+        for step in (1, 2, 3):
+            backup = max((kw for _, kw in left.values()), default=0.0)
+            saved = []
+            for net, u, v, metres in chords:
+                cuts = {e for n, a, b, e in above if (n, a, b) == (k, u, v)} & left.keys()
+                if net == k and cuts and metres is not None and metres * 2 + backup / 10 > 0:
+                    cost = metres * 2 + backup / 10
+                    saved.append((-sum(left[e][0] for e in cuts) / cost, u, v, cost, cuts))
+            if saved:
+                _, u, v, cost, cuts = min(saved, key=lambda s: s[:3])
+                left = {e: x for e, x in left.items() if e not in cuts}
+                want.add((k, step, u, v, round(cost, 9), round(sum(x for x, _ in left.values()), 9), max((x for _, x in left.values()), default=0.0)))
+    assert {(r.network_id, r.step, r.u, r.v, round(r.cost, 9), round(r.eud_after, 9), r.worst_after) for r in got} == want and len(got) == len(want) > 2
