@@ -182,8 +182,84 @@ def compared(one: DataFrame, other: DataFrame) -> DataFrame:
     return n.withColumn("same", (F.col("only_one") + F.col("only_other")) == 0).withColumn("swaps", F.floor((F.col("only_one") + F.col("only_other")) / 2))
 
 
+def forest(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows of the minimum spanning forest of edges u, v (numbered ends) in the total order (w, u, v), by Boruvka's rounds."""
+    order = np.lexsort((v, u, w))
+    a, b, kept = u[order], v[order], []
+    part = np.arange(int(max(a.max(initial=-1), b.max(initial=-1))) + 1)
+    while True:
+        ca, cb = part[a], part[b]
+        open_ = ca != cb
+        a, b, ca, cb, order = a[open_], b[open_], ca[open_], cb[open_], order[open_]
+        if not len(a):
+            return np.sort(np.concatenate(kept)) if kept else np.zeros(0, dtype=int)
+        first, rank = np.full(len(part), len(a)), np.arange(len(a))
+        np.minimum.at(first, ca, rank)
+        np.minimum.at(first, cb, rank)
+        heads = np.flatnonzero(first < len(a))
+        pick = first[heads]
+        kept.append(order[np.unique(pick)])
+        # picks point along a forest whose only cycles are two parts that picked the same edge
+        up = np.arange(len(part))
+        up[heads] = ca[pick] + cb[pick] - heads
+        both = heads[(up[up[heads]] == heads) & (heads < up[heads])]
+        up[both] = both
+        while (up[up] != up).any():
+            up = up[up]
+        part = up[part]
+
+
+def forest_of(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Rows of the spanning forests of all networks (keys) in pdf (keys, u, v, w, ...)."""
+    if pdf.empty:
+        return pdf
+    ends = pd.concat([pdf["u"], pdf["v"]], ignore_index=True)
+    names, at = np.unique(ends.to_numpy(), return_inverse=True)  # sorted, so numbers compare as nodes do
+    network = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+    code = pd.factorize(np.concatenate([network, network]) * len(names) + at, sort=True)[0]
+    return pdf.iloc[forest(code[: len(pdf)], code[len(pdf) :], pdf["w"].to_numpy(dtype=float))]
+
+
+#: Edges that a task holds before it keeps their forest only, and that one task joins to a network's tree.
+HELD_EDGES, MOST_EDGES = 1 << 19, 1 << 21
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """The edges of (network_id, u, v, w) without those that close a cycle of smaller ones among the edges of their partition.
+
+    No such edge is in a minimum spanning forest of all. A task holds the nodes it meets and some edges more, whatever it reads.
+    """
+
+    def run(batches):
+        held, rows, most = [], 0, HELD_EDGES
+        for pdf in batches:
+            held.append(pdf)
+            rows += len(pdf)
+            if rows > most:
+                held = [forest_of(pd.concat(held, ignore_index=True), [KEY])]
+                rows = len(held[0])
+                most = max(HELD_EDGES, 2 * rows)
+        if held:
+            yield forest_of(pd.concat(held, ignore_index=True), [KEY])
+
+    return edges.mapInPandas(run, edges.schema)
+
+
 def spanning_tree(weighted: DataFrame) -> DataFrame:
-    """Minimum spanning forest of (network_id, u, v, w) in the total order (w, u, v), by Boruvka's rounds.
+    """Minimum spanning forest of (network_id, u, v, w) in the total order (w, u, v).
+
+    Edges are thinned where they lie. What is left of a network goes to one task if that is up to MOST_EDGES, which leaves
+    the tree; beyond that Boruvka's rounds go over the edge table.
+    """
+    edges = stored(thinned(canonical(weighted).filter("u <> v").select(KEY, "u", "v", "w")))
+    sized = edges.join(stored(edges.groupBy(KEY).agg(F.count("*").alias("edges"))), KEY)
+    small = sized.filter(F.col("edges") <= MOST_EDGES).drop("edges").groupBy(KEY).applyInPandas(lambda pdf: forest_of(pdf, [KEY]), edges.schema)
+    large = sized.filter(F.col("edges") > MOST_EDGES).drop("edges")
+    return small if large.isEmpty() else small.unionByName(boruvka(large))
+
+
+def boruvka(weighted: DataFrame) -> DataFrame:
+    """spanning_tree() by rounds over the edge table.
 
     Every round each component picks its least outgoing edge; the picks join components, whose least node names them.
     """

@@ -39,3 +39,13 @@ def test_no_task_makes_most_pairs_of_a_network(spark):
     for made in (graph.pairs(one),):
         sizes = [n for n in made.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
         assert max(sizes) < sum(sizes) / 2
+
+
+def test_thinning_keeps_the_tree(spark, nodes, monkeypatch):
+    monkeypatch.setattr(graph, "HELD_EDGES", 7)
+    want = sorted(map(tuple, graph.boruvka(graph.pairs(nodes)).collect()))
+    kept = graph.thinned(graph.pairs(nodes).coalesce(2))
+    assert kept.count() <= 2 * 54
+    for most in (1 << 21, 3):  # in one task, and by rounds
+        monkeypatch.setattr(graph, "MOST_EDGES", most)
+        assert sorted(map(tuple, graph.spanning_tree(graph.pairs(nodes)).collect())) == want
