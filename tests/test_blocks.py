@@ -49,3 +49,49 @@ def test_thinning_keeps_the_tree(spark, nodes, monkeypatch):
     for most in (1 << 21, 3):  # in one task, and by rounds
         monkeypatch.setattr(graph, "MOST_EDGES", most)
         assert sorted(map(tuple, graph.spanning_tree(graph.pairs(nodes)).collect())) == want
+
+
+def land(spark):
+    return spark.createDataFrame([(i, j, (i * 7 + j * 13) % 29 + i / 8) for i in range(41) for j in range(31)], "i int, j int, z double"), (0.0, 0.0, 25.0, 41, 31)
+
+
+def near(got, want):
+    assert len(got) == len(want) and list(got.columns) == list(want.columns)
+    for c in got.columns:
+        assert got[c].tolist() == pytest.approx(want[c].tolist(), rel=1e-12, abs=1e-12), c
+
+
+@pytest.mark.parametrize("extra", [{}, {"grounds": {"w_0": terrain.Ground(a1=0.0)}}, {"scales": {0: 0.0, 3: 2.5}}])
+def test_routes_of_blocks_equal_sampled_ones(spark, nodes, monkeypatch, extra):
+    monkeypatch.setattr(terrain, "BLOCK", 5)
+    dem, grid = land(spark)
+    columns = ["network_id", "u", "v", *(["scale"] if "scales" in extra else [])]
+    table = lambda df: df.toPandas().sort_values(columns, ignore_index=True)
+    made = terrain.all_routes(nodes, dem, grid, 10.0, **extra)
+    want = terrain.sampled_routes(nodes, dem, grid, 10.0, extra.get("grounds"), extra.get("scales"))
+    near(table(made), table(want)[made.columns])
+    # no row for each sample
+    assert "chainage" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trees_and_nearest_routes(spark, nodes, monkeypatch):
+    monkeypatch.setattr(terrain, "BLOCK", 5)
+    dem, grid = land(spark)
+    rows = lambda df: sorted(map(tuple, df.select("network_id", "u", "v").collect()))
+    routes = graph.stored(terrain.sampled_routes(nodes, dem, grid, 10.0, None, None))
+    steep = {"w_0": terrain.Ground(a1=0.0, a2=0.0), "w_1": terrain.Ground(a1=9.0)}
+    sloped = graph.stored(terrain.sampled_routes(nodes, dem, grid, 10.0, steep, None))
+    scaled = graph.stored(terrain.sampled_routes(nodes, dem, grid, 10.0, None, {2: 0.5, 4: 1.5}))
+    for most in (1 << 24, 0):  # by blocks, and by samples
+        monkeypatch.setattr(terrain, "BROADCAST_BYTES", most)
+        assert rows(terrain.trees(nodes, dem, grid, 10.0)) == rows(graph.boruvka(routes))
+        made = terrain.trees(nodes, dem, grid, 10.0, grounds=steep)
+        for i, c in enumerate(steep):
+            assert rows(made.filter(f"variant = {i}")) == rows(graph.boruvka(sloped.select("network_id", "u", "v", sloped[c].alias("w"))))
+        made = terrain.trees(nodes, dem, grid, 10.0, scales={2: 0.5, 4: 1.5})
+        for i in (2, 4):
+            assert rows(made.filter(f"variant = {i}")) == rows(graph.boruvka(scaled.filter(f"scale = {i}")))
+        finite = routes.filter("w < double('infinity')").toPandas()
+        both = pd.concat([finite, finite.rename(columns={"u": "v", "v": "u"})]).sort_values(["network_id", "u", "w", "v"]).groupby(["network_id", "u"]).head(3)
+        want = {(n, min(u, v), max(u, v)) for n, u, v in zip(both.network_id, both.u, both.v, strict=True)}
+        assert rows(terrain.nearest_routes(nodes, dem, grid, 3, 10.0)) == sorted(want)
