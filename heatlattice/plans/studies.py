@@ -117,8 +117,8 @@ TERRAIN_SQL = mst_sql("SELECT network_id, u, v, CASE WHEN feasible THEN wt ELSE
   SELECT network_id, count(*) FILTER (tu IS NULL) AS only_one, count(*) FILTER (mu IS NULL) AS only_other, bool_and(mu IS NOT NULL AND tu IS NOT NULL) AS same, (count(*) FILTER (tu IS NULL OR mu IS NULL)) // 2 AS swaps FROM j GROUP BY 1"""))
 def terrain_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spanning trees by distance and by terrain cost, and how they differ."""
-    sites, routes = routed(spark, sf_dir)
-    return graph.compared(graph.spanning_tree_of_points(sites), graph.spanning_tree(routes))
+    sites = hubbed(spark, sf_dir)
+    return graph.compared(graph.spanning_tree_of_points(sites), terrain.trees(sites, grid(spark, sf_dir), fx.GRID))
 
 
 # These three read no table, so they are no registered queries.
