@@ -241,8 +241,8 @@ _SAVING = ", ".join(f"round(CASE WHEN abs(a.{c} - b.{c}) < 1e-9 * a.total THEN 0
 @query(duck_text(f"WITH RECURSIVE {route_sql(HUBBED)}, {SPANNING_SQL} SELECT a.network_id // 100 AS network_id, {_SAVING} FROM cost a JOIN cost b ON a.network_id + 1 = b.network_id AND a.network_id % 100 = 1"))
 def terrain_saving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What planning over terrain saves against planning on the map, and by which part of the cost."""
-    sites, routes = routed(spark, sf_dir)
-    cost, _ = side_by_side(designs.spanning(sites, routes)[1:], routes, loads(sites))
+    sites, trees, routes = spanned(spark, sf_dir)
+    cost, _ = side_by_side(trees[1:], routes, loads(sites))
     out = designs.saving(cost, "mst_map", "mst_terrain")
     return rounded(out, **{c: 6 for c in out.columns[1:]})
 
