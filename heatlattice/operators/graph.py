@@ -354,9 +354,47 @@ MOST_PARTS = 16
 def rooted(edges: DataFrame, root: int = 0) -> DataFrame:
     """network_id, node, parent (-1 at the root), depth: breadth-first from the root; the least parent on ties.
 
-    What a frontier meets is one hop nearer, as near, or new, so it is compared with the last two frontiers only.
+    Networks of up to MOST_EDGES edges are searched in one task each, larger ones by rounds over the edge table.
     Nodes that the root does not reach have no row; a network without the root has none. Repeated edges and loops change nothing.
     """
+    kind = dict(edges.dtypes)[KEY]
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(pdf[["u", "v"]].to_numpy().ravel(), return_inverse=True)
+        at = at.reshape(-1, 2)
+        a, b = np.concatenate([at[:, 0], at[:, 1]]), np.concatenate([at[:, 1], at[:, 0]])
+        order = np.argsort(a, kind="stable")
+        b, first = b[order], np.searchsorted(a[order], np.arange(len(names) + 1))
+        parent, depth = np.full(len(names), len(names)), np.full(len(names), -1)
+        front = np.flatnonzero(names == root)
+        depth[front], step = 0, 0
+        while len(front):
+            step += 1
+            size = first[front + 1] - first[front]
+            arc = np.repeat(first[front] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            to, by = b[arc], np.repeat(front, size)
+            new = depth[to] < 0
+            np.minimum.at(parent, to[new], by[new])
+            front = np.unique(to[new])
+            depth[front] = step
+        there = np.flatnonzero(depth >= 0)
+        up = np.append(names, -1)[np.where(depth[there] > 0, parent[there], len(names))]
+        out = pd.DataFrame({"node": names[there], "parent": up, "depth": depth[there]})
+        out.insert(0, KEY, pdf[KEY].iloc[0])
+        return out
+
+    rows = stored(edges.select(KEY, "u", "v").filter("u is not null and v is not null"))
+    sized = rows.join(stored(rows.groupBy(KEY).agg(F.count("*").alias("edges"))), KEY)
+    small = sized.filter(F.col("edges") <= MOST_EDGES).drop("edges").groupBy(KEY).applyInPandas(search, f"{KEY} {kind}, node long, parent long, depth int")
+    large = sized.filter(F.col("edges") > MOST_EDGES).drop("edges")
+    return small if large.isEmpty() else small.unionByName(rooted_by_rounds(large, root))
+
+
+def rooted_by_rounds(edges: DataFrame, root: int = 0) -> DataFrame:
+    """rooted() by a frontier of all networks.
+
+    What a frontier meets is one hop nearer, as near, or new, so it is compared with the last two frontiers only.
+    """
     arcs = stored(both_ways(edges.select(KEY, "u", "v")))
     front = stored(arcs.filter(F.col("a") == root).select(KEY, F.col("a").alias("node")).distinct().withColumn("parent", F.lit(-1).cast("long")).withColumn("depth", F.lit(0)))
     parts, last, depth = [front], front.limit(0), 0

@@ -204,8 +204,8 @@ _COSTS = ", ".join(f"round({'total / greatest(delivered_mwh, 1e-9)' if c == 'spe
 @query(duck_text(f"WITH RECURSIVE {route_sql(HUBBED)}, {SPANNING_SQL} SELECT network_id // 100 AS network_id, ['star', 'mst_map', 'mst_terrain'][network_id % 100 + 1] AS topology, n_zones, round(relief_m, 5) AS relief_m, {_COSTS} FROM cost"))
 def topology_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Star, map tree and terrain tree of every network, priced in one plan over their routes."""
-    sites, routes = routed(spark, sf_dir)
-    cost, _ = side_by_side(designs.spanning(sites, routes), routes, loads(sites))
+    sites, trees, routes = spanned(spark, sf_dir)
+    cost, _ = side_by_side(trees, routes, loads(sites))
     return rounded(cost.select(K, "topology", "n_zones", "relief_m", *COST_COLUMNS), relief_m=5, **COST_COLUMNS)
 
 

@@ -95,3 +95,19 @@ def test_trees_and_nearest_routes(spark, nodes, monkeypatch):
         both = pd.concat([finite, finite.rename(columns={"u": "v", "v": "u"})]).sort_values(["network_id", "u", "w", "v"]).groupby(["network_id", "u"]).head(3)
         want = {(n, min(u, v), max(u, v)) for n, u, v in zip(both.network_id, both.u, both.v, strict=True)}
         assert rows(terrain.nearest_routes(nodes, dem, grid, 3, 10.0)) == sorted(want)
+
+
+def test_rooting_in_a_task_equals_rounds(spark):
+    rng = random.Random(6)
+    rows = [(n, *rng.choices(range(12), k=2)) for n in range(5) for _ in range(4 * n)] + [(7, 1, 2), (8, 0, 0), (9, 0, 3), (9, 3, 0), (9, 5, 6)]
+    edges = spark.createDataFrame(rows, "network_id long, u long, v long")
+    made = sorted(map(tuple, graph.rooted(edges).collect()))
+    assert made == sorted(map(tuple, graph.rooted_by_rounds(edges).collect())) and (9, 3, 0, 1) in made
+
+
+def test_a_long_path_is_rooted_in_few_jobs(spark):
+    path = spark.range(300).selectExpr("1L AS network_id", "id AS u", "id + 1 AS v")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("rooting"))
+    spark.sparkContext.setJobGroup("rooting", "rooting")
+    assert max(r.depth for r in graph.rooted(path).collect()) == 300 and 0 < jobs() < 20
+    spark.sparkContext.setJobGroup("rest", "rest")
