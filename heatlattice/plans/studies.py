@@ -264,12 +264,14 @@ _WEIGHT = "CASE rt.network_id % 100 // 2 " + " ".join(f"WHEN {i} THEN r.{c}" for
 def slope_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The saving of terrain trees as the slope factor grows from none to twice its strength; trees are built anew for each."""
     sites = hubbed(spark, sf_dir)
-    routes = graph.stored(terrain.all_routes(sites, grid(spark, sf_dir), fx.GRID, grounds=GROUNDS))
+    dem = grid(spark, sf_dir)
     plain = graph.stored(graph.spanning_tree_of_points(sites))
     union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    made = graph.stored(terrain.trees(sites, dem, fx.GRID, grounds=GROUNDS))
+    routes = graph.stored(terrain.routes_of(plain.select(K, "u", "v").unionByName(made.select(K, "u", "v")), sites, dem, fx.GRID, grounds=GROUNDS))
     weighed = [routes.select(K, "u", "v", "l2d", "l3d", F.col(c).alias("w"), "z_low", "z_high") for c in GROUNDS]
     every = graph.stored(union([designs.keyed(r, 2 * i + 1) for i, r in enumerate(weighed)]))
-    sloped = graph.stored(graph.spanning_tree(every.select(K, "u", "v", "w")).select(K, "u", "v"))
+    sloped = graph.stored(made.select((F.col(K) * designs.VARIANTS + 2 * F.col("variant") + 1).alias(K), "u", "v"))
     flat = union([designs.keyed(plain.select(K, "u", "v"), 2 * i) for i in range(len(STRENGTHS))])
     twin = lambda df, by: df.withColumn(K, F.col(K) + by)
     demand = union([designs.keyed(loads(sites), i) for i in range(2 * len(STRENGTHS))])
