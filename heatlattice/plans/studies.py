@@ -367,10 +367,14 @@ _RELIEF_SITES = f"SELECT h.network_id * 100 + si AS network_id, node, x, y FROM
 def relief_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The saving of terrain trees, and their pressure zones, as the relief grows."""
     sites = hubbed(spark, sf_dir)
-    routes = terrain.all_routes(sites, grid(spark, sf_dir), fx.GRID, scales=FACTORS)
+    dem = grid(spark, sf_dir)
+    plain = graph.stored(graph.spanning_tree_of_points(sites).select(K, "u", "v"))  # the same for all factors
+    made = graph.stored(terrain.trees(sites, dem, fx.GRID, scales=FACTORS))
+    routes = terrain.routes_of(plain.unionByName(made.select(K, "u", "v")), sites, dem, fx.GRID, scales=FACTORS)
     routes = graph.stored(routes.withColumn(K, F.col(K) * 100 + F.col("scale")).drop("scale"))
-    every = functools.reduce(DataFrame.unionByName, [sites.withColumn(K, F.col(K) * 100 + i) for i in FACTORS])
-    cost, _ = side_by_side(designs.spanning(graph.stored(every), routes)[1:], routes, loads(every))
+    times = lambda df: functools.reduce(DataFrame.unionByName, [df.withColumn(K, F.col(K) * 100 + i) for i in FACTORS])
+    trees = [("mst_map", times(plain)), ("mst_terrain", made.select((F.col(K) * 100 + F.col("variant")).alias(K), "u", "v"))]
+    cost, _ = side_by_side(trees, routes, loads(times(sites)))
     out = designs.saving(cost, "mst_map", "mst_terrain").join(cost.filter("topology = 'mst_terrain'").select(K, "n_zones"), K)
     factor = F.element_at(F.array(*map(F.lit, FACTORS.values())), (F.col(K) % 100 + 1).cast("int"))
     return out.select(F.floor(F.col(K) / 100).alias(K), factor.alias("factor"), "n_zones", F.round("saving_pct", 6).alias("saving_pct"))
