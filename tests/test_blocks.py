@@ -111,3 +111,10 @@ def test_a_long_path_is_rooted_in_few_jobs(spark):
     spark.sparkContext.setJobGroup("rooting", "rooting")
     assert max(r.depth for r in graph.rooted(path).collect()) == 300 and 0 < jobs() < 20
     spark.sparkContext.setJobGroup("rest", "rest")
+
+
+def test_medians(spark):
+    rng = np.random.default_rng(1)
+    rows = [(n, float(w)) for n, size in ((1, 1), (2, 2), (3, 301), (4, 400)) for w in np.round(rng.random(size) * 50 + 1e-3, 1 + n % 2)]
+    got = {r.network_id: r.median for r in queries.medians(spark.createDataFrame(rows, "network_id long, w double")).collect()}
+    assert got == pytest.approx({n: float(np.median([w for m, w in rows if m == n])) for n in (1, 2, 3, 4)})
