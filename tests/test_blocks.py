@@ -36,7 +36,7 @@ def test_distances(nodes, monkeypatch, block):
 
 def test_no_task_makes_most_pairs_of_a_network(spark):
     one = spark.range(3000).selectExpr("id div 3000 AS network_id", "id AS node", "rand(1) AS x", "rand(2) AS y")
-    for made in (graph.pairs(one),):
+    for made in (graph.pairs(one), steiner.hanan(one)):
         sizes = [n for n in made.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
         assert max(sizes) < sum(sizes) / 2
 
