@@ -101,38 +101,71 @@ def _max_flow(caps: dict[int, dict[int, int]], source: int, sink: int, most: int
     return flow
 
 
+def _edge_flows(names: list[int], near: dict[int, dict[int, float]], least: int) -> int:
+    arcs = {u: dict.fromkeys(vs, 1) for u, vs in near.items()}
+    return min((_max_flow(arcs, names[0], t, least) for t in names[1:]), default=0)
+
+
+def _node_flows(names: list[int], near: dict[int, dict[int, float]], least: int) -> int:
+    split: dict = {}
+    for u in names:
+        split.setdefault((u, 0), {})[u, 1] = 1
+        for v in near[u]:
+            split.setdefault((u, 1), {})[v, 0] = len(names)
+            split.setdefault((v, 0), {})
+    first = min(names, key=lambda u: len(near[u]))
+    far = [(first, t) for t in names if t != first and t not in near[first]]
+    far += [(a, b) for a in near[first] for b in near[first] if a < b and b not in near[a]]
+    return min([least, *(_max_flow(split, (s, 1), (t, 0), least) for s, t in far)])
+
+
+def _cuts(names: list[int], near: dict[int, dict[int, float]]) -> tuple[int, bool]:
+    """How many edges of the part of the first node are bridges, and whether a node of it cuts it, by one depth-first search."""
+    place, low, bridges, cut, first = {names[0]: 0}, {names[0]: 0}, 0, False, 0
+    stack = [(names[0], None, iter(near[names[0]]))]
+    while stack:
+        node, up, rest = stack[-1]
+        other = next(rest, None)
+        if other is None:
+            stack.pop()
+            if up is not None:
+                low[up] = min(low[up], low[node])
+                bridges += low[node] > place[up]
+                if up == names[0]:
+                    first += 1
+                else:
+                    cut |= low[node] >= place[up]
+        elif other not in place:
+            place[other] = low[other] = len(place)
+            stack.append((other, node, iter(near[other])))
+        elif other != up:
+            low[node] = min(low[node], place[other])
+    return bridges, cut or first > 1
+
+
 def connectivity(edges: DataFrame) -> DataFrame:
     """network_id, edge and node connectivity, bridges, bridge_fraction, cycle_rank, two_edge_connected.
 
     A network that is not connected has connectivity 0 and counts no bridges; its cycle rank is that of all its parts.
+    One search finds bridges and cutting nodes; flows between pairs are needed only of networks that have none.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, near = _adjacency(pdf)
         n, m = len(names), sum(map(len, near.values())) // 2
         least = min(len(x) for x in near.values())
-        arcs = {u: dict.fromkeys(vs, 1) for u, vs in near.items()}
-        edge = min((_max_flow(arcs, names[0], t, least) for t in names[1:]), default=0)
-        split: dict = {}
-        for u in names:
-            split.setdefault((u, 0), {})[u, 1] = 1
-            for v in near[u]:
-                split.setdefault((u, 1), {})[v, 0] = n
-                split.setdefault((v, 0), {})
-        first = min(names, key=lambda u: len(near[u]))
-        far = [(first, t) for t in names if t != first and t not in near[first]]
-        far += [(a, b) for a in near[first] for b in near[first] if a < b and b not in near[a]]
-        node = min([least, *(_max_flow(split, (s, 1), (t, 0), least) for s, t in far)]) if edge else 0
-        bridges = parts = 0
-        left = set(names)
+        parts, left = 0, set(names)
         while left:
             parts += 1
             reach = [left.pop()]
             for u in reach:
                 reach += [v for v in near[u] if v in left]
                 left -= set(near[u])
-        for u, v in {(min(u, v), max(u, v)) for u in names for v in near[u]} if edge else ():
-            bridges += _max_flow(arcs, u, v, 2) < 2
+        edge = node = bridges = 0
+        if parts == 1 and n > 1:
+            bridges, cut = _cuts(names, near)
+            edge = 1 if bridges else _edge_flows(names, near, least)
+            node = 1 if cut or least == 1 else _node_flows(names, near, least)
         return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "edge_connectivity": [edge], "node_connectivity": [node], "bridges": [bridges], "bridge_fraction": [bridges / m], "cycle_rank": [m - n + parts], "two_edge_connected": [edge >= 2]})
 
     return edges.groupBy(KEY).applyInPandas(run, f"{KEY} {dict(edges.dtypes)[KEY]}, edge_connectivity int, node_connectivity int, bridges int, bridge_fraction double, cycle_rank int, two_edge_connected boolean")

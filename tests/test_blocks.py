@@ -118,3 +118,34 @@ def test_medians(spark):
     rows = [(n, float(w)) for n, size in ((1, 1), (2, 2), (3, 301), (4, 400)) for w in np.round(rng.random(size) * 50 + 1e-3, 1 + n % 2)]
     got = {r.network_id: r.median for r in queries.medians(spark.createDataFrame(rows, "network_id long, w double")).collect()}
     assert got == pytest.approx({n: float(np.median([w for m, w in rows if m == n])) for n in (1, 2, 3, 4)})
+
+
+def test_connectivity_against_removals(spark):
+    import itertools
+    import time
+
+    from heatlattice.operators import centrality
+
+    def joined(nodes, edges):
+        reach = {next(iter(nodes))} if nodes else set()
+        while more := {b for u, v in edges for a, b in ((u, v), (v, u)) if a in reach and b in nodes} - reach:
+            reach |= more
+        return len(reach) == len(nodes)
+
+    rng, nets = random.Random(8), {}
+    for n in range(40):
+        size = rng.randint(2, 7)
+        every = list(itertools.combinations(range(size), 2))
+        nets[n] = rng.sample(every, rng.randint(1, len(every)))
+    rows = [(n, u, v, 1.0) for n, es in nets.items() for u, v in es]
+    got = {r.network_id: r for r in centrality.connectivity(spark.createDataFrame(rows, "network_id long, u long, v long, length double")).collect()}
+    for n, es in nets.items():
+        nodes = {x for e in es for x in e}
+        edge = next(k for k in range(len(es) + 1) if any(not joined(nodes, set(es) - set(c)) for c in itertools.combinations(es, k)))
+        node = next((k for k in range(len(nodes) - 1) if any(not joined(nodes - set(c), es) for c in itertools.combinations(nodes, k))), len(nodes) - 1)
+        bridges = sum(not joined(nodes, set(es) - {e}) for e in es) if edge else 0
+        assert (got[n].edge_connectivity, got[n].node_connectivity, got[n].bridges) == (edge, node, bridges)
+    tree = spark.range(1, 6001).selectExpr("1L AS network_id", "id div 3 AS u", "id AS v", "1D AS length")
+    start = time.time()
+    r = centrality.connectivity(tree).first()
+    assert (r.edge_connectivity, r.node_connectivity, r.bridges) == (1, 1, 6000) and time.time() - start < 30
