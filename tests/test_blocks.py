@@ -149,3 +149,32 @@ def test_connectivity_against_removals(spark):
     start = time.time()
     r = centrality.connectivity(tree).first()
     assert (r.edge_connectivity, r.node_connectivity, r.bridges) == (1, 1, 6000) and time.time() - start < 30
+
+
+def test_fiedler_vectors_of_large_networks(monkeypatch):
+    from heatlattice.operators import netsci
+
+    rng = random.Random(9)
+    for chords in (0, 1, 6):
+        rows = [(rng.randrange(max(0, i - 9), i), i, 1 / (1 + rng.random() * 9)) for i in range(1, 120)]
+        rows += [(*rng.sample(range(120), 2), 0.3 + rng.random()) for _ in range(chords)]
+        rows += rows[:2]  # parallel
+        pdf = pd.DataFrame(rows, columns=["u", "v", "conductance"])
+        names, lap = netsci._laplacian(pdf)
+        values, vectors = np.linalg.eigh(lap)
+        monkeypatch.setattr(netsci, "MOST_DENSE", 10)
+        found, second, f = netsci._fiedler(pdf)
+        assert found.tolist() == names.tolist() and second == pytest.approx(values[1], rel=1e-9)
+        assert abs(f @ vectors[:, 1]) == pytest.approx(1, abs=1e-9)
+    two = pd.DataFrame([(10 * k + i, 10 * k + i + 1, 1.0) for k in (0, 5) for i in range(9)], columns=["u", "v", "conductance"])
+    _, second, f = netsci._fiedler(two)
+    assert second == 0 and len(set(np.sign(f[:10]))) == 1 and (np.sign(f[:10]) == -np.sign(f[10:])).all()
+
+
+def test_zones_of_a_large_network_end(spark):
+    from heatlattice.operators import netsci
+
+    n = 6000  # all eigenvalues of it take minutes
+    edges = spark.range(1, n + 1).selectExpr("1L AS network_id", "id div 7 AS u", "id AS v", "1D + id % 5 AS conductance")
+    r = netsci.spectrum(edges).agg({"lambda2": "max", "fiedler": "sum"}).first()
+    assert r["max(lambda2)"] > 0 and abs(r["sum(fiedler)"]) < 1e-6
