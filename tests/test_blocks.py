@@ -178,3 +178,17 @@ def test_zones_of_a_large_network_end(spark):
     edges = spark.range(1, n + 1).selectExpr("1L AS network_id", "id div 7 AS u", "id AS v", "1D + id % 5 AS conductance")
     r = netsci.spectrum(edges).agg({"lambda2": "max", "fiedler": "sum"}).first()
     assert r["max(lambda2)"] > 0 and abs(r["sum(fiedler)"]) < 1e-6
+
+
+def test_steiner_trees_of_a_task_equal_those_of_rounds(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(n, i, rng.random() * 100, rng.random() * 100) for n, size in ((1, 9), (2, 6), (3, 1), (4, 2)) for i in range(size)]
+    nodes = spark.createDataFrame(rows, NODES)
+    jobs = []
+    for work in (steiner.TASK_WORK, -1):
+        monkeypatch.setattr(steiner, "TASK_WORK", work)
+        monkeypatch.setattr(steiner, "TIES", 50)
+        spark.sparkContext.setJobGroup(f"work {work}", "steiner")
+        jobs.append((sorted(map(tuple, steiner.designs(nodes).collect())), len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"work {work}"))))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs[0][0] == jobs[1][0] and jobs[0][1] < jobs[1][1]
