@@ -192,3 +192,13 @@ def test_steiner_trees_of_a_task_equal_those_of_rounds(spark, monkeypatch):
         jobs.append((sorted(map(tuple, steiner.designs(nodes).collect())), len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"work {work}"))))
     spark.sparkContext.setJobGroup("rest", "rest")
     assert jobs[0][0] == jobs[1][0] and jobs[0][1] < jobs[1][1]
+
+
+def test_swaps_of_networks_run_apart(spark):
+    from heatlattice.operators import search
+
+    pairs = spark.createDataFrame([(n, 0, 1, 5.0, 5.0, 0.0, 1.0) for n in range(8)], "network_id long, u long, v long, w double, l3d double, z_low double, z_high double")
+    demand = spark.createDataFrame([(n, 1, 50.0) for n in range(8)], "network_id long, node long, demand_kw double")
+    made = search.swapped(pairs, pairs.select("network_id", "u", "v"), demand)
+    sizes = made.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 8 and sum(n > 0 for n in sizes) >= 4
