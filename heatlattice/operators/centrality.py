@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatlattice.operators.graph import KEY
+from heatlattice.operators.graph import KEY, spread_networks
+from heatlattice.operators.netsci import MOST_DENSE
 
 
 def _adjacency(pdf: pd.DataFrame) -> tuple[list[int], dict[int, dict[int, float]]]:
@@ -24,8 +25,8 @@ def _adjacency(pdf: pd.DataFrame) -> tuple[list[int], dict[int, dict[int, float]
     return sorted(near), near
 
 
-def _dependencies(source: int, near: dict[int, dict[int, float]]) -> tuple[dict[int, float], dict[int, float]]:
-    """Distances from a source, and how much each node lies on cheapest paths from it."""
+def _dependencies(source: int, near: dict[int, dict[int, float]], weight: dict[int, int]) -> tuple[dict[int, float], dict[int, float]]:
+    """Distances from a source, and the weight of targets that each node lies before on cheapest paths to them."""
     cost, paths, before, order = {source: 0.0}, {source: 1.0}, {source: []}, []
     heap, done = [(0.0, source)], set()
     while heap:
@@ -45,37 +46,99 @@ def _dependencies(source: int, near: dict[int, dict[int, float]]) -> tuple[dict[
     share = dict.fromkeys(order, 0.0)
     for node in reversed(order):
         for up in before[node]:
-            share[up] += paths[up] / paths[node] * (1 + share[node])
+            share[up] += paths[up] / paths[node] * (weight[node] + share[node])
     return cost, share
 
 
+def _passed(names: list[int], near: dict[int, dict[int, float]]) -> tuple[dict[int, float], dict[int, float], dict[int, int]]:
+    """Of each node: ordered pairs whose cheapest paths pass it between their ends, its distances in all, and the nodes of its part.
+
+    Trees that hang on loops are taken away end by end, and a node that is left stands for all that hung on it: only the
+    nodes of loops, and of ways between them, have paths searched from them. A part without loops comes down to one node.
+    """
+    rest = {u: {v for v in near[u] if v != u} for u in names}
+    below, far, alone, up, hung = dict.fromkeys(names, 1), dict.fromkeys(names, 0.0), dict.fromkeys(names, 0), {}, [u for u in names if len(rest[u]) == 1]
+    for u in hung:  # grows
+        if rest[u]:
+            (top,) = rest[u]
+            up[u] = top
+            below[top] += below[u]
+            far[top] += far[u] + below[u] * near[u][top]
+            alone[top] += below[u] * below[u]
+            rest[top].discard(u)
+            if len(rest[top]) == 1:
+                hung.append(top)
+    core = {u: {v: near[u][v] for v in near[u] if v not in up and v != u} for u in names if u not in up}
+    through, total, size = dict.fromkeys(names, 0.0), {}, {}
+    for s in core:
+        cost, share = _dependencies(s, core, below)
+        for node, x in share.items():
+            through[node] += below[s] * x if node != s else 0.0
+        size[s] = sum(below[t] for t in cost)
+        total[s] = sum(below[t] * d + far[t] for t, d in cost.items())
+    for u in reversed([u for u in hung if u in up]):
+        size[u] = size[up[u]]
+        total[u] = total[up[u]] + near[u][up[u]] * (size[u] - 2 * below[u])
+    for u in names:
+        own = below[u] - 1
+        through[u] += 2 * own * (size[u] - below[u]) + own * own - alone[u]
+    return through, total, size
+
+
+def _leading(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Vector of the greatest eigenvalue of the matrix that has 1 at (u, v): of up to MOST_DENSE nodes from all, beyond that by Lanczos' steps."""
+    if n <= MOST_DENSE:
+        a = np.zeros((n, n))
+        a[u, v] = 1
+        return np.linalg.eigh(a)[1][:, -1]
+    lead = np.ones(n)
+    for _ in range(RESTARTS):
+        basis, main, side = [lead / np.linalg.norm(lead)], [], []
+        for _ in range(STEPS):
+            r = np.bincount(u, basis[-1][v], n)
+            main.append(float(basis[-1] @ r))
+            every = np.array(basis)
+            for _ in range(2):
+                r -= every.T @ (every @ r)
+            side.append(float(np.linalg.norm(r)))
+            values, vectors = np.linalg.eigh(np.diag(main) + np.diag(side[:-1], 1) + np.diag(side[:-1], -1))
+            if settled := side[-1] * abs(vectors[-1, -1]) <= 1e-14 * values[-1]:
+                break
+            basis.append(r / side[-1])
+        lead = np.array(basis[: len(main)]).T @ vectors[:, -1]
+        if settled:
+            break
+    return lead / np.linalg.norm(lead)
+
+
+#: Lanczos' steps before they start again from the best vector, and how often they do.
+STEPS, RESTARTS = 60, 100
+
+
 def centralities(edges: DataFrame) -> DataFrame:
-    """network_id, node, degree, betweenness, closeness, eigenvector, pagerank of (u, v, length)."""
+    """network_id, node, degree, betweenness, closeness, eigenvector, pagerank of (u, v, length).
+
+    Hanging trees cost no search; what loops consist of costs one a node. The rest goes by edges.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, near = _adjacency(pdf)
         n = len(names)
-        between, close = dict.fromkeys(names, 0.0), {}
-        for s in names:
-            cost, share = _dependencies(s, near)
-            for node, x in share.items():
-                between[node] += x if node != s else 0.0
-            total = sum(cost.values())
-            close[s] = (len(cost) - 1) / total * (len(cost) - 1) / (n - 1) if total > 0 and n > 1 else 0.0
+        through, total, size = _passed(names, near)
+        close = [(size[x] - 1) / total[x] * (size[x] - 1) / (n - 1) if total[x] > 0 and n > 1 else 0.0 for x in names]
         scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-        a = np.zeros((n, n))
         at = {name: i for i, name in enumerate(names)}
-        for u in names:
-            for v in near[u]:
-                a[at[u], at[v]] = 1
-        lead = np.linalg.eigh(a)[1][:, -1]
+        u = np.repeat(np.arange(n), [len(near[x]) for x in names])
+        v = np.array([at[y] for x in names for y in near[x]])
+        degree = np.bincount(u, minlength=n)
+        lead = _leading(u, v, n)
         lead = lead * (np.sign(lead.sum()) or 1)
         rank = np.full(n, 1 / n)
         for _ in range(200):
-            rank = 0.15 / n + 0.85 * (a / a.sum(1, keepdims=True)).T @ rank
-        return pd.DataFrame({KEY: pdf[KEY].iloc[0], "node": names, "degree": a.sum(1).astype(int), "betweenness": [between[x] * scale for x in names], "closeness": [close[x] for x in names], "eigenvector": lead, "pagerank": rank})
+            rank = 0.15 / n + 0.85 * np.bincount(v, (rank / degree)[u], n)
+        return pd.DataFrame({KEY: pdf[KEY].iloc[0], "node": names, "degree": degree, "betweenness": [through[x] * scale for x in names], "closeness": close, "eigenvector": lead, "pagerank": rank})
 
-    return edges.groupBy(KEY).applyInPandas(run, f"{KEY} {dict(edges.dtypes)[KEY]}, node long, degree int, betweenness double, closeness double, eigenvector double, pagerank double")
+    return spread_networks(edges).groupBy(KEY).applyInPandas(run, f"{KEY} {dict(edges.dtypes)[KEY]}, node long, degree int, betweenness double, closeness double, eigenvector double, pagerank double")
 
 
 def _max_flow(caps: dict[int, dict[int, int]], source: int, sink: int, most: int) -> int:
