@@ -234,35 +234,116 @@ def connectivity(edges: DataFrame) -> DataFrame:
     return edges.groupBy(KEY).applyInPandas(run, f"{KEY} {dict(edges.dtypes)[KEY]}, edge_connectivity int, node_connectivity int, bridges int, bridge_fraction double, cycle_rank int, two_edge_connected boolean")
 
 
+class _Merging:
+    """Communities under merging. A pair of neighbours is kept by the one that had more neighbours when they first met.
+
+    It keeps its neighbours by what a merge with them depends on, their share and the pair's edges, the least name first: however many
+    hang on it, it compares a few kinds. What a merge changes are the kinds of the one that is left with the few that keep it.
+    """
+
+    def __init__(self, names: list[int], near: dict[int, dict[int, float]]):
+        self.m = sum(map(len, near.values())) / 2
+        self.name = {u: u for u in names}
+        self.share = {u: len(near[u]) / (2 * self.m) for u in names}
+        self.between = {u: {v: 1 / (2 * self.m) for v in near[u] if v != u} for u in names}
+        self.keepers: dict[int, set[int]] = {u: set() for u in names}
+        self.kinds: dict[int, dict[tuple[float, float], list[tuple[int, int]]]] = {u: {} for u in names}
+        self.round, self.heap = dict.fromkeys(names, 0), []
+        for u in names:
+            for v in self.between[u]:
+                if u < v:
+                    self.meet(u, v)
+        for u in names:
+            self.compare(u)
+
+    def meet(self, u: int, v: int) -> None:
+        a, b = (u, v) if len(self.between[u]) >= len(self.between[v]) else (v, u)
+        self.keepers[b].add(a)
+        self.keep(a, b)
+
+    def keep(self, a: int, b: int) -> None:
+        heapq.heappush(self.kinds[a].setdefault((self.between[a][b], self.share[b]), []), (self.name[b], b))
+
+    def compare(self, a: int) -> None:
+        """The best merge of a with one that it keeps; of equal ones that of the least names."""
+        self.round[a] += 1
+        best, kinds = None, self.kinds[a]
+        for kind in list(kinds):
+            w, share = kind
+            rows = kinds[kind]
+            while rows:
+                name, b = rows[0]
+                if self.between[a].get(b) == w and a in self.keepers[b] and self.share[b] == share and self.name[b] == name:
+                    break
+                heapq.heappop(rows)
+            if not rows:
+                del kinds[kind]
+                continue
+            offer = (-2 * (w - self.share[a] * share), min(self.name[a], name), max(self.name[a], name), a, b)
+            best = offer if best is None or offer < best else best
+        if best:
+            heapq.heappush(self.heap, (*best, self.round[a]))
+
+    def merge(self, a: int, b: int) -> None:
+        if len(self.between[a]) < len(self.between[b]):
+            a, b = b, a
+        self.name[a] = min(self.name[a], self.name[b])
+        self.share[a] += self.share[b]
+        changed = {a}
+        changed |= self.keepers[b] - {a}
+        self.keepers[a].discard(b)
+        self.keepers[b], self.kinds[b] = set(), {}
+        self.round[b] += 1
+        for v, w in self.between.pop(b).items():
+            del self.between[v][b]
+            self.keepers[v].discard(b)
+            if v == a:
+                continue
+            known = v in self.between[a]
+            self.between[a][v] = self.between[v][a] = self.between[a].get(v, 0) + w
+            if not known:
+                self.meet(a, v)
+            elif a in self.keepers[v]:
+                self.keep(a, v)
+        for v in self.keepers[a]:
+            self.keep(v, a)
+        for v in changed | self.keepers[a]:
+            self.compare(v)
+
+
+def _merged(names: list[int], near: dict[int, dict[int, float]]) -> tuple[dict[int, int], dict[int, float]]:
+    """The community of each node, named by its least one, and the share of each."""
+    now, into = _Merging(names, near), {}
+    while now.heap:
+        loss, first, second, a, b, step = heapq.heappop(now.heap)
+        if a not in now.between or step != now.round[a]:
+            continue
+        if -loss <= 1e-15:
+            break
+        into[second] = first
+        now.merge(a, b)
+    label = {}
+    for u in names:  # a community's name is less than those of what went into it
+        label[u] = label[into[u]] if u in into else u
+    return label, {now.name[a]: now.share[a] for a in now.between}
+
+
 def communities(edges: DataFrame) -> DataFrame:
     """network_id, node, community, modularity: merging, while it helps, the two communities that raise modularity most."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, near = _adjacency(pdf)
         m = sum(map(len, near.values())) / 2
-        share = {u: len(near[u]) / (2 * m) for u in names}
-        between = {u: {v: 1 / (2 * m) for v in near[u] if v != u} for u in names}
-        label = {u: u for u in names}
-        while True:
-            gain, a, b = max(((2 * (w - share[u] * share[v]), -u, -v) for u, vs in between.items() for v, w in vs.items() if u < v), default=(0, 0, 0))
-            if gain <= 1e-15:
-                break
-            a, b = -a, -b
-            for v, w in between.pop(b).items():
-                between[v].pop(b)
-                if v != a:
-                    between[a][v] = between[v][a] = between[a].get(v, 0) + w
-            share[a] += share.pop(b)
-            label = {u: a if c == b else c for u, c in label.items()}
-        inside = {c: 0.0 for c in share}
+        label, share = _merged(names, near)
+        inside = {c: 0.0 for c in sorted(share)}
         for u in names:
             for v in near[u]:
                 if label[u] == label[v]:
                     inside[label[u]] += 1 / (2 * m)
-        q = sum(inside[c] - share[c] ** 2 for c in share)
+        q = sum(inside[c] - share[c] ** 2 for c in inside)
         return pd.DataFrame({KEY: pdf[KEY].iloc[0], "node": names, "community": [label[u] for u in names], "modularity": q})
 
-    return edges.groupBy(KEY).applyInPandas(run, f"{KEY} {dict(edges.dtypes)[KEY]}, node long, community long, modularity double")
+    return spread_networks(edges).groupBy(KEY).applyInPandas(run, f"{KEY} {dict(edges.dtypes)[KEY]}, node long, community long, modularity double")
 
 
 def _trial(rng: np.random.Generator, n: int, m: int) -> tuple[int, int, float]:

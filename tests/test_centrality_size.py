@@ -81,3 +81,40 @@ def test_centralities_of_a_large_network_end(spark):
     began = time.monotonic()
     rows = centrality.centralities(spark.createDataFrame(hung(6000, 1), EDGES)).toPandas()
     assert len(rows) == 6006 and abs(rows.pagerank.sum() - 1) < 1e-9 and time.monotonic() - began < 60
+
+
+def merged_by_definition(edges: list[tuple[int, int]]) -> dict[int, int]:
+    """Every pair of communities compared at every step."""
+    names = sorted({x for e in edges for x in e})
+    m, label = len(edges), {x: x for x in names}
+    degree = {x: sum(x in e for e in edges) for x in names}
+    while True:
+        between: dict[tuple[int, int], int] = {}
+        for u, v in edges:
+            a, b = sorted((label[u], label[v]))
+            if a != b:
+                between[a, b] = between.get((a, b), 0) + 1
+        share = {c: sum(degree[x] for x in names if label[x] == c) for c in set(label.values())}
+        # gains in whole numbers, so equal ones are equal
+        gain, a, b = max(((2 * m * w - share[a] * share[b], -a, -b) for (a, b), w in between.items()), default=(0, 0, 0))
+        if gain <= 0:
+            return label
+        label = {x: -a if c == -b else c for x, c in label.items()}
+
+
+def test_communities_are_those_of_every_pair_compared(spark):
+    rng, rows, want = random.Random(4), [], {}
+    for key in range(40):
+        n = rng.randrange(4, 26)
+        m = 2 ** rng.randrange(3, 6)  # shares are sums of halves of it, so doubles are exact
+        pairs = [(u, v) for u in range(n) for v in range(u + 1, n)]
+        edges = rng.sample(pairs, min(m, 2 ** (len(pairs).bit_length() - 1)))
+        rows += [(key, *e, 1.0) for e in edges]
+        want |= {(key, x): c for x, c in merged_by_definition(edges).items()}
+    assert {(r.network_id, r.node): r.community for r in centrality.communities(spark.createDataFrame(rows, EDGES)).collect()} == want
+
+
+def test_communities_of_a_large_network_end(spark):
+    began = time.monotonic()
+    rows = centrality.communities(spark.createDataFrame(hung(20000, 1), EDGES)).toPandas()
+    assert len(rows) == 20006 and rows.community.nunique() == 5 and time.monotonic() - began < 60
