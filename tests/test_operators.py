@@ -172,6 +172,14 @@ def test_zones_split_steep_networks(spark):
     assert len(spans) == 2 and all(40 * (max(s) - min(s)) <= 150.9 for s in spans)
 
 
+def test_zones_are_cut_until_each_holds(spark):
+    nodes = spark.createDataFrame([(0, i, 100.0 * i) for i in range(32)], "network_id long, node long, z double")
+    edges = edges_of(spark, [(0, i, i + 1, 1.0) for i in range(31)], "network_id long, u long, v long, conductance double")
+    labels = netsci.zones(nodes, edges)
+    assert netsci.zone_counts(labels, edges).first()[1:] == (16, 15)  # no two neighbours but one are within 150.9 m
+    assert netsci.zone_counts(netsci.zones(nodes, edges, 8), edges).first()[1:] == (8, 7)
+
+
 def test_geojson_round_trip(spark, tmp_path):
     def feature(ident, cells, homes):
         return {"type": "Feature", "geometry": None, "properties": {"ID": ident, "GEN": "town", "LAN": "XX", "area": 1.5, "DH_demand": 10.0, "DH_supplied_households": homes, "DH_cells": cells}}
