@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from heatlattice.functions import physics as p
 from heatlattice.functions.params import GROUND, Ground
-from heatlattice.operators.graph import BLOCK, KEY, blocks_of_two, both_ways, canonical, forest_of, spanning_tree, spread_groups
+from heatlattice.operators.graph import BLOCK, KEY, blocks_of_two, both_ways, canonical, forest_of, spanning_tree, spanning_tree_of_points, spread_groups, spread_networks
 from heatlattice.storage import stored
 
 SPACING = 25.0
@@ -111,14 +111,10 @@ def sampled_routes(nodes: DataFrame, dem: DataFrame, grid: tuple[float, float, f
 
 def by_blocks(nodes: DataFrame, dem: DataFrame, grid: tuple[float, float, float, int, int], spacing: float, grounds: dict[str, Ground] | None, scales: dict[int, float] | None, kept: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """Those rows of all_routes() that are kept of every two blocks of nodes."""
-    x0, y0, step, nx, ny = grid
+    nx, ny = grid[3:]
     block = max(1, int(BLOCK / len(scales or [1]) ** 0.5))
     points = stored(blocks_of_two(nodes, block))
-    tile = lambda c, at, n: F.expr(f"cast(floor(least(greatest(({c} - {at!r}D) / {step!r}D, 0D), {n - 1.0001!r}D)) / {TILE} as int)")
-    box = points.select(KEY, "i", "j", tile("x", x0, nx).alias("ti"), tile("y", y0, ny).alias("tj")).groupBy(KEY, "i", "j")
-    box = box.agg(F.min("ti").alias("t0"), F.max("ti").alias("t1"), F.min("tj").alias("s0"), F.max("tj").alias("s1"))
-    wanted = box.select(KEY, "i", "j", F.explode(F.expr("sequence(t0, t1)")).alias("ti"), "s0", "s1").select(KEY, "i", "j", "ti", F.explode(F.expr("sequence(s0, s1)")).alias("tj"))
-    tiles = wanted.join(tiled(dem, nx, ny), ["ti", "tj"]).select(KEY, "i", "j", "ti", "tj", "zs").toDF(KEY, "i", "j", "ti", "tj", "zs")
+    tiles = tiles_under(points, dem, grid)
     names = [*(grounds or {})]
 
     def run(points: pd.DataFrame, tiles: pd.DataFrame) -> pd.DataFrame:
@@ -143,6 +139,16 @@ def by_blocks(nodes: DataFrame, dem: DataFrame, grid: tuple[float, float, float,
     return spread_groups(points).groupBy(KEY, "i", "j").cogroup(spread_groups(tiles).groupBy(KEY, "i", "j")).applyInPandas(run, shape)
 
 
+def tiles_under(points: DataFrame, dem: DataFrame, grid: tuple[float, float, float, int, int]) -> DataFrame:
+    """The tiles under the points (x, y) of every two blocks i, j of a network."""
+    x0, y0, step, nx, ny = grid
+    tile = lambda c, at, n: F.expr(f"cast(floor(least(greatest(({c} - {at!r}D) / {step!r}D, 0D), {n - 1.0001!r}D)) / {TILE} as int)")
+    box = points.select(KEY, "i", "j", tile("x", x0, nx).alias("ti"), tile("y", y0, ny).alias("tj")).groupBy(KEY, "i", "j")
+    box = box.agg(F.min("ti").alias("t0"), F.max("ti").alias("t1"), F.min("tj").alias("s0"), F.max("tj").alias("s1"))
+    wanted = box.select(KEY, "i", "j", F.explode(F.expr("sequence(t0, t1)")).alias("ti"), "s0", "s1").select(KEY, "i", "j", "ti", F.explode(F.expr("sequence(s0, s1)")).alias("tj"))
+    return wanted.join(tiled(dem, nx, ny), ["ti", "tj"]).select(KEY, "i", "j", "ti", "tj", "zs").toDF(KEY, "i", "j", "ti", "tj", "zs")
+
+
 def heights(tiles: pd.DataFrame, nx: int, ny: int) -> tuple[int, int, np.ndarray]:
     """First cells and heights of the part of a grid that lies under tiles (ti, tj, zs)."""
     i0, j0 = int(tiles.ti.min()) * TILE, int(tiles.tj.min()) * TILE
@@ -216,33 +222,120 @@ def _summed(node: np.ndarray, chain: list[np.ndarray], zs: list[np.ndarray], pla
     return pd.DataFrame(out | {"dz": last - zs[0], "climb": climb, "max_slope": steepest, "mean_slope": slopes / np.fmax(l3d, 1e-9), "feasible": feasible, "w": finite(weights["w"])})
 
 
-def trees(nodes: DataFrame, dem: DataFrame, grid: tuple[float, float, float, int, int], spacing: float = SPACING, grounds: dict[str, Ground] | None = None, scales: dict[int, float] | None = None) -> DataFrame:
+def trees(nodes: DataFrame, dem: DataFrame, grid: tuple[float, float, float, int, int], spacing: float = SPACING, grounds: dict[str, Ground] | None = None, scales: dict[int, float] | None = None, seed: DataFrame | None = None) -> DataFrame:
     """network_id, variant, u, v, w of the spanning trees of all routes by their weight, without keeping the routes.
 
     There is a tree for each of ``grounds`` (variant is its place) or ``scales`` (its number), else variant is 0. Of every two
     blocks only the routes of their own trees go on: any other closes a cycle of smaller ones. A network's key is a long.
+
+    No route weighs less than its straight line where slopes only add to it. So a pair is sampled only if its line is no longer than the
+    heaviest edge between its ends in a tree whose weights are known: ``seed`` (u, v), by default the spanning tree by distance.
     """
     weights = [*(grounds or {"w": GROUND})]
-
-    def kept(routes: pd.DataFrame) -> pd.DataFrame:
-        ways = routes.sort_values(["u", "v"], ignore_index=True)
-        if grounds:
-            return pd.concat([forest_of(ways.assign(w=ways[c], z_low=float(i)), [KEY]) for i, c in enumerate(weights)])
-        return forest_of(ways, [KEY, "scale"] if scales else [KEY])
-
+    lists = F.array(*(F.struct(F.lit(i).alias("variant"), F.col(c).alias("w")) for i, c in enumerate(weights)))
+    by_variant = lambda ways: ways.select(KEY, F.col("scale").alias("variant"), "u", "v", "w") if scales else ways.select(KEY, "u", "v", F.explode(lists).alias("e")).select(KEY, "e.variant", "u", "v", "e.w")
     if small(grid):
-        found = by_blocks(nodes, dem, grid, spacing, grounds, scales, kept)
-        variant = F.col("scale") if scales else F.col("z_low").cast("int") if grounds else F.lit(0)
-        found = found.select(KEY, variant.alias("variant"), "u", "v", "w")
+        seed = spanning_tree_of_points(nodes) if seed is None else seed
+        known = by_variant(routes_of(seed, nodes, dem, grid, spacing, grounds, scales)).groupBy(KEY, "u", "v").agg(F.max("w").alias("w"))
+        adds = all(g.a1 >= 0 and g.a2 >= 0 and g.rock_factor >= 1 for g in (grounds or {"w": GROUND}).values())
+        found = lightest(nodes, known if adds else known.withColumn("w", F.lit(float("inf"))), dem, grid, spacing, grounds, scales)
     else:
-        every = stored(sampled_routes(nodes, dem, grid, spacing, grounds, scales))
-        of = F.explode(F.array(*(F.struct(F.lit(i).alias("variant"), F.col(c).alias("w")) for i, c in enumerate(weights))))
-        found = every.select(KEY, F.col("scale").alias("variant"), "u", "v", "w") if scales else every.select(KEY, "u", "v", of.alias("e")).select(KEY, "e.variant", "u", "v", "e.w")
+        found = by_variant(stored(sampled_routes(nodes, dem, grid, spacing, grounds, scales)))
     both = 1 + max(scales or [len(weights) - 1])
     tree = spanning_tree(found.select((F.col(KEY) * both + F.col("variant")).alias(KEY), "u", "v", "w"))
     return tree.select(F.floor(F.col(KEY) / both).cast("long").alias(KEY), F.pmod(F.col(KEY), F.lit(both)).cast("int").alias("variant"), "u", "v", "w")
 
 
+#: Nodes of a block whose pairs are looked through for routes that may be in a tree, and routes that are sampled at a time.
+TREE_BLOCK, TREE_ROUTES = 2048, 1 << 17
+
+
+def merged(nodes: pd.DataFrame, edges: pd.DataFrame, block: int) -> pd.DataFrame:
+    """node, x, y of a network with own (block), gap, before, after and tops, in the order in which its tree (u, v, w) grows together.
+
+    Parts join by the next lightest edge, one behind the other, and gap is its weight. So the heaviest edge of the tree between two nodes is the
+    greatest gap from one to the other. before and after are the greatest gaps from the block's first node and to the next block; tops has the greatest of each block.
+    """
+    names = np.unique(nodes.node.to_numpy())
+    order = np.argsort(edges.w.to_numpy(), kind="stable")
+    a, b, w = np.searchsorted(names, edges.u.to_numpy())[order], np.searchsorted(names, edges.v.to_numpy())[order], edges.w.to_numpy(dtype=float)[order]
+    part, last, behind, gap = list(range(len(names))), list(range(len(names))), [-1] * len(names), np.full(len(names), np.inf)
+
+    def first(at: int) -> int:
+        while part[at] != at:
+            part[at] = at = part[part[at]]
+        return at
+
+    for one, other, weight in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
+        one, other = first(one), first(other)
+        if one != other:
+            gap[last[one]], behind[last[one]], last[one], part[other] = weight, other, last[other], one
+    rank, row = [], np.zeros(len(names), dtype=int)
+    for head in range(len(names)):
+        at = head if part[head] == head else -1
+        while at >= 0:
+            rank.append(at)
+            at = behind[at]
+    rank = np.array(rank, dtype=int)
+    row[rank], gap = np.arange(len(rank)), gap[rank]
+    starts = range(0, len(rank), block)
+    before = np.concatenate([np.maximum.accumulate(np.append(0.0, gap[k : k + block][:-1])) for k in starts])
+    after = np.concatenate([np.maximum.accumulate(gap[k : k + block][::-1])[::-1] for k in starts])
+    at = row[np.searchsorted(names, nodes.node.to_numpy())]
+    out = nodes[[KEY, "node", "x", "y"]].assign(at=at, own=at // block, gap=gap[at], before=before[at], after=after[at])
+    return out.assign(tops=[after[starts]] * len(out))
+
+
+def lightest(nodes: DataFrame, known: DataFrame, dem: DataFrame, grid: tuple[float, float, float, int, int], spacing: float, grounds: dict[str, Ground] | None, scales: dict[int, float] | None) -> DataFrame:
+    """network_id, variant, u, v, w of routes that hold the spanning trees of all; known: a tree's edges (u, v) with their greatest weight w."""
+    nx, ny = grid[3:]
+    block, most, kind = TREE_BLOCK, TREE_ROUTES // len(scales or [1]), dict(nodes.dtypes)[KEY]
+    rows = spread_networks(nodes.filter("node is not null").select(KEY, "node", "x", "y")).groupBy(KEY).cogroup(spread_networks(known).groupBy(KEY))
+    rows = stored(rows.applyInPandas(lambda p, e: merged(p, e, block) if len(p) else pd.DataFrame(columns=[KEY, "node", "x", "y", "at", "own", "gap", "before", "after", "tops"]), f"{KEY} {kind}, node long, x double, y double, at int, own int, gap double, before double, after double, tops array<double>"))
+    met = rows.withColumn("other", F.explode(F.expr("sequence(0, size(tops) - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    reach = F.when(F.col("own") == F.col("other"), F.col("gap")).when(F.col("own") < F.col("other"), F.col("after")).otherwise(F.col("before"))
+    between = F.when(F.col("j") > F.col("i") + 1, F.expr("array_max(slice(tops, i + 2, j - i - 1))")).otherwise(0.0)
+    points = met.select(KEY, "i", "j", "node", "x", "y", "at", (F.col("own") > F.col("other")).cast("int").alias("side"), F.greatest(reach, between).alias("reach"))
+    weights = [*(grounds or {"w": GROUND})]
+
+    def run(points: pd.DataFrame, tiles: pd.DataFrame) -> pd.DataFrame:
+        one, far = points.i.iloc[0] == points.j.iloc[0], heights(tiles, nx, ny)
+        a, b = ((rows.node.to_numpy(), rows.x.to_numpy(), rows.y.to_numpy(), rows.reach.to_numpy()) for rows in (points[points.side == 0].sort_values("at"), points[points.side == (0 if one else 1)].sort_values("at")))
+        held, pairs, waiting = [], [], 0
+
+        def sampled_pairs() -> None:
+            p, q = (np.concatenate(c) for c in zip(*pairs, strict=True))
+            node, x, y = (np.stack([a[c][p], b[c][q]]) for c in range(3))
+            turned = node[0] > node[1]
+            for c in (node, x, y):
+                c[:, turned] = c[::-1, turned]
+            apart = node[0] < node[1]
+            ways = measured(node[:, apart], x[:, apart], y[:, apart], far, grid, spacing, grounds or {}, scales)
+            held.append(pd.concat([pd.DataFrame({"variant": ways.scale if scales else i, "u": ways.u, "v": ways.v, "w": ways[c]}) for i, c in enumerate(weights)]))
+            held[:] = [forest_of(pd.concat(held, ignore_index=True), ["variant"])]
+            pairs.clear()
+
+        for p in range(len(a[0]) - 1 if one else len(a[0])):
+            past = p + 1 if one else 0
+            dx, dy = b[1][past:] - a[1][p], b[2][past:] - a[2][p]
+            heaviest = np.maximum.accumulate(a[3][p:-1]) if one else np.maximum(b[3], a[3][p])
+            q = past + np.flatnonzero(~(np.sqrt(dx * dx + dy * dy) > heaviest * (1 + 1e-9)))
+            pairs.append((np.full(len(q), p), q))
+            waiting += len(q)
+            if waiting > most:
+                sampled_pairs()
+                waiting = 0
+        if waiting:
+            sampled_pairs()
+        out = pd.concat(held, ignore_index=True) if held else pd.DataFrame({"variant": [], "u": [], "v": [], "w": []})
+        out.insert(0, KEY, points[KEY].iloc[0])
+        return out
+
+    points = stored(points)
+    tiles = tiles_under(points, dem, grid)
+    return spread_groups(points).groupBy(KEY, "i", "j").cogroup(spread_groups(tiles).groupBy(KEY, "i", "j")).applyInPandas(run, f"{KEY} {kind}, variant int, u long, v long, w double")
+
+
 def nearest_routes(nodes: DataFrame, dem: DataFrame, grid: tuple[float, float, float, int, int], k: int, spacing: float = SPACING) -> DataFrame:
     """all_routes() of each node with its k nearest by weight, then node, each once; infeasible routes are left out."""
 

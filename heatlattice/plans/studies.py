@@ -103,7 +103,8 @@ def routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def spanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, DataFrame]], DataFrame]:
     """hubbed(), their star and spanning trees by distance and terrain weight, and the routes of the edges of these alone."""
     sites, dem = hubbed(spark, sf_dir), grid(spark, sf_dir)
-    trees = [("star", graph.star(sites)), ("mst_map", graph.stored(graph.spanning_tree_of_points(sites))), ("mst_terrain", graph.stored(terrain.trees(sites, dem, fx.GRID)))]
+    plain = graph.stored(graph.spanning_tree_of_points(sites))
+    trees = [("star", graph.star(sites)), ("mst_map", plain), ("mst_terrain", graph.stored(terrain.trees(sites, dem, fx.GRID, seed=plain)))]
     edges = functools.reduce(DataFrame.unionByName, [t.select(K, "u", "v") for _, t in trees])
     return sites, trees, graph.stored(terrain.routes_of(edges, sites, dem, fx.GRID))
 
@@ -130,7 +131,8 @@ TERRAIN_SQL = mst_sql("SELECT network_id, u, v, CASE WHEN feasible THEN wt ELSE
 def terrain_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spanning trees by distance and by terrain cost, and how they differ."""
     sites = hubbed(spark, sf_dir)
-    return graph.compared(graph.spanning_tree_of_points(sites), terrain.trees(sites, grid(spark, sf_dir), fx.GRID))
+    plain = graph.stored(graph.spanning_tree_of_points(sites))
+    return graph.compared(plain, terrain.trees(sites, grid(spark, sf_dir), fx.GRID, seed=plain))
 
 
 # These three read no table, so they are no registered queries.
@@ -267,7 +269,7 @@ def slope_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     dem = grid(spark, sf_dir)
     plain = graph.stored(graph.spanning_tree_of_points(sites))
     union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
-    made = graph.stored(terrain.trees(sites, dem, fx.GRID, grounds=GROUNDS))
+    made = graph.stored(terrain.trees(sites, dem, fx.GRID, grounds=GROUNDS, seed=plain))
     routes = graph.stored(terrain.routes_of(plain.select(K, "u", "v").unionByName(made.select(K, "u", "v")), sites, dem, fx.GRID, grounds=GROUNDS))
     weighed = [routes.select(K, "u", "v", "l2d", "l3d", F.col(c).alias("w"), "z_low", "z_high") for c in GROUNDS]
     every = graph.stored(union([designs.keyed(r, 2 * i + 1) for i, r in enumerate(weighed)]))
@@ -369,7 +371,7 @@ def relief_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = hubbed(spark, sf_dir)
     dem = grid(spark, sf_dir)
     plain = graph.stored(graph.spanning_tree_of_points(sites).select(K, "u", "v"))  # the same for all factors
-    made = graph.stored(terrain.trees(sites, dem, fx.GRID, scales=FACTORS))
+    made = graph.stored(terrain.trees(sites, dem, fx.GRID, scales=FACTORS, seed=plain))
     routes = terrain.routes_of(plain.unionByName(made.select(K, "u", "v")), sites, dem, fx.GRID, scales=FACTORS)
     routes = graph.stored(routes.withColumn(K, F.col(K) * 100 + F.col("scale")).drop("scale"))
     times = lambda df: functools.reduce(DataFrame.unionByName, [df.withColumn(K, F.col(K) * 100 + i) for i in FACTORS])

@@ -97,6 +97,20 @@ def test_trees_and_nearest_routes(spark, nodes, monkeypatch):
         assert rows(terrain.nearest_routes(nodes, dem, grid, 3, 10.0)) == sorted(want)
 
 
+@pytest.mark.parametrize("extra", [{}, {"scales": {0: 0.0, 3: 2.5}}])
+def test_trees_sample_no_block_of_all_pairs(spark, nodes, monkeypatch, extra):
+    dem, grid = land(spark)
+    routes = terrain.sampled_routes(nodes, dem, grid, 10.0, None, extra.get("scales"))
+    routes = graph.stored(routes.select("network_id", "scale" if extra else terrain.F.lit(0).alias("scale"), "u", "v", "w"))
+    monkeypatch.setattr(terrain, "by_blocks", None)
+    monkeypatch.setattr(terrain, "TREE_BLOCK", 5, raising=False)
+    monkeypatch.setattr(terrain, "TREE_ROUTES", 9, raising=False)
+    made = terrain.trees(nodes, dem, grid, 10.0, **extra).collect()
+    for i in extra.get("scales", {0: 1.0}):
+        want = graph.boruvka(routes.filter(f"scale = {i}").drop("scale")).select("network_id", "u", "v").collect()
+        assert sorted(r[:1] + r[2:4] for r in map(tuple, made) if r[1] == i) == sorted(map(tuple, want))
+
+
 def test_rooting_in_a_task_equals_rounds(spark):
     rng = random.Random(6)
     rows = [(n, *rng.choices(range(12), k=2)) for n in range(5) for _ in range(4 * n)] + [(7, 1, 2), (8, 0, 0), (9, 0, 3), (9, 3, 0), (9, 5, 6)]
