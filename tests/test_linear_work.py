@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import pytest
 
-from heatlattice.operators import graph, netsci, network
+from heatlattice.operators import designs, graph, netsci, network
 
 
 def plain_nearest(points, k, metric="euclidean"):
@@ -193,3 +193,20 @@ def test_best_triples_of_all(spark):
     tables = spark.createDataFrame(cover, "network_id long, u long, v long, edge long, weight double"), spark.createDataFrame(cost, "network_id long, u long, v long, cost double")
     greedy = search.greedy_cover(*tables, 3, "gain").groupBy("network_id").agg({"gain": "sum"}).toDF("network_id", "covered")
     assert {r[0]: tuple(r[1:]) for r in network.best_triples(*tables, greedy).collect()} == expected
+
+
+def test_trees_are_priced_without_rows_of_ancestors(spark, monkeypatch):
+    up = [-1, 0, 0, 1, 1, 3, 5]
+    trees = spark.createDataFrame([(1, p, n) for n, p in enumerate(up) if n] + [(2, 0, 1)], "network_id long, u long, v long")
+    demand = spark.createDataFrame([(1, n, 10.0 * n) for n in range(7)] + [(2, 1, 0.0)], "network_id long, node long, demand_kw double")
+    tree = graph.stored(graph.rooted(trees))
+    design = tree.filter("parent >= 0").selectExpr("network_id", "node AS v", "1e0 + node % 3 AS dp")
+    above = graph.stored(graph.ancestors(tree))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    flows, worst = rows(network.tree_flow(tree, above, demand)), rows(network.worst_path(design, above, demand))
+    for most in (graph.MOST_EDGES, 3):
+        assert rows(network.tree_flow_alone(tree, demand, most)) == flows
+        assert rows(network.worst_path_alone(design, tree, demand, most)) == worst
+    routes = trees.selectExpr("network_id", "u", "v", "1e2 AS l2d", "1e2 AS l3d", "1e2 AS w", "0e0 AS z_low", "1e0 AS z_high")
+    monkeypatch.setattr(graph, "ancestors", None)
+    assert designs.assessed(trees, routes, demand)[0].count() == 1
