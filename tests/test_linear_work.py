@@ -6,9 +6,10 @@ import math
 import random
 from collections import defaultdict
 
+import pandas as pd
 import pytest
 
-from heatlattice.operators import designs, graph, netsci, network
+from heatlattice.operators import designs, graph, netsci, network, search
 
 
 def plain_nearest(points, k, metric="euclidean"):
@@ -210,3 +211,28 @@ def test_trees_are_priced_without_rows_of_ancestors(spark, monkeypatch):
     routes = trees.selectExpr("network_id", "u", "v", "1e2 AS l2d", "1e2 AS l3d", "1e2 AS w", "0e0 AS z_low", "1e0 AS z_high")
     monkeypatch.setattr(graph, "ancestors", None)
     assert designs.assessed(trees, routes, demand)[0].count() == 1
+
+
+def test_swaps_are_priced_as_whole_trees(monkeypatch):
+    draw = random.Random(3)
+    at = [(draw.uniform(0, 3000), draw.uniform(0, 3000)) for _ in range(14)]
+    rows = [(i, j, math.dist(at[i], at[j]) * draw.uniform(1, 1.6), math.dist(at[i], at[j]), z := draw.uniform(0, 300), z + 9) for i, j in itertools.combinations(range(14), 2)]
+    tree = search.Tree(pd.DataFrame(rows, columns=["u", "v", "w", "l3d", "z_low", "z_high"]), {i: 100.0 + i % 7 * 50 for i in range(1, 14) if i % 5})
+    state = search.Swaps(tree, {(min(range(j), key=lambda i: math.dist(at[i], at[j])), j) for j in range(1, 14)})
+    whole, swaps = tree.cost, 0
+    for new in [k for k in tree.at if k not in state.edges]:
+        if new in state.edges:
+            continue
+        assert state.now() == pytest.approx(whole(state.edges), rel=1e-12)
+        costs = sorted((whole(state.edges - {out} | {new}), out) for out in tree.above(state.edges, new[0]) ^ tree.above(state.edges, new[1]))
+        monkeypatch.setattr(search.Tree, "cost", None)  # no whole tree is priced for a swap
+        cost, out, count = state.best(*new)
+        monkeypatch.undo()
+        assert count == len(costs)
+        if costs[0][0] < state.now() - 1e-6:
+            assert cost == pytest.approx(costs[0][0], rel=1e-12) and out == costs[0][1]
+            state.swap(out, new)
+            swaps += 1
+        else:
+            assert cost > state.now() - 1e-5
+    assert swaps > 2
